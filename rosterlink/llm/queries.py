@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, minhash, packing, sharding, token_count
+from . import bpe, embed_dedup, minhash, packing, quality, sharding, token_count
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +38,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.learnable(read(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85, band_rows=5)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -57,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_token_counts": op3_token_counts,
+    "op5_quality": op5_quality,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
