@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import bounded_batches, stored
@@ -37,8 +36,12 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str
     buckets = max(1, -(-total // bucket_bytes))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
     dealt = docs.withColumn("bucket_", F.pmod(key, F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("bucket_", (F.sum("n").over(W.orderBy("bucket_")) - F.col("n")).alias("base_"))
+    counts = dealt.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each bucket
+    bases, total = [], 0
+    for bucket, n in sorted((r["bucket_"], r["n"]) for r in counts):
+        bases.append((bucket, total))
+        total += n
+    bases = docs.sparkSession.createDataFrame(bases, "bucket_ int, base_ long")  # Spark knows its size, and broadcasts it only below its threshold
     kept = docs.columns
     id_at, text_at = kept.index(id_col), kept.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("size", LongType()), StructField("text_crc32", LongType()), StructField("shard", IntegerType()), StructField("slot", LongType())])
