@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored
 from .tokens import SAFE_CUT, memo
 
-LONG_TEXT = 32 << 10
+LONG_TEXT = 64 << 10
 UNSPLIT = 1 << 10
 LEAF = 256
 
@@ -229,6 +229,28 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return near.unionByName(far).withColumnRenamed("id", id_col)
 
 
+def texts_of(lists: pa.ListArray, table: list[bytes]) -> pa.Array:
+    """The text of each list of ids: the bytes of all ids gathered at once."""
+    size, blob = np.array([len(x) for x in table], np.int64), np.frombuffer(b"".join(table), np.uint8)
+    first = np.cumsum(size) - size
+    starts = lists.offsets.to_numpy()
+    ids = lists.values.to_numpy(zero_copy_only=False)[starts[0] : starts[-1]]
+    null = lists.is_null().to_numpy(zero_copy_only=False)
+    ends = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(size[ids], out=ends[1:])
+    data = blob[np.arange(ends[-1]) + np.repeat(first[ids] - ends[:-1], size[ids])]
+    bounds, raw = ends[starts - starts[0]], data.tobytes()
+    inner = bounds[bounds < len(data)]
+    try:
+        raw.decode()
+        sound = not np.any((data[inner] & 0xC0) == 0x80)  # no character lies over the end of a text
+    except UnicodeDecodeError:
+        sound = False
+    if sound and not null.any():
+        return pa.StringArray.from_buffers(len(lists), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw))
+    return pa.array([None if null[k] else raw[a:b].decode("utf-8", "replace") for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))], pa.string())
+
+
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
     """Adds the text that the ids of each row stand for, special tokens included; bytes that are not
     UTF-8 become U+FFFD.  Null ids: a null text.  A column already called `to` is replaced."""
@@ -241,9 +263,6 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(path)
         for batch in batches:
-            ids = batch.column(at)
-            starts, flat, null = ids.offsets.to_pylist(), ids.values.to_pylist(), ids.is_null().to_pylist()
-            texts = [None if null[k] else b"".join([table[i] for i in flat[a:b]]).decode("utf-8", "replace") for k, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts_of(batch.column(at), table)], names=names)
 
     return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(to, StringType())]))

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 8192
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 4096
 
 
 def shared_folder(spark: SparkSession) -> str:

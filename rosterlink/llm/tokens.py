@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .common import quiet_tokenizers
 
-MEMO_PIECES = 250_000
+MEMO_PIECES = 150_000
 MEMO_BYTES = 48
 SPACES = "\t\n\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 IRREGULAR = f"^ | $|[ {SPACES}] | [{SPACES}]|\x01"
@@ -60,8 +60,8 @@ class PieceMemo:
         words, known = coded.dictionary.to_pylist(), self.known
         found = [known.get(w) for w in words]
         new = [i for i, x in enumerate(found) if x is None]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 8_000):
+            part = new[at : at + 8_000]
             for i, x in zip(part, self.encode_alone([words[i] for i in part]), strict=True):
                 found[i] = x
                 if len(known) < MEMO_PIECES and len(words[i]) <= MEMO_BYTES:

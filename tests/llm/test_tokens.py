@@ -69,3 +69,10 @@ def test_counts_and_round_trip(spark):
     assert {key(r.doc_id, r.text): r.ids for r in got} == want
     assert bpe.encode(docs.limit(0), BYTE).count() == 0 and token_count.count_tokens(docs.limit(0), BYTE).count() == 0
     assert np.all([b"".join(bpe.byte_table(BYTE)[i] for i in r.ids).decode() == r.text for r in got])
+
+
+def test_decoding_of_any_ids():
+    rows = [[220], [], [50256, 64], [158, 242], [242], expected("é 😀", BYTE)[:-1], expected("é 😀", BYTE)]
+    got = bpe.texts_of(pa.array([*rows, None], pa.list_(pa.int32())), bpe.byte_table(BYTE)).to_pylist()
+    assert got == [LIB[BYTE].decode(x, skip_special_tokens=False) for x in rows] + [None]
+    assert bpe.texts_of(pa.array([[220], expected("é x", BYTE)], pa.list_(pa.int32())), bpe.byte_table(BYTE)).to_pylist() == [" ", "é x"]
