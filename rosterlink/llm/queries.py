@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, minhash, packing, quality, sharding, suffix_dedup, token_count
+from . import bpe, embed_dedup, minhash, packing, quality, sharding, suffix_dedup, token_count, url_filter
+
+
+# The rules of the url query, verdict and host with path.
+URL_RULES = [
+    ("block", "com/en/"),
+    ("allow", "example.com/en/7"),
+    ("block", "net/de/"),
+    ("allow", "example.net/de/8"),
+    ("block", "org/es/"),
+]
 
 
 def tokenizer_path(name: str) -> str:
@@ -52,6 +62,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judged(read(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in URL_RULES])
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85, band_rows=5)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -73,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_sharding": op8_sharding,
     "op10_packing": op10_packing,
