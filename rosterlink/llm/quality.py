@@ -5,8 +5,8 @@ document's quality is the length-weighted mean of its lines' forward-backward ma
 that is fitted to the labelled documents.
 
 The field is fitted on the driver, on at most `sample` labelled documents of each class with at most `sample_lines` lines (those with the smallest
-hashes of their id); counts of the classes weigh them.  Labels are of documents: lines start with their document's label, then
-good-looking lines of bad documents are relabelled by the field and it is fitted again.  Scoring reads every whole text and needs the
+hashes of their id); counts of the classes weigh them.  Labels are of documents: each line is fitted to
+its document's label.  Scoring reads every whole text and needs the
 weights alone, some hundred numbers.
 
 Null and empty texts are one empty line and get a score like any other.  Without labels of both classes every score is the share of good labels (0.5 without any).
@@ -123,9 +123,9 @@ def marginals(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> tupl
     return both[:, 1] / both.sum(axis=1), expected, log_sum
 
 
-def fit_field(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None = None, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def fit_field(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features and of the moves: conditional likelihood with a small penalty, by Adam on all chains."""
-    w, moves = start or (np.zeros(x.shape[1]), np.zeros((2, 2)))
+    w, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
     inner = np.ones(len(x), bool)
     inner[bounds[1:] - 1] = False
     at = np.flatnonzero(inner)
@@ -195,12 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     x = with_neighbours(np.concatenate(parts).astype(float), bounds)
     weight = np.concatenate([np.frombuffer(r["weight"], np.float32) for r in got]).astype(float)
     doc = np.repeat(np.arange(len(parts)), np.diff(bounds))
-    lines, field = given[doc], None
-    for _ in range(3):
-        field = fit_field(x, bounds, lines, field)
-        good = marginals(x @ field[0], bounds, field[1])[0]
-        worst = np.minimum.reduceat(good, bounds[:-1])[doc]
-        lines = np.where(given[doc] == 1, 1, ((good > 0.5) & (good > worst)).astype(int))
+    field = fit_field(x, bounds, given[doc])
     means = mean_good(marginals(x @ field[0], bounds, field[1])[0], weight, bounds)
     of_class = np.array([counts[k] / max(1, (given == k).sum()) for k in (0, 1)])
     slope, height = fit_curve(means, given, of_class[given] / of_class.mean())
