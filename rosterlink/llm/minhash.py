@@ -142,13 +142,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> (id_col, rid, n_shingles, component_id, kept): links are 100 * intersection >= percent * union.
-
-    component_id is the smallest id reachable; of rows with equal ids exactly one is kept."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows, plain = unique_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+def roots_of(rows: DataFrame, words: int, percent: int, band_rows: int) -> DataFrame:
+    """(rid unique, text) -> (rid, n_shingles, root): root is the smallest rid reachable by links."""
     signed = stored(signatures(rows.select("rid", "text"), words, band_rows), "signatures")
     classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("rid").alias("rep"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
@@ -184,9 +179,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, band_row
         more = stored(verified(rest, wanted(rest), words), "checked")
         roots = components(edges.union(more.filter(link).select("a", "b")))
     named = signed.select("rid", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
-    named = named.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "rid").alias("root"))
+    return named.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "rid").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> (id_col, n_shingles, component_id, kept): links are 100 * intersection >= percent * union.
+
+    component_id is the smallest id reachable; of rows with equal ids exactly one is kept."""
+    bounded_batches(docs.sparkSession)
+    rows, plain = unique_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    named = roots_of(rows.select("rid", "text"), words, percent, band_rows)
+    kept = (F.col("rid") == F.col("root")).alias("kept")
     if plain:
-        return named.select(F.col("rid").alias(id_col), "rid", "n_shingles", F.col("root").alias("component_id"), (F.col("rid") == F.col("root")).alias("kept"))
+        return named.select(F.col("rid").alias(id_col), "n_shingles", F.col("root").alias("component_id"), kept)
     names = rows.select("rid", F.col("doc_id").alias(id_col))
     named = named.join(names, "rid").join(names.select(F.col("rid").alias("root"), F.col(id_col).alias("component_id")), "root")
-    return named.select(id_col, "rid", "n_shingles", "component_id", (F.col("rid") == F.col("root")).alias("kept"))
+    return named.select(id_col, "n_shingles", "component_id", kept)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, band_rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without all but the first document of each component; all columns stay."""
+    bounded_batches(docs.sparkSession)
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows, _ = unique_ids(whole, "doc_id", "text")
+    first = roots_of(rows.select("rid", "text"), words, percent, band_rows).filter("rid = root").select("rid")
+    return rows.join(first, "rid", "left_semi").select("row.*")
