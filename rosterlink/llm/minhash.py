@@ -40,8 +40,8 @@ _times = _random.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _plus = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For some texts at a time: the number of the first, the sorted distinct shingles of each in a row, where each set starts and the last ends."""
+def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some texts at a time: the number of the first, the hashes of all words, where each text's words start and the last end."""
     data, offsets = raw_bytes(texts)
     for a, b in some_at_a_time(offsets):
         part = np.full(int(offsets[b] - offsets[a]) + (b - a), 32, np.uint8)  # a space behind each text
@@ -52,8 +52,12 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.
         word = ~_space[part]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], word]).astype(np.int8)))
         starts, ends = edges[::2], edges[1::2]
-        hashes = Spans(part).hashes(starts, ends)
-        first = np.searchsorted(starts, own)
+        yield a, Spans(part).hashes(starts, ends), np.searchsorted(starts, own)
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some texts at a time: the number of the first, the sorted distinct shingles of each in a row, where each set starts and the last ends."""
+    for a, hashes, first in word_hashes(texts):
         sets = []
         if len(hashes) >= k:
             rolled = np.zeros(len(hashes) - k + 1, np.uint64)

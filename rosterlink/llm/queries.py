@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, minhash, packing, quality, sharding, suffix_dedup, token_count, url_filter
+from . import bm25, bpe, embed_dedup, minhash, packing, quality, sharding, suffix_dedup, token_count, url_filter
 
 
 # The rules of the url query, verdict and host with path.
@@ -77,6 +77,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = bm25.top_k(docs, docs.filter(F.col("doc_id") % 50 == 0), k=10)
+    return found.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_sharding": op8_sharding,
+    "op9_bm25_top_k": op9_bm25_top_k,
     "op10_packing": op10_packing,
 }
 
