@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from ..functions.names import basic_form
 from ..functions.similarity import Choices, partial_ratio, token_sorted
 
-QUERY_BLOCK = 256
-CHOICE_BLOCK = 1 << 15
+QUERY_BLOCK = 64
+CHOICE_BLOCK = 1 << 14
 FOUND = "qid long, ord long, pos long, score double"
 
 
@@ -28,6 +28,8 @@ def block_pairs(queries: DataFrame, choices: DataFrame, task, schema: str = FOUN
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("long")).withColumn("cb", every(nc))
     right = choices.withColumn("cb", F.pmod(F.xxhash64("ord", "pos"), F.lit(nc)).cast("long")).withColumn("qb", every(nq))
+    n = min(4096, nq * nc)  # by number: small in bytes, heavy in work, so not to be coalesced
+    left, right = left.repartition(n, "qb", "cb"), right.repartition(n, "qb", "cb")
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(task, schema)
 
 
