@@ -26,6 +26,10 @@ def user_prompt(query: Column, candidates: Column, scores: bool = False) -> Colu
     return F.concat(F.lit('Company name: "'), query, F.lit('"\n\nCandidates:\n'), listed)
 
 
+def first_lines(text: Column, n: int = 3) -> Column:
+    return F.array_join(F.slice(F.split(text, "\n"), 1, n), "\n")
+
+
 def answer(name: Column, cik: Column, entity_type: Column, former: Column) -> Column:
     """The answer as compact JSON; missing values are written as null."""
     row = F.struct(name.alias("canonical_name"), cik.alias("cik"), entity_type.alias("entity_type"), former.alias("is_former_name_input"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlink.functions.similarity import sort_tokens
-from rosterlink.operators import datasets, lookup, prompts, resolve, score, search, splits
+from rosterlink.operators import datasets, lookup, prompts, resolve, score, search, selector, splits
 from rosterlink.plans import registry as plans
 from rosterlink.sources import registry as sources
 from rosterlink.sources import sinks
@@ -138,6 +138,24 @@ def test_prompts(spark):
     assert json.loads(got[3]) == {"canonical_name": None, "cik": 5, "entity_type": "x", "is_former_name_input": False} and [m.role for m in got[4]] == ["system", "user", "assistant"]
 
 
+def test_selectors(spark, entities):
+    found = plans.found(spark, DIR)
+    first = {r.qid: r.answer_cik for r in selector.first_candidate(found).collect()}
+    assert first == {r.qid: r.candidates[0].cik for r in found.collect()}
+    rules = selector.rule_matcher(entities)(found).collect()
+    assert len(rules) == len(first) and all(r.answer_name for r in rules if r.answer_cik is not None)
+
+    def load():
+        def ask(texts):
+            return ['```json\n{"cik": ' + t.split("cik: ")[2].split("\n")[0] + "}\n```" if "cik: " in t else "" for t in texts]
+
+        return ask
+
+    second = {r.qid: r.answer_cik for r in selector.model(load)(found).collect()}
+    assert second == {r.qid: r.candidates[1].cik for r in found.collect()}
+    assert spark.sql("SELECT 'a\\nb\\nc\\nd' AS t").select(prompts.first_lines(F.col("t"))).first()[0] == "a\nb\nc"
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "raw.jsonl").write_text('{"cik": 1, "name": "A", "entityType": null, "formerNames": [{"name": "B"}, {"from": "x"}]}\n\n{"cik": 2, "name": ""}\n')
     raw = sources.json_lines(spark, str(tmp_path / "raw.jsonl"), sources.RAW)
