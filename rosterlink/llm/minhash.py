@@ -7,9 +7,10 @@ agree with the Jaccard similarity as their probability.  Sets that share a band'
 1. Documents with the same set are one class; its smallest id stands for it.
 2. In every bucket all members are compared with its smallest member on their full sets.  That is a row for each member,
    never all pairs.  Links found give components.
-3. A member still in another component than its bucket's smallest one is compared with the members of other components there,
+3. Where members of a bucket are still in other components than its smallest one, they are compared with the members of other components there,
    unless sizes or distances rule a link out: Jaccard distance is a metric, so two sets whose distances to the
-   smallest member differ by more than the allowed distance cannot be linked.  That loses nothing.
+   smallest member differ by more than the allowed distance cannot be linked.  That loses nothing.  Buckets are dealt into blocks of bounded size that meet two by
+   two; pairs are never rows, and only links that join components leave a task.
 4. Components over all links; the smallest id of each stays.
 
 With 60 permutations and bands of 5 a pair at similarity 0.85 shares no band with probability 8e-7 (bands of 4 at 0.8: 2e-7).
@@ -31,6 +32,8 @@ from .common import bounded_batches, components, stored, unique_ids
 from .hashing import Spans, mix, raw_bytes, some_at_a_time
 
 PERMUTATIONS = 60
+BLOCK_SETS = 1024
+BLOCK_BYTES = 4 << 20
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -146,6 +149,75 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
 
 
+def links_in_buckets(placed: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(band, value, rep, hub, r: its component, far: distance to the hub) -> (a, b): links between components inside buckets.
+
+    A bucket is dealt into blocks of bounded size, and two blocks meet in one task, with their full sets.  Pairs are compared there, in the first band that
+    they share, as long as their components are still apart; only links that join two of them are handed on."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, values, bounds in shingle_sets(batch.column(1), words):
+                n = len(bounds) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array([values[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["rep", "set"])
+
+    reps = placed.select("rep").distinct()
+    sets = texts.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").mapInArrow(packed, "rep long, set binary")
+    sets = stored(sets.join(classes.select("rep", "bands"), "rep").withColumn("bytes", F.length("set")), "sets")
+    members = placed.join(sets.select("rep", "bytes"), "rep")
+    sizes = members.groupBy("band", "value").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.sum("bytes").alias("all"))
+    sizes = stored(sizes, "sizes")
+    tasks = 1 + int(sizes.filter("blocks = 1").agg(F.sum("all")).first()[0] or 0) // BLOCK_BYTES
+    met = placed.join(sizes.select("band", "value", "blocks"), ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    bucket = F.xxhash64("band", "value")
+    met = met.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(bucket, F.lit(tasks))).otherwise(bucket)).drop("blocks", "other")
+
+    def compare(table: pa.Table) -> pa.Table:
+        c = {k: table[k].to_numpy() for k in ("band", "value", "rep", "hub", "r", "far", "own", "one", "two")}
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        raw = table["set"].to_pylist()
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        out_a, out_b = [], []
+        order = np.lexsort((c["rep"], c["value"], c["band"]))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(c["value"][order]) != 0) | (np.diff(c["band"][order]) != 0)]))
+        for x, y in zip(cut, [*cut[1:], len(order)], strict=True):
+            rows = order[x:y]
+            rows = rows[c["rep"][rows] != c["hub"][rows]]  # the hub has been compared with all
+            across = c["one"][rows[:1]] != c["two"][rows[:1]]
+            sets = {i: np.frombuffer(raw[i], np.uint64) for i in rows.tolist()}
+            size = np.array([len(sets[i]) for i in rows.tolist()])
+            for k, i in enumerate(rows.tolist()):
+                rest, rest_size = rows[k + 1 :], size[k + 1 :]
+                keep = (c["r"][rest] != c["r"][i]) & (100 * np.minimum(rest_size, size[k]) >= percent * np.maximum(rest_size, size[k]))
+                keep &= ~(np.abs(c["far"][rest] - c["far"][i]) > 1 - percent / 100 + 1e-9)  # an unknown distance rules nothing out
+                if across.all():
+                    keep &= c["own"][rest] != c["own"][i]
+                rest = rest[keep]
+                rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == c["band"][i]] if len(rest) else rest
+                for j in rest.tolist():
+                    one, two = root(int(c["r"][i])), root(int(c["r"][j]))
+                    if one == two:
+                        continue
+                    small, large = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+                    at = np.searchsorted(large, small)
+                    at[at == len(large)] = 0
+                    both = int(np.count_nonzero(large[at] == small))
+                    if 100 * both >= percent * (len(small) + len(large) - both):
+                        above[max(one, two)] = min(one, two)
+                        out_a.append(c["rep"][i])
+                        out_b.append(c["rep"][j])
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    grouped = met.join(sets.select("rep", "bands", "set"), "rep").groupBy("task", "one", "two")
+    return stored(grouped.applyInArrow(compare, "a long, b long"), "more")
+
+
 def roots_of(rows: DataFrame, words: int, percent: int, band_rows: int) -> DataFrame:
     """(rid unique, text) -> (rid, n_shingles, root): root is the smallest rid reachable by links."""
     signed = stored(signatures(rows.select("rid", "text"), words, band_rows), "signatures")
@@ -172,16 +244,10 @@ def roots_of(rows: DataFrame, words: int, percent: int, band_rows: int) -> DataF
     placed = members.join(root("r", "rep"), "rep", "left").join(root("hr", "hub"), "hub", "left").withColumns({"r": F.coalesce("r", "rep"), "hr": F.coalesce("hr", "hub")})
     apart = placed.filter("r <> hr").select("band", "value").distinct()
     far = checked.select(F.col("a").alias("rep"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("either")).alias("far"))
-    placed = stored(placed.join(apart, ["band", "value"], "left_semi").join(far, ["rep", "hub"], "left"), "placed")
+    placed = placed.join(apart, ["band", "value"], "left_semi").join(far, ["rep", "hub"], "left")
+    placed = stored(placed.select("band", "value", "rep", "hub", "r", "far"), "placed")
     if placed.limit(1).collect():
-        outside = placed.filter("r <> hr").select("band", "value", F.col("rep").alias("x"), F.col("n").alias("xn"), F.col("r").alias("xr"), F.col("far").alias("xf"))
-        others = placed.filter("rep <> hub").select("band", "value", F.col("rep").alias("y"), F.col("n").alias("yn"), F.col("r").alias("yr"), F.col("far").alias("yf"), (F.col("r") != F.col("hr")).alias("too"))
-        reach = 1 - percent / 100 + 1e-9
-        rest = outside.join(others, ["band", "value"]).filter((F.col("xr") != F.col("yr")) & (~F.col("too") | (F.col("x") < F.col("y"))))
-        rest = rest.filter(fits("xn", "yn")).filter(F.coalesce(F.abs(F.col("xf") - F.col("yf")), F.lit(0.0)) <= reach)
-        rest = stored(rest.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-        more = stored(verified(rest, wanted(rest), words), "checked")
-        roots = components(edges.union(more.filter(link).select("a", "b")))
+        roots = components(edges.union(links_in_buckets(placed, classes, texts, words, percent)))
     named = signed.select("rid", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left")
     return named.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "rid").alias("root"))
 
