@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
+MOST_SMALL = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,10 +40,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def split_rows(df: DataFrame, at_least: int = 0) -> DataFrame:
-    """Deals rows out evenly if the scan has fewer partitions than the session has cores."""
-    n = max(at_least, df.sparkSession.sparkContext.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows held by the driver (one for each partition or bucket) as a table; broadcast up to MOST_SMALL of them, joined like any other beyond that."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= MOST_SMALL else table
 
 
 def unique_ids(df: DataFrame, key: str, text: str | None = None) -> tuple[DataFrame, bool]:
@@ -63,8 +64,8 @@ def unique_ids(df: DataFrame, key: str, text: str | None = None) -> tuple[DataFr
     for part, rows in sorted((r["at"], r["n"]) for r in dealt.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each partition
         before.append((part, total))
         total += rows
-    base = df.sparkSession.createDataFrame(before, "at int, base long")
-    return dealt.join(F.broadcast(base), "at").withColumn("rid", F.col("base") + F.col("nth")).drop("at", "nth", "base"), False
+    base = small_table(df.sparkSession, before, "at int, base long")
+    return dealt.join(base, "at").withColumn("rid", F.col("base") + F.col("nth")).drop("at", "nth", "base"), False
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

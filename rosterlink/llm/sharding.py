@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, small_table, stored
 
 BUCKET_BYTES = 16 << 20
 OVERHEAD = 16
@@ -41,7 +41,7 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str
     for bucket, n in sorted((r["bucket_"], r["n"]) for r in counts):
         bases.append((bucket, total))
         total += n
-    bases = docs.sparkSession.createDataFrame(bases, "bucket_ int, base_ long")  # Spark knows its size, and broadcasts it only below its threshold
+    bases = small_table(docs.sparkSession, bases, "bucket_ int, base_ long")
     kept = docs.columns
     id_at, text_at = kept.index(id_col), kept.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("size", LongType()), StructField("text_crc32", LongType()), StructField("shard", IntegerType()), StructField("slot", LongType())])
