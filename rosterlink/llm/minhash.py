@@ -123,7 +123,9 @@ def signatures(rows: DataFrame, k: int, band_rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) -> (a, b, both, either): sizes of the intersection and the union of the full sets."""
+    """pairs (a, b) -> (a, b, both, either): sizes of the intersection and the union of the full sets.
+
+    Both sides of these joins grow with the corpus, so they are sort-merge joins at any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +148,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(either)], names=["a", "b", "both", "either"])
 
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
 
 
 def links_in_buckets(placed: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -161,7 +163,7 @@ def links_in_buckets(placed: DataFrame, classes: DataFrame, texts: DataFrame, wo
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array([values[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["rep", "set"])
 
     reps = placed.select("rep").distinct()
-    sets = texts.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").mapInArrow(packed, "rep long, set binary")
+    sets = texts.join(reps.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi").mapInArrow(packed, "rep long, set binary")
     sets = stored(sets.join(classes.select("rep", "bands"), "rep").withColumn("bytes", F.length("set")), "sets")
     members = placed.join(sets.select("rep", "bytes"), "rep")
     sizes = members.groupBy("band", "value").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"), F.sum("bytes").alias("all"))
@@ -234,7 +236,7 @@ def roots_of(rows: DataFrame, words: int, percent: int, band_rows: int) -> DataF
 
     def wanted(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-        return stored(texts.join(ids, "rid", "left_semi"), "texts")
+        return stored(texts.join(ids.hint("merge"), "rid", "left_semi"), "texts")
 
     checked = stored(verified(star, wanted(star), words), "checked")
     link = 100 * F.col("both") >= percent * F.col("either")
