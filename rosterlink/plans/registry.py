@@ -26,10 +26,10 @@ def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).withColumn("messy", F.replace(wrapper, F.lit("{name}"), F.col("name")))
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, query, cik, name): noisy forms of every 50th row."""
+def asked(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(qid, query, cik, name): noisy forms of every 50th row; more may name kinds, the number of kinds of noise."""
     rows = entities(spark, sf_dir).filter(F.col("cik") % 50 == 0)
-    return names.with_messy(rows, "name", F.col("cik"), F.lit("query"), to="query").select(F.col("cik").alias("qid"), "query", "cik", "name")
+    return names.with_messy(rows, "name", F.col("cik"), F.lit("query"), to="query").select(F.col("cik").alias("qid"), "query", "cik", "name", *more)
 
 
 def found(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
@@ -259,7 +259,7 @@ def eval_report(spark, sf_dir):
 
 
 def hybrid_report(spark, sf_dir):
-    """Lookup of wrapped names: what it finds, finds rightly, and leaves to a model."""
+    """The lookup stage alone, over wrapped names: what it finds, finds rightly, and leaves to the next stage.  The whole matcher is in hybrid_report_two_scorers."""
     rows = messy(spark, sf_dir)
     registry = entities(spark, sf_dir).select("ord", F.col("name").alias("found_name"))
     tried = lookup.exact(rows.select(F.col("cik").alias("qid"), F.col("messy").alias("query"), "name"), entities(spark, sf_dir)).join(registry, "ord", "left")
@@ -267,6 +267,25 @@ def hybrid_report(spark, sf_dir):
     return tried.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.count_if(F.col("ord").isNull()).alias("calls"), F.round(F.count_if(F.col("ord").isNull()) / F.count(F.lit(1)), 9).alias("call_rate"), F.round(score.share(hit), 9).alias("accuracy"))
 
 
+def misspelt(spark, sf_dir):
+    """asked with kinds, where every second query lacks the letter in its middle: lookup undoes most other noise."""
+    half = F.floor(F.length("query") / 2).cast("int")
+    cut = F.concat(F.substring(F.col("query"), F.lit(1), half), F.substring(F.col("query"), half + 2, F.length("query")))
+    return asked(spark, sf_dir, "kinds").withColumn("query", F.when(F.col("qid") % 100 == 0, cut).otherwise(F.col("query")))
+
+
+def hybrid_report_two_scorers(spark, sf_dir):
+    """The whole matcher over noisy names, lookup and then both scorers: what it finds rightly and leaves to a model, and accuracy over all, hard (two kinds of noise or more) and easy names."""
+    registry = entities(spark, sf_dir)
+    rows = misspelt(spark, sf_dir)
+    found = lookup.cascade(rows.select("qid", "query"), registry).join(registry.select("ord", F.col("name").alias("found_name")), "ord", "left")
+    flags = found.join(rows.drop("query"), "qid").select("ord", score.strict(F.col("name"), F.col("found_name")).alias("hit"), F.when(F.col("kinds") >= 2, "hard").otherwise("easy").alias("difficulty"))
+    call = F.col("ord").isNull()
+    buckets = [F.count_if(F.col("difficulty") == b).alias(b) for b in ("hard", "easy")] + [F.count_if(F.col("hit") & (F.col("difficulty") == b)).alias(f"{b}_hits") for b in ("hard", "easy")]
+    accuracy = [F.round(score.share(F.col("hit"), where), 9).alias(name) for name, where in (("accuracy", None), ("accuracy_hard", F.col("difficulty") == "hard"), ("accuracy_easy", F.col("difficulty") == "easy"))]
+    return flags.agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"), F.count_if(call).alias("calls"), F.round(score.share(call), 9).alias("call_rate"), *buckets, *accuracy)
+
+
 def progress_running(spark, sf_dir):
     rows = score.running_share(read(spark, sf_dir, "events"), "event_id", F.col("value") > 50)
     last = rows.agg(F.max("place").alias("last"))
@@ -300,5 +319,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     registry_projection, former_name_unnest, former_name_last, registry_union, page_titles, strip_noise, normalize_suffix, normalize_basic, comma_before_suffix, title_case,
     suffix_swap, casing_noise, punctuation_noise, noisy_variants, variants_v3_counts, decontaminate_exact, decontaminate_contains, holdout_antijoin, random_distractors, token_sort,
     fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, candidate_prompt, chat_assembly,
-    answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, progress_running, split_rows, split_rows_one_share,
+    answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, progress_running, split_rows, split_rows_one_share,
     split_by_entity, limit_then_filter, file_checksum, flagship)}

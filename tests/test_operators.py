@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlink.functions.similarity import sort_tokens
+from rosterlink.functions import names
+from rosterlink.functions.similarity import partial_ratio, sort_tokens
 from rosterlink.operators import datasets, lookup, prompts, resolve, score, search, selector, splits
 from rosterlink.plans import registry as plans
 from rosterlink.sources import registry as sources
@@ -71,6 +72,39 @@ def test_cascade_is_lookup_then_similarity(spark, entities):
     assert got == {1: (None, None), 2: (1, "exact"), 3: (2, "similar"), 4: (1, "exact")}
 
 
+def test_hybrid_report_is_the_whole_cascade(spark, tmp_path):
+    part = spark.read.parquet(f"{DIR}/part.parquet").filter("p_partkey <= 60")
+    part.withColumn("p_partkey", F.col("p_partkey") * 25).write.parquet(str(tmp_path / "part.parquet"))
+    registry = sources.entities(spark, str(tmp_path)).orderBy("ord").collect()
+    asked = plans.misspelt(spark, str(tmp_path)).withColumns({"norm": names.lookup_form(F.col("query")), "bare": names.without_noise(F.col("query"))}).collect()
+    texts = [(r.ord, 0, r.name) for r in registry] + [(r.ord, 1, f) for r in registry for f in r.former_names if f]
+    norms = {r.t: r.norm for r in spark.createDataFrame([(t,) for _, _, t in texts], "t string").select("t", names.suffix_form(F.col("t")).alias("norm")).collect()}
+    table, choices, name = {}, {}, {r.ord: r.name for r in registry}
+    for ord_, kind, t in texts:
+        if not kind:
+            table[norms[t]] = ord_
+        choices[ord_, kind] = t  # of the former names the last
+    for ord_, kind, t in texts:
+        table.setdefault(norms[t], ord_)
+    choices = sorted((kind, ord_, t) for (ord_, kind), t in choices.items())
+    want, ways = Counter(), Counter()
+    for q in asked:
+        got = table.get(q.norm)
+        how = "exact" if got is not None else "none"
+        if got is None:
+            best = max([(simple_ratio(sort_tokens(q.query), sort_tokens(t)), 1, -i) for i, (_, _, t) in enumerate(choices)] + [(partial_ratio(q.bare, t), 0, -i) for i, (_, _, t) in enumerate(choices)])
+            if best[0] >= 80:
+                got, how = choices[-best[2]][1], "similar"
+        hit, bucket = got is not None and name[got] == q.name, "hard" if q.kinds >= 2 else "easy"
+        ways[how, hit] += 1
+        want += Counter({"n": 1, "hits": int(hit), "calls": int(got is None), bucket: 1, f"{bucket}_hits": int(hit)})
+    assert ways["exact", True] and ways["similar", True]  # else a report of lookup alone would pass
+    got = plans.hybrid_report_two_scorers(spark, str(tmp_path)).first().asDict()
+    assert {k: got[k] for k in ("n", "hits", "calls", "hard", "easy", "hard_hits", "easy_hits")} == {k: want[k] for k in ("n", "hits", "calls", "hard", "easy", "hard_hits", "easy_hits")}
+    for key, a, b in (("call_rate", "calls", "n"), ("accuracy", "hits", "n"), ("accuracy_hard", "hard_hits", "hard"), ("accuracy_easy", "easy_hits", "easy")):
+        assert got[key] == round(want[a] / want[b] if want[b] else 0.0, 9)
+
+
 def test_replies(spark):
     replies = ['```json\n{"cik": "320193", "canonical_name": "A"}\n```', "no json", '{"cik": 1', "{}", 'say {"cik": 7} or {"x": 1}', ' {"cik":7} ']
     rows = spark.createDataFrame([(r,) for r in replies], "r string").select(resolve.parsed(F.col("r")).alias("v")).select(F.col("v").isNotNull(), F.try_variant_get("v", "$.cik", "string"), F.schema_of_variant("v")).collect()
