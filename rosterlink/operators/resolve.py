@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from ..functions.names import strip
 from ..functions.similarity import pair_ratio, sort_tokens
 
+NAME_THRESHOLD = 70.0
+
 
 def json_part(reply: Column) -> Column:
     """The text from the first opening to the last closing brace, without code fences; null without any."""
@@ -37,5 +39,27 @@ def name_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([None if x is None or y is None else pair_ratio(sort_tokens(x), sort_tokens(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(IntegerType())
+def nearest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The place, from 1, of the first of the texts that are most similar to the one given; null if none reaches NAME_THRESHOLD."""
+
+    def place(texts, text) -> int | None:
+        if text is None or texts is None:
+            return None
+        scores = [-1.0 if t is None else pair_ratio(sort_tokens(text), sort_tokens(t)) for t in texts]
+        best = max(scores, default=-1.0)
+        return scores.index(best) + 1 if best >= NAME_THRESHOLD else None
+
+    for texts, text in parts:
+        yield pd.Series([place(a, b) for a, b in zip(texts, text, strict=True)], dtype="Int32")
+
+
+def by_id_or_name(candidates: Column, cik: Column, name: Column) -> Column:
+    """The candidate with that id, else the one whose name, lower-cased, is most similar; null if there is none."""
+    hit = by_id(candidates, cik)
+    place = nearest(F.transform(candidates, lambda c: F.lower(c["name"])), F.when(hit.isNull(), F.lower(name)))
+    return F.coalesce(hit, F.get(candidates, place - 1))
+
+
 def plain(name: Column) -> Column:
     return strip(F.replace(F.replace(F.lower(name), F.lit(","), F.lit("")), F.lit("."), F.lit("")))

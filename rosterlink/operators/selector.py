@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .lookup import cascade
 from .prompts import user_prompt
-from .resolve import by_id, parsed
+from .resolve import by_id_or_name, parsed
 
 Selector = Callable[[DataFrame], DataFrame]
 
@@ -34,7 +34,7 @@ def rule_matcher(registry: DataFrame) -> Selector:
 
 def model(load: Callable[[], Callable[[list[str]], list[str]]]) -> Selector:
     """A text model: load() runs once in each Python worker and gives a function from prompts to replies.  A reply that raises or holds no
-    object is no answer; an id among the candidates wins over the name given."""
+    object is no answer; an id among the candidates wins over the name given, and without one the candidate with the most similar name is taken."""
 
     def replies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = load()
@@ -49,8 +49,8 @@ def model(load: Callable[[], Callable[[list[str]], list[str]]]) -> Selector:
         asked = found.select("qid", user_prompt(F.col("query"), F.col("candidates")).alias("prompt"))
         said = asked.mapInPandas(replies, "qid long, reply string").withColumn("v", parsed(F.col("reply")))
         rows = found.join(said, "qid")
-        hit = by_id(F.col("candidates"), F.try_variant_get("v", "$.cik", "bigint"))
-        name = F.try_variant_get("v", "$.canonical_name", "string")
-        return rows.withColumns({"answer_name": F.coalesce(hit["name"], name), "answer_cik": hit["cik"]}).drop("v", "reply")
+        rows = rows.withColumns({"said_cik": F.try_variant_get("v", "$.cik", "bigint"), "said_name": F.try_variant_get("v", "$.canonical_name", "string")})
+        rows = rows.withColumn("hit", by_id_or_name(F.col("candidates"), F.col("said_cik"), F.col("said_name")))
+        return rows.withColumns({"answer_name": F.coalesce("hit.name", "said_name"), "answer_cik": F.col("hit.cik")}).drop("v", "reply", "said_cik", "said_name", "hit")
 
     return select

@@ -215,8 +215,8 @@ def resolved(spark, sf_dir):
 
 
 def resolve_by_id(spark, sf_dir):
-    hit = resolve.by_id(F.col("candidates"), F.col("predicted_cik"))
-    return resolved(spark, sf_dir).select("qid", F.coalesce(hit["name"], F.col("predicted")).alias("name"), hit["cik"].alias("resolved_cik"))
+    rows = resolved(spark, sf_dir).withColumn("hit", resolve.by_id_or_name(F.col("candidates"), F.col("predicted_cik"), F.col("predicted")))
+    return rows.select("qid", F.coalesce("hit.name", "predicted").alias("name"), F.col("hit.cik").alias("resolved_cik"))
 
 
 def resolve_by_name(spark, sf_dir):

@@ -190,6 +190,24 @@ def test_selectors(spark, entities):
     assert spark.sql("SELECT 'a\\nb\\nc\\nd' AS t").select(prompts.first_lines(F.col("t"))).first()[0] == "a\nb\nc"
 
 
+def test_names_stand_in_for_missing_ids(spark):
+    candidates = [("Alpha Widgets, Inc.", 1), ("Beta Holdings", 2), ("Holdings Beta", 3)]
+    said = [(1, 1, "Beta Holdings", 1), (2, 9, "BETA HOLDING", 2), (3, None, "widgets alpha inc", 1), (4, None, "quite another", None), (5, None, None, None), (6, 9, "", None)]
+    rows = spark.createDataFrame([(q, cik, name, [(r, c, n, "corp", 90.0) for r, (n, c) in enumerate(candidates, 1)]) for q, cik, name, _ in said], "qid long, said long, text string, candidates array<struct<rank int, cik long, name string, entity_type string, score double>>")
+    want = {q: w for q, _, _, w in said}
+    assert {r.qid: r.cik for r in rows.select("qid", resolve.by_id_or_name(F.col("candidates"), F.col("said"), F.col("text")).alias("hit")).select("qid", "hit.cik").collect()} == want
+    replies = {str(q): json.dumps({"cik": cik, "canonical_name": name}) for q, cik, name, _ in said}
+
+    def load():
+        return lambda texts: [replies[t.split('"')[1]] for t in texts]
+
+    found = rows.select("qid", F.col("qid").cast("string").alias("query"), "candidates")
+    assert {r.qid: r.answer_cik for r in selector.model(load)(found).collect()} == want
+    found = {r.qid: r for r in plans.resolved(spark, DIR).collect()}
+    got = {r.qid: r for r in plans.resolve_by_id(spark, DIR).collect()}
+    assert any(q % 100 == 0 for q in got) and all(r.resolved_cik == found[q].candidates[1].cik and r.name == found[q].candidates[1].name for q, r in got.items())
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "raw.jsonl").write_text('{"cik": 1, "name": "A", "entityType": null, "formerNames": [{"name": "B"}, {"from": "x"}]}\n\n{"cik": 2, "name": ""}\n')
     raw = sources.json_lines(spark, str(tmp_path / "raw.jsonl"), sources.RAW)
