@@ -1,3 +1,4 @@
+import hashlib
 import json
 import urllib.error
 from collections import Counter, defaultdict
@@ -143,6 +144,18 @@ def test_random_distractors(spark, n):
     assert len(got) == n and all(sorted(s for s, _ in v) == [1, 2, 3, 4, 5] and len({c for _, c in v}) == 5 and cik in {c for _, c in v} for cik, v in got.items())
 
 
+@pytest.mark.parametrize("near", [64, 3])
+def test_random_distractors_are_the_smallest_draws_at_any_size(spark, monkeypatch, near):
+    monkeypatch.setattr(datasets, "NEAR", near)  # 3: most rows have too few draws below the bound
+    n = 2100
+    got = defaultdict(set)
+    for r in datasets.random_distractors(spark.range(n).select(F.col("id").alias("ord"), (F.col("id") * 3).alias("cik"))).collect():
+        got[r.cik].add(r.candidate_cik)
+    for cik in range(0, 3 * n, 150):
+        draws = sorted((hashlib.md5(f"{cik}|{c}|distractor".encode()).hexdigest()[:8], c) for c in range(0, 3 * n, 3) if c != cik)
+        assert got[cik] == {cik} | {c for _, c in draws[:4]}
+
+
 def test_splits(spark):
     rows = spark.range(1000).repartition(5)
     placed = splits.shuffled_places(rows, "id", "s").collect()
