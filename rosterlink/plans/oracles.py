@@ -132,6 +132,22 @@ def split_sql(table: str, key: str, salt: str, arms: str) -> str:
     return f"SELECT {key}, CASE {arms} ELSE 'train' END AS split FROM (SELECT {key}, row_number() OVER (ORDER BY {u(salt, key)}, {key}) AS place, count(*) OVER () AS total FROM {table})"
 
 
+def placed_sql(salt: str) -> str:
+    return f"placed AS (SELECT cik, name, entity_type, row_number() OVER (ORDER BY {u(f'{salt}|place', 'cik')}, cik) AS place, count(*) OVER () AS total FROM registry)"
+
+
+def drawn_sql(examples: str, key: list[str], salt: str, k: int = 5) -> str:
+    """CTEs up to picked (key, slot, candidate_cik, candidate_name, candidate_type): each example's own row and k-1 others on the circle."""
+    keys = ", ".join(key)
+    steps = [f"a0 AS (SELECT {', '.join('e.' + x for x in key)}, p.place, p.total, least({k - 1}, p.total - 1) AS most, [0]::bigint[] AS away FROM {examples} e JOIN placed p ON e.cik = p.cik)"]
+    for i in range(1, k):
+        one = f"(floor({u(f'{salt}|{i}', *key)} * (total - 1 - most + {i}))::bigint + 1)"
+        steps.append(f"a{i} AS (SELECT * REPLACE (CASE WHEN {i} > most THEN away WHEN list_contains(away, {one}) THEN list_append(away, total - 1 - most + {i}) ELSE list_append(away, {one}) END AS away) FROM a{i - 1})")
+    steps.append(f"met AS (SELECT a.* EXCLUDE (place), p.place AS spot, p.cik AS candidate_cik, p.name AS candidate_name, p.entity_type AS candidate_type FROM (SELECT {keys}, place, total, unnest(away) AS away FROM a{k - 1}) a JOIN placed p ON (a.place - 1 + a.away) % a.total + 1 = p.place)")
+    steps.append(f"picked AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY {u(f'{salt}|slot', *key, 'spot')}, spot) AS slot, candidate_cik, candidate_name, candidate_type FROM met)")
+    return ", ".join(steps)
+
+
 ONE = "WITH " + ENTITIES
 ONE_KEY = ("cik", "'one'")
 SQL: dict[str, str] = {
@@ -158,9 +174,7 @@ count(*) FILTER (WHERE changed AND NOT in_test AND is_former) AS former, count(*
     "decontaminate_exact": f"{ONE}, {FORMER}, {noisy_steps()} SELECT cik, branch, variant, input FROM examples e WHERE NOT EXISTS (SELECT 1 FROM examples h WHERE h.cik % 7 = 0 AND h.input = e.input)",
     "decontaminate_contains": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
     "holdout_antijoin": f"{ONE} SELECT cik, name FROM registry WHERE cik NOT IN (SELECT s_suppkey FROM supplier)",
-    "random_distractors": f"""{ONE}, p AS (SELECT a.cik, b.cik AS candidate_cik, row_number() OVER (PARTITION BY a.ord ORDER BY {u('distractor', 'a.cik', 'b.cik')}, b.cik) AS nth FROM registry a JOIN registry b ON a.ord <> b.ord),
-w AS (SELECT cik, candidate_cik FROM p WHERE nth < 5 UNION ALL SELECT cik, cik FROM registry)
-SELECT cik, row_number() OVER (PARTITION BY cik ORDER BY {u('distractor|slot', 'cik', 'candidate_cik')}, candidate_cik) AS slot, candidate_cik FROM w""",
+    "random_distractors": f"{ONE}, {placed_sql('distractor')}, {drawn_sql('placed', ['cik'], 'distractor')} SELECT cik, slot, candidate_cik FROM picked",
     "token_sort": rf"{ONE}, {MESSY} SELECT cik, array_to_string(list_sort(list_filter(string_split_regex(messy, '\s+'), lambda t: t <> '')), ' ') AS sorted FROM messy",
     "exact_lookup": f"{ONE}, {MESSY}, {LOOKUP} SELECT t.qid, t.norm, l.ord FROM tried t LEFT JOIN lookup l ON t.norm = l.norm",
     "chat_assembly": r"SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, list(text ORDER BY turn)[2] AS second, list(role ORDER BY turn)[-1] AS last_role, count(*) AS turns FROM conversations GROUP BY conv_id",
