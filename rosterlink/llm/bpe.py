@@ -22,22 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
-from .tokens import SAFE_CUT, memo
+from .tokens import SAFE_CUT, byte_letters, memo
 
 LONG_TEXT = 64 << 10
 UNSPLIT = 1 << 10
 LEAF = 256
 
 
-@lru_cache(maxsize=1)
-def byte_letters() -> tuple[dict[int, str], dict[str, int]]:
-    """The letters that byte-level vocabularies write bytes as: printable Latin-1 as itself, the rest from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    letters = {b: chr(b) for b in shown}
-    letters |= {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-    return letters, {c: b for b, c in letters.items()}
-
-
 @lru_cache(maxsize=4)
 def byte_table(path: str) -> list[bytes]:
     """The bytes of each id.  Added tokens stand for their own text."""

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, small_table, stored
 from .tokens import memo
 
 WINDOW = 4096
@@ -56,8 +55,9 @@ def pack(docs: DataFrame, path: str, end_id: int, window: int = WINDOW, id_col:
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     own = stored(encoded(docs, path, end_id, id_col, text_col), "ids")
-    totals = own.groupBy("part").agg(F.sum("n").alias("tokens"))
-    bases = totals.select("part", (F.sum("tokens").over(W.orderBy("part")) - F.col("tokens")).alias("base"))
+    totals = own.groupBy("part").agg(F.sum("n").alias("tokens")).orderBy("part").collect()  # a row for each partition
+    before = np.cumsum([0, *(r["tokens"] for r in totals)]).tolist()
+    bases = small_table(spark, [(r["part"], base) for r, base in zip(totals, before, strict=False)], "part int, base long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rosterlink.llm import bpe, token_count
+from rosterlink.llm import bpe, token_count, tokens
 from rosterlink.llm.tokens import memo
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +32,28 @@ def test_pieces_give_the_librarys_ids(texts):
         assert memo(path).counts(pa.array([*texts, *TEXTS], pa.string())).tolist() == [len(x) for x in got[:-1]]
 
 
+def test_words_and_marks_give_the_librarys_ids(monkeypatch):
+    """Every letter and mark that is not sent through the whole library, in each place, also when hardly anything is remembered."""
+    monkeypatch.setattr(tokens, "GENERATION", 50)
+    one = [c for c in map(chr, range(33, 0x530)) if re.fullmatch(f"[{tokens.LETTERS}{tokens.MARKS}0-9]", c)]
+    assert len(one) > 500
+    texts = [f.format(c) for c in one for f in ("{0}", "a{0}b ({0}). {0}{0}", "x {0}y 1{0}2 Ab{0}, '{0}", ".{0}12, {0}'s")]
+    for path in (BYTE, WORD):
+        own = tokens.PieceMemo(path)
+        assert own.form
+        ids, starts = own.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == [expected(x, path) for x in texts]
+        assert max(map(len, (own.units.young, own.units.old))) <= 50
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abÄßЖ09.,(\"-_<|>' \n", max_size=30), max_size=8))
+def test_mixed_words_and_marks(texts):
+    for path in (BYTE, WORD):
+        ids, starts = memo(path).ids(pa.array([*texts, "<|endoftext|>"]))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])][:-1] == [expected(x, path) for x in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="abcdeéz", min_size=30, max_size=400), st.integers(1, 40))
 def test_tree_concatenation_of_unsplit_text(text, leaf):
