@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,18 +135,21 @@ def without_comma(name: Column) -> Column:
 
 
 def title(name: Column) -> Column:
-    """A capital after anything that is not a letter."""
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("inside"))
-    step = lambda at, c: F.struct(F.concat(at["out"], F.when(at["inside"], F.lower(c)).otherwise(F.upper(c))).alias("out"), c.rlike(r"\p{L}").alias("inside"))
-    return F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), start, step, lambda at: at["out"])
+    """A capital after anything that is not a letter.  A character U+0001 before a space is dropped."""
+    return F.replace(F.initcap(F.regexp_replace(name, r"(?<=\P{L})(?=\p{L})", "\x01 ")), F.lit("\x01 "), F.lit(""))
 
 
 def swapped(name: Column, choice: Column, gap: Column, table: dict[str, list[str]] = SUFFIXES) -> Column:
-    """The name with its ending, if the table has it, in another form; choice and gap are draws."""
-    rules = F.array(*(F.struct(F.lit(key).alias("key"), F.array(*map(F.lit, forms)).alias("forms")) for key, forms in table.items()))
-    rule = F.get(F.filter(rules, lambda r: F.endswith(F.lower(name), r["key"])), F.lit(0))
-    base = F.rtrim(F.substring(name, F.lit(1), F.length(name) - F.length(rule["key"])), F.lit(", "))
-    form = F.element_at(rule["forms"], (F.floor(choice * F.size(rule["forms"])) + 1).cast("int"))
+    """The name with its ending, if the table has it, in another form; choice and gap are draws.
+
+    Looking back from the end finds the shortest ending first; that is the first one of the table as long as no ending there comes before a shorter one that it ends with."""
+    keys = list(table)
+    if any(b.endswith(a) for i, b in enumerate(keys) for a in keys[i + 1 :] if a != b):
+        raise ValueError("an ending comes before a shorter one that it ends with")
+    key = F.regexp_extract(F.lower(name), rf"\z(?<=({'|'.join(map(re.escape, keys))}))", 1)
+    forms = F.try_element_at(F.create_map(*(x for k, values in table.items() for x in (F.lit(k), F.array(*map(F.lit, values))))), key)
+    base = F.rtrim(F.substring(name, F.lit(1), F.length(name) - F.length(key)), F.lit(", "))
+    form = F.get(forms, F.floor(choice * F.size(forms)).cast("int"))
     return F.coalesce(F.concat(base, pick(gap, [" ", ", "]), form), name)
 
 

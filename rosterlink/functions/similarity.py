@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+FIRST, PAIRS = 256, 4096
 BINS = 32
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -22,35 +22,48 @@ def sort_tokens(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
+def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points in a row, and the length of each text."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def side_by_side(texts: list[str], empty: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """A column of code points for each text, `empty` beyond its end, and the lengths."""
+    points, sizes = points_of(texts)
+    codes = np.full((int(sizes.max(initial=0)), len(texts)), empty, np.int32)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    codes[np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = points
+    return codes, sizes
+
+
 class Choices:
     """Texts laid out for scoring; rows in the order given."""
 
     def __init__(self, texts: list[str]) -> None:
         self.texts = texts
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.codes = np.full((int(self.sizes.max(initial=0)), len(texts)), -1, np.int32)
-        self.counts = np.zeros((len(texts), BINS), np.int32)
-        for k, t in enumerate(texts):
-            points = np.frombuffer(t.encode("utf-32-le"), np.int32)
-            self.codes[: len(points), k] = points
-            self.counts[k] = np.bincount(points % BINS, minlength=BINS)
+        self.codes, self.sizes = side_by_side(texts)
+        bins = np.repeat(np.arange(len(texts)) * BINS, self.sizes) + points_of(texts)[0] % BINS
+        self.counts = np.bincount(bins, minlength=len(texts) * BINS).reshape(len(texts), BINS).astype(np.uint16 if self.sizes.max(initial=0) < 1 << 16 else np.int32)
+
+    def common(self, query: str) -> np.ndarray:
+        """At least the length of each common subsequence: common characters, counted in classes of them."""
+        own = np.bincount(points_of([query])[0] % BINS, minlength=BINS)
+        return np.minimum(self.counts, np.minimum(own, np.iinfo(self.counts.dtype).max).astype(self.counts.dtype)).sum(axis=1, dtype=np.int64)
 
     def bounds(self, query: str) -> np.ndarray:
-        """At least the score of each: common characters, counted in classes of them, bound the subsequence."""
-        points = np.frombuffer(query.encode("utf-32-le"), np.int32)
-        common = np.minimum(self.counts, np.bincount(points % BINS, minlength=BINS)).sum(axis=1)
-        return ratio(common, len(points), self.sizes)
+        """At least the score of each."""
+        return ratio(self.common(query), len(query), self.sizes)
 
     def scores(self, query: str, rows: np.ndarray) -> np.ndarray:
         return ratio(common_lengths(query, self.codes[: self.sizes[rows].max(initial=0), rows]), len(query), self.sizes[rows])
 
-    def best(self, query: str, at_least: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, query: str, at_least: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores that hold the `at_least` best (ties included); rows that the bound rules out are not scored."""
         bounds = self.bounds(query)
         by = np.argsort(-bounds, kind="stable")
-        kept, scores, least = [], [], -1.0
-        for at in range(0, len(by), CHUNK):
-            rows = by[at : at + CHUNK]
+        kept, scores, least, at, step = [], [], -1.0, 0, FIRST
+        while at < len(by):
+            rows = by[at : at + step]
             rows = rows[bounds[rows] >= least]
             if not len(rows):
                 break
@@ -59,11 +72,30 @@ class Choices:
             so_far = np.concatenate(scores)
             if len(so_far) >= at_least:
                 least = float(np.partition(so_far, len(so_far) - at_least)[len(so_far) - at_least])
+            at, step = at + step, 2 * step
         rows, so_far = np.concatenate(kept) if kept else np.empty(0, np.int64), np.concatenate(scores) if scores else np.empty(0)
         return rows[so_far >= least], so_far[so_far >= least]
 
+    def best_partial(self, query: str) -> tuple[np.ndarray, float]:
+        """Rows with the highest partial ratio, and that ratio."""
+        common, short = self.common(query), np.minimum(len(query), self.sizes)
+        bounds = np.where(short == 0, 100.0, 200.0 * common / np.maximum(short + common, 1))  # a window holds at most what is common
+        by = np.argsort(-bounds, kind="stable")
+        best, rows, at, step = -1.0, [], 0, 16
+        while at < len(by):
+            some = by[at : at + step]
+            some = some[bounds[some] >= best - 1e-9]
+            if not len(some):
+                break
+            scores = partial_ratios([query] * len(some), [self.texts[i] for i in some])
+            if (top := float(scores.max())) > best:
+                best, rows = top, []
+            rows += some[scores == best].tolist()
+            at, step = at + step, 2 * step
+        return np.array(rows, np.int64), best
+
 
-def ratio(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+def ratio(common: np.ndarray, size: int | np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Two empty texts are alike."""
     total = size + sizes
     return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))
@@ -71,7 +103,7 @@ def ratio(common: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
 
 def common_lengths(query: str, codes: np.ndarray) -> np.ndarray:
     """Lengths of the longest common subsequences of query and each column of codes (-1 beyond its end)."""
-    points = np.frombuffer(query.encode("utf-32-le"), np.int32)
+    points = points_of([query])[0]
     words, n = max(1, -(-len(points) // 64)), codes.shape[1]
     known, place = np.unique(points, return_inverse=True)
     masks = np.zeros((words, len(known) + 1), np.uint64)  # the last is of characters that the query lacks
@@ -80,40 +112,68 @@ def common_lengths(query: str, codes: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, codes)
     at[at == len(known)] = 0
     at = np.where(known[at] == codes, at, len(known)) if len(known) else np.zeros_like(codes)
+    return ones_of((masks[:, row] for row in at), words, np.full(n, len(points)))
+
+
+def ones_of(steps, words: int, sizes: np.ndarray) -> np.ndarray:
+    """Bit-parallel subsequences: steps are the masks (words, pairs) of where the next character is in each pattern; sizes: the patterns' lengths."""
+    n = len(sizes)
     state = np.full((words, n), ALL)
-    for row in at:
+    for masks in steps:
         carry = np.zeros(n, np.uint64)
         for w in range(words):
-            s, m = state[w], masks[w][row]
+            s, m = state[w], masks[w]
             u = s & m
             total = s + u
-            over = total < s
-            total = total + carry
-            carry = (over | (total < carry)).astype(np.uint64)
+            if words > 1:
+                over = total < s
+                total = total + carry
+                carry = (over | (total < carry)).astype(np.uint64)
             state[w] = total | (s & ~m)
     ones = np.zeros(n, np.int64)
     for w in range(words):
-        left = min(64, len(points) - 64 * w)
-        mask = ALL if left == 64 else (np.uint64(1) << np.uint64(left)) - np.uint64(1)
+        left = np.clip(sizes - 64 * w, 0, 64).astype(np.uint64)
+        mask = np.where(left == 64, ALL, (np.uint64(1) << np.minimum(left, np.uint64(63))) - np.uint64(1))
         ones += np.bitwise_count(~state[w] & mask).astype(np.int64)
     return ones
 
 
+def pair_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of the texts of a with those of b, pair by pair."""
+    out = [np.empty(0, np.int64)]
+    for at in range(0, len(a), PAIRS):
+        left, sizes = side_by_side(a[at : at + PAIRS])
+        right, _ = side_by_side(b[at : at + PAIRS], -2)
+        words = max(1, -(-len(left) // 64))
+        padded = np.full((len(sizes), 64 * words), -1, np.int32)
+        padded[:, : len(left)] = left.T
+        steps = (np.packbits(padded == row[:, None], axis=1, bitorder="little").view("<u8").T for row in right)
+        out.append(ones_of(steps, words, sizes))
+    return np.concatenate(out)
+
+
+def pair_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    return ratio(pair_lengths(a, b), np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b)))
+
+
+def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """The best ratio of the shorter text with a window of the longer one: windows of its length, and shorter ones at the ends.  Pair by pair."""
+    patterns, windows, sizes = [], [], []
+    for x, y in zip(a, b, strict=True):
+        ways = [(x, y)] if len(x) < len(y) else [(y, x)] if len(y) < len(x) else [(x, y), (y, x)]
+        found = [(s, w) for s, t in ways for w in {t[max(0, i) : i + len(s)] for i in range(min(0, 1 - len(s)), len(t) if s else 1)}]
+        patterns += [s for s, _ in found]
+        windows += [w for _, w in found]
+        sizes.append(len(found))
+    if not sizes:
+        return np.empty(0)
+    best = np.maximum.reduceat(pair_ratios(patterns, windows), np.cumsum(sizes) - sizes)
+    return np.array([score if x and y else 100.0 * (x == y) for score, x, y in zip(best, a, b, strict=True)])
+
+
 def pair_ratio(a: str, b: str) -> float:
-    return float(Choices([b]).scores(a, np.zeros(1, np.int64))[0])
+    return float(pair_ratios([a], [b])[0])
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a window of the longer one: windows of its length, and shorter ones at the ends."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    n = len(a)
-    windows = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
-    texts = sorted(windows)
-    best = float(Choices(texts).scores(a, np.arange(len(texts))).max())
-    if len(a) == len(b):
-        windows = sorted({a[max(0, i) : i + n] for i in range(1 - n, n)})
-        best = max(best, float(Choices(windows).scores(b, np.arange(len(windows))).max()))
-    return best
+    return float(partial_ratios([a], [b])[0])

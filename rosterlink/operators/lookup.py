@@ -1,4 +1,7 @@
-"""Lookup of normalised names, and the cascade: exact first, similarity only for what is left."""
+"""Lookup of normalised names, and the cascade: exact first, similarity only for what is left.
+
+A null query finds nothing; null names and null or empty former names are never found.  Repeated names, queries and rows are kept apart by
+qid and ord; which of equal names wins is said below.  Other columns of the queries go through lookup.exact unchanged, whatever their names, but for norm and ord, which it adds."""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.names import lookup_form, suffix_form, without_noise
 from ..functions.similarity import token_sorted
+from ..shared import stored
 from .search import best_partial, scored
 
 CASCADE_THRESHOLD = 80.0
@@ -17,33 +21,42 @@ def lookup_table(registry: DataFrame) -> DataFrame:
     """(ord, name, former_names) -> (norm, ord): of equal canonical names the last row wins, before any former name; of former names the first."""
     names = registry.select("ord", F.lit(0).alias("kind"), F.lit(0).alias("nth"), F.col("name").alias("text"))
     former = registry.select("ord", F.lit(1).alias("kind"), F.posexplode("former_names").alias("nth", "text")).filter("text <> ''")
-    rows = names.union(former).select("ord", "kind", "nth", suffix_form(F.col("text")).alias("norm"))
+    rows = names.union(former).select("ord", "kind", "nth", suffix_form(F.col("text")).alias("norm")).filter("norm is not null")
     first = F.struct("kind", F.when(F.col("kind") == 0, -F.col("ord")).otherwise(F.col("ord")).alias("by"), "nth", "ord")
     return rows.groupBy("norm").agg(F.min(first).alias("m")).select("norm", "m.ord")
 
 
 def exact(queries: DataFrame, registry: DataFrame) -> DataFrame:
-    """(qid, query) -> (qid, query, norm, ord): ord is null where nothing fits."""
-    return queries.withColumn("norm", lookup_form(F.col("query"))).join(lookup_table(registry), "norm", "left")
+    """(qid, query, more) -> (norm, qid, query, more, ord): ord is null where nothing fits."""
+    kept = [c for c in queries.columns if c not in ("norm", "ord")]
+    asked = queries.select(lookup_form(F.col("query")).alias("norm"), F.struct(*kept).alias("row"))
+    return asked.join(lookup_table(registry), "norm", "left").select("norm", "row.*", "ord")
 
 
 def fallback_choices(registry: DataFrame) -> DataFrame:
-    """The names as they are, and of the former names that aren't empty the last one."""
-    names = registry.select("ord", F.col("ord").alias("pos"), F.col("name").alias("text"))
-    former = registry.select("ord", (F.col("ord") + (1 << 40)).alias("pos"), F.try_element_at(F.filter("former_names", lambda f: f != ""), F.lit(-1)).alias("text"))
-    return names.union(former.filter("text is not null"))
+    """The names as they are, and of the former names that aren't empty the last one: (ord, kind, nth, text)."""
+    former = F.try_element_at(F.filter("former_names", lambda f: f != ""), F.lit(-1))
+    return registry.select("ord", F.posexplode(F.array("name", former)).alias("kind", "text")).filter("text is not null").select("ord", "kind", F.lit(0).alias("nth"), "text")
+
+
+def best_by(missed: DataFrame, choices: DataFrame, scorer: str) -> DataFrame:
+    """The most similar choices by 'ratio' or 'token_sort' (all of equal ones), or by 'partial' on the query without its noise (the first)."""
+    if scorer == "partial":
+        return best_partial(missed.select("qid", without_noise(F.col("query")).alias("query")), choices)
+    form = {"ratio": lambda c: c, "token_sort": token_sorted}[scorer]
+    return scored(missed.select("qid", form(F.col("query")).alias("query")), choices.withColumn("text", form(F.col("text"))), 1)
 
 
-def cascade(queries: DataFrame, registry: DataFrame, threshold: float = CASCADE_THRESHOLD, partial: bool = True) -> DataFrame:
-    """(qid, query) -> (qid, ord, how, score): how is 'exact', 'similar' or null.  Of equal scores the token-sorted one wins."""
-    tried = exact(queries, registry)
+def cascade(queries: DataFrame, registry: DataFrame, threshold: float = CASCADE_THRESHOLD, scorers: tuple[str, ...] = ("token_sort", "partial")) -> DataFrame:
+    """(qid, query) -> (qid, ord, how, score): how is 'exact', 'similar' or null.  Of equal scores the first scorer's wins."""
+    tried = stored(exact(queries.select("qid", "query"), registry), "tried")  # read by both branches
     hits = tried.filter("ord is not null").select("qid", "ord", F.lit("exact").alias("how"), F.lit(100.0).alias("score"))
     missed = tried.filter("ord is null").select("qid", "query")
     choices = fallback_choices(registry)
-    found = scored(missed.select("qid", token_sorted(F.col("query")).alias("query")), choices.withColumn("text", token_sorted(F.col("text"))), 1)
-    found = found.withColumn("scorer", F.lit(0))
-    if partial:
-        found = found.union(best_partial(missed.select("qid", without_noise(F.col("query")).alias("query")), choices).withColumn("scorer", F.lit(1)))
-    best = found.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "scorer", "pos"))).filter("place = 1")
+    found = None
+    for nth, name in enumerate(scorers):
+        part = best_by(missed, choices, name).withColumn("scorer", F.lit(nth))
+        found = part if found is None else found.union(part)
+    best = found.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "scorer", "kind", "ord"))).filter("place = 1")
     similar = missed.join(best.filter(F.col("score") >= threshold), "qid", "left")
     return hits.union(similar.select("qid", "ord", F.when(F.col("ord").isNotNull(), "similar").alias("how"), "score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from ..functions.names import strip
-from ..functions.similarity import pair_ratio, sort_tokens
+from ..functions.similarity import pair_ratios, sort_tokens
 
-NAME_THRESHOLD = 70.0
+NAME_THRESHOLD, REPLY_THRESHOLD = 70.0, 75.0
 
 
 def json_part(reply: Column) -> Column:
@@ -36,22 +36,32 @@ def by_id(candidates: Column, cik: Column) -> Column:
 def name_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Similarity of two texts with their tokens sorted."""
     for a, b in parts:
-        yield pd.Series([None if x is None or y is None else pair_ratio(sort_tokens(x), sort_tokens(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
+        there = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
+        out = pd.Series([None] * len(a), dtype="float64")
+        out.iloc[there] = pair_ratios([sort_tokens(a.iloc[i]) for i in there], [sort_tokens(b.iloc[i]) for i in there])
+        yield out
+
+
+def places(parts: Iterator[tuple[pd.Series, pd.Series]], fits: Callable[[float], bool]) -> Iterator[pd.Series]:
+    """The place, from 1, of the first of the texts that are most similar to the one given; null if none of them fits."""
+    for texts, text in parts:
+        pairs = [(i, k, own, t) for i, (ts, own) in enumerate(zip(texts, text, strict=True)) if own is not None and ts is not None for k, t in enumerate(ts) if t is not None]
+        scores = pair_ratios([sort_tokens(own) for _, _, own, _ in pairs], [sort_tokens(t) for _, _, _, t in pairs])
+        best: dict[int, tuple[float, int]] = {}
+        for (i, k, _, _), score in zip(pairs, scores, strict=True):
+            if fits(score) and (i not in best or score > best[i][0]):
+                best[i] = score, k + 1
+        yield pd.Series([best[i][1] if i in best else None for i in range(len(text))], dtype="Int32")
 
 
 @F.pandas_udf(IntegerType())
 def nearest(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The place, from 1, of the first of the texts that are most similar to the one given; null if none reaches NAME_THRESHOLD."""
+    yield from places(parts, lambda score: score >= NAME_THRESHOLD)
 
-    def place(texts, text) -> int | None:
-        if text is None or texts is None:
-            return None
-        scores = [-1.0 if t is None else pair_ratio(sort_tokens(text), sort_tokens(t)) for t in texts]
-        best = max(scores, default=-1.0)
-        return scores.index(best) + 1 if best >= NAME_THRESHOLD else None
 
-    for texts, text in parts:
-        yield pd.Series([place(a, b) for a, b in zip(texts, text, strict=True)], dtype="Int32")
+@F.pandas_udf(IntegerType())
+def above(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    yield from places(parts, lambda score: score > REPLY_THRESHOLD)
 
 
 def by_id_or_name(candidates: Column, cik: Column, name: Column) -> Column:
@@ -63,3 +73,11 @@ def by_id_or_name(candidates: Column, cik: Column, name: Column) -> Column:
 
 def plain(name: Column) -> Column:
     return strip(F.replace(F.replace(F.lower(name), F.lit(","), F.lit("")), F.lit("."), F.lit("")))
+
+
+def by_name(candidates: Column, said: Column) -> Column:
+    """The first candidate that equals a reply up to case, commas and points, else the most similar one if it is above 75; null if there is none."""
+    out = plain(said)
+    same = F.try_element_at(F.filter(candidates, lambda c: plain(c["name"]) == out), F.lit(1))
+    place = above(F.transform(candidates, lambda c: F.lower(c["name"])), F.when(same.isNull(), out))
+    return F.coalesce(same, F.get(candidates, place - 1))

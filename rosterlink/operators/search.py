@@ -1,7 +1,10 @@
 """The similarity join: for each query the most similar registry names, exactly.
 
 Queries and choices are dealt into blocks; each pair of blocks is scored by one task, so neither side has to fit in one place and
-nothing is broadcast.  A task hands on, for each query, the rows that may be among its best; ties are settled after that."""
+nothing is broadcast.  A task hands on, for each query, the rows that may be among its best; ties are settled after that.
+
+A null query finds nothing and a null name is never found; an empty query is a text like any other.  Repeated names are choices of their own, told apart by
+ord.  Equal scores are ordered by ord, then by the place of the name in its row.  Other columns of the inputs are not read.  An empty side gives an empty result."""
 
 from __future__ import annotations
 
@@ -12,56 +15,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.names import basic_form
-from ..functions.similarity import Choices, partial_ratio, token_sorted
-
-QUERY_BLOCK = 64
-CHOICE_BLOCK = 1 << 14
-FOUND = "qid long, ord long, pos long, score double"
-
-
-def blocks_of(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
-
-
-def block_pairs(queries: DataFrame, choices: DataFrame, task, schema: str = FOUND) -> DataFrame:
-    nq, nc = blocks_of(queries, QUERY_BLOCK), blocks_of(choices, CHOICE_BLOCK)
+from ..functions.similarity import Choices, token_sorted
+from ..shared import stored
+
+QUERY_BLOCK, CHOICE_BLOCK = 4096, 1 << 14
+LEAST_QUERIES = 32
+FOUND = "qid long, ord long, kind int, nth int, score double"
+
+
+def block_pairs(queries: DataFrame, choices: DataFrame, task) -> DataFrame:
+    """Each block of queries meets each block of choices.  Both sides are written first: they are counted, then read once."""
+    queries = stored(queries.select("qid", "query"), "queries").filter("query is not null")  # a filter before that would repeat what makes the texts
+    choices = stored(choices.select("ord", "kind", "nth", "text"), "choices").filter("text is not null")
+    n_queries, n_choices = queries.count(), choices.count()
+    nc = max(1, -(-n_choices // CHOICE_BLOCK))
+    spread = -(-2 * queries.sparkSession.sparkContext.defaultParallelism // nc)  # few blocks: smaller ones, for all cores
+    nq = max(1, -(-n_queries // QUERY_BLOCK), min(spread, n_queries // LEAST_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("long")).withColumn("cb", every(nc))
-    right = choices.withColumn("cb", F.pmod(F.xxhash64("ord", "pos"), F.lit(nc)).cast("long")).withColumn("qb", every(nq))
-    n = min(4096, nq * nc)  # by number: small in bytes, heavy in work, so not to be coalesced
+    right = choices.withColumn("cb", F.pmod(F.xxhash64("ord", "kind", "nth"), F.lit(nc)).cast("long")).withColumn("qb", every(nq))
+    n = min(1 << 16, nq * nc)  # by number: small in bytes, heavy in work, so not to be coalesced
     left, right = left.repartition(n, "qb", "cb"), right.repartition(n, "qb", "cb")
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(task, schema)
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(task, FOUND)
 
 
-def scored(queries: DataFrame, choices: DataFrame, at_least: int = 0, threshold: float | None = None) -> DataFrame:
-    """(qid, query) and (ord, pos, text) -> (qid, ord, pos, score): the best `at_least` of each pair of blocks with
-    ties, or all at the threshold or above."""
+def scoring(best):
+    """A task over a pair of blocks; best(choices laid out, query) gives rows and their scores."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"qid": [], "ord": [], "pos": [], "score": []}
+        qids, rows, scores = [], [np.empty(0, np.int64)], [np.empty(0)]
         if left.num_rows and right.num_rows:
             held = Choices(right["text"].to_pylist())
-            ords, places = right["ord"].to_numpy(), right["pos"].to_numpy()
-            for qid, query in zip(left["qid"].to_pylist(), left["query"].to_pylist(), strict=True):
-                if threshold is None:
-                    rows, scores = held.best(query, at_least)
-                else:
-                    rows = np.flatnonzero(held.bounds(query) >= threshold)
-                    scores = held.scores(query, rows) if len(rows) else np.empty(0)
-                    rows, scores = rows[scores >= threshold], scores[scores >= threshold]
-                for name, x in (("qid", np.full(len(rows), qid)), ("ord", ords[rows]), ("pos", places[rows]), ("score", scores)):
-                    out[name].append(x)
-        return pa.table({k: pa.array(np.concatenate(v) if v else np.empty(0), pa.float64() if k == "score" else pa.int64()) for k, v in out.items()})
+            for query in left["query"].to_pylist():
+                found, score = best(held, query)
+                rows.append(found)
+                scores.append(score)
+            qids = np.repeat(left["qid"].to_numpy(), [len(x) for x in rows[1:]])
+        at = pa.array(np.concatenate(rows), pa.int64())
+        return pa.table({"qid": pa.array(qids, pa.int64()), **{c: right[c].take(at) for c in ("ord", "kind", "nth")}, "score": pa.array(np.concatenate(scores), pa.float64())})
 
-    return block_pairs(queries.select("qid", "query"), choices.select("ord", "pos", "text"), task)
+    return task
+
+
+def scored(queries: DataFrame, choices: DataFrame, at_least: int = 0, threshold: float | None = None) -> DataFrame:
+    """(qid, query) and (ord, kind, nth, text) -> (qid, ord, kind, nth, score): the best `at_least` of each pair of blocks with
+    ties, or all at the threshold or above."""
+
+    def above(held: Choices, query: str):
+        rows = np.flatnonzero(held.bounds(query) >= threshold)
+        scores = held.scores(query, rows) if len(rows) else np.empty(0)
+        return rows[scores >= threshold], scores[scores >= threshold]
+
+    return block_pairs(queries, choices, scoring((lambda held, query: held.best(query, at_least)) if threshold is None else above))
 
 
 def choices_of(registry: DataFrame) -> DataFrame:
-    """(ord, name, former_names) -> (ord, pos, text): the searched form of the name, and the last former name that isn't empty, lower-cased only."""
+    """(ord, name, former_names) -> (ord, kind, nth, text): the searched form of the name, and the last former name that isn't empty, lower-cased only."""
     former = F.lower(F.try_element_at(F.filter("former_names", lambda f: f != ""), F.lit(-1)))
-    both = F.array(F.struct(F.lit(0).alias("pos"), basic_form(F.col("name")).alias("text")), F.struct(F.lit(1).alias("pos"), former.alias("text")))
-    rows = registry.select("ord", F.explode(both).alias("c")).filter("c.text is not null")
-    return rows.select("ord", (F.col("ord") * 2 + F.col("c.pos")).alias("pos"), token_sorted(F.col("c.text")).alias("text"))
+    rows = registry.select("ord", F.posexplode(F.array(basic_form(F.col("name")), former)).alias("kind", "raw"))
+    return rows.select("ord", "kind", F.lit(0).alias("nth"), token_sorted(F.col("raw")).alias("text"))
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -79,10 +91,10 @@ def top_k(queries: DataFrame, registry: DataFrame, k: int) -> DataFrame:
 
 def top_k_all_former(queries: DataFrame, registry: DataFrame, k: int) -> DataFrame:
     """The older form: texts as they are, all former names, the best 2k rows before one for each registry row is kept."""
-    names = F.concat(F.array("name"), F.filter("former_names", lambda f: f != ""))
-    choices = registry.select("ord", F.posexplode(names).alias("nth", "raw")).select("ord", (F.col("ord") * 4096 + F.col("nth")).alias("pos"), token_sorted(F.col("raw")).alias("text"))
+    names = F.concat(F.array("name"), F.coalesce(F.filter("former_names", lambda f: f != ""), F.array().cast("array<string>")))
+    choices = registry.select("ord", F.lit(0).alias("kind"), F.posexplode(names).alias("nth", "raw")).withColumn("text", token_sorted(F.col("raw")))
     found = scored(queries.select("qid", token_sorted(F.col("query")).alias("query")), choices, 2 * k)
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "pos"))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "ord", "nth"))
     first = found.withColumn("place", place).filter(F.col("place") <= 2 * k).groupBy("qid", "ord").agg(F.min("place").alias("place"), F.max("score").alias("score"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("place"))).filter(F.col("rank") <= k).drop("place")
 
@@ -94,26 +106,12 @@ def above(queries: DataFrame, registry: DataFrame, threshold: float) -> DataFram
 
 
 def best_partial(queries: DataFrame, choices: DataFrame) -> DataFrame:
-    """(qid, query) and (ord, pos, text) -> (qid, ord, pos, score): the best partial ratio, the first of equal ones."""
+    """(qid, query) and (ord, kind, nth, text) -> (qid, ord, kind, nth, score): the best partial ratio, the first of equal ones by kind, ord and nth."""
 
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        rows = sorted(zip(right["pos"].to_pylist(), right["ord"].to_pylist(), right["text"].to_pylist(), strict=True))
-        for qid, query in zip(left["qid"].to_pylist(), left["query"].to_pylist(), strict=True):
-            best = (-1.0, 0, 0)
-            bins = np.bincount(np.frombuffer(query.encode("utf-32-le"), np.int32) % 64, minlength=64)
-            for pos, ord_, text in rows:
-                short = min(len(query), len(text))
-                common = int(np.minimum(bins, np.bincount(np.frombuffer(text.encode("utf-32-le"), np.int32) % 64, minlength=64)).sum())
-                if short and 200.0 * common / (short + common) <= best[0]:  # no window can do better
-                    continue
-                score = partial_ratio(query, text)
-                if score > best[0]:
-                    best = (score, ord_, pos)
-            if rows:
-                out.append((qid, best[1], best[2], best[0]))
-        a, b, c, d = zip(*out, strict=True) if out else ((), (), (), ())
-        return pa.table({"qid": pa.array(a, pa.int64()), "ord": pa.array(b, pa.int64()), "pos": pa.array(c, pa.int64()), "score": pa.array(d, pa.float64())})
-
-    found = block_pairs(queries.select("qid", "query"), choices.select("ord", "pos", "text"), task)
-    return found.groupBy("qid").agg(F.max(F.struct("score", (-F.col("pos")).alias("back"), "ord")).alias("m")).select("qid", "m.ord", (-F.col("m.back")).alias("pos"), "m.score")
+    def best(held: Choices, query: str):
+        rows, score = held.best_partial(query)
+        return rows, np.full(len(rows), score)
+
+    found = block_pairs(queries, choices, scoring(best))
+    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "kind", "ord", "nth"))
+    return found.withColumn("place", place).filter("place = 1").drop("place")

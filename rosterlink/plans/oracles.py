@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions.names import COMMA_RULE, LIGHT_WRAPPERS, NOISE_RULES, SUFFIX_RULES, SUFFIXES, WRAPPERS
+from ..functions.names import AND_RULE, COMMA_RULE, JOINERS, LIGHT_WRAPPERS, NOISE_RULES, SUFFIX_RULES, SUFFIXES, WRAPPERS
+from ..operators.prompts import SYSTEM_PLAIN
 
 
 def text(x: str) -> str:
@@ -73,27 +74,66 @@ MESSY = f"messy AS (SELECT *, replace(({listed(WRAPPERS)})[(cik % 13)::int + 1],
 FORMER = f"former AS (SELECT cik, name, entity_type, nth - 1 AS nth, former_names[nth] AS former FROM (SELECT *, unnest(range(1, len(former_names) + 1)) AS nth FROM registry) WHERE former_names[nth] <> '' AND {strip('lower(former_names[nth])')} <> {strip('lower(name)')})"
 
 
+def noise(source: str, key: tuple[str, ...], p: str) -> str:
+    """CTEs up to {p}6, each kind of noise as its own column: k1 to k3, and the noisy name c before it is wrapped."""
+    v = lambda s: u(s, *key)
+    joined = f"regexp_replace(a, {text(AND_RULE)}, {pick(v('joiner'), JOINERS)}, 'g')"
+    return f"""{p}1 AS (SELECT *, {v('swap?')} < 0.85 AS k1, {v('points?')} < 0.5 AS k2, {v('case?')} < 0.4 AS k3 FROM {source}),
+{p}2 AS (SELECT *, CASE WHEN k1 THEN {swapped('name', v('swap'), v('gap'))} ELSE name END AS a FROM {p}1),
+{p}3 AS (SELECT *, CASE WHEN k2 THEN {joined} ELSE a END AS b0 FROM {p}2),
+{p}4 AS (SELECT *, CASE WHEN k2 AND {v('commas')} < 0.3 THEN replace(b0, ',', '') ELSE b0 END AS b1 FROM {p}3),
+{p}5 AS (SELECT *, CASE WHEN k2 AND {v('spaces')} < 0.2 THEN regexp_replace(b1, '\\s+', '  ', 'g') ELSE b1 END AS b FROM {p}4),
+{p}6 AS (SELECT *, CASE WHEN k3 THEN {recased('b', v('case'))} ELSE b END AS c FROM {p}5)"""
+
+
 def noisy_steps() -> str:
-    """First data set: CTEs, each kind of noise as its own column."""
+    """First data set."""
     key = ("cik", "'noisy'", "variant")
-    v = lambda s: u(s, *key)
-    joined = rf"regexp_replace(a, '\s*&\s*', {pick(v('joiner'), [' & ', ' and ', ' AND '])}, 'g')"
     s = lambda salt: u(salt, "cik", "'suffix'", "variant")
-    return f"""n0 AS (SELECT *, unnest(range(0, 5)) AS variant FROM registry),
-n1 AS (SELECT *, {v('swap?')} < 0.85 AS k1, {v('points?')} < 0.5 AS k2, {v('case?')} < 0.4 AS k3 FROM n0),
-n2 AS (SELECT *, CASE WHEN k1 THEN {swapped('name', v('swap'), v('gap'))} ELSE name END AS a FROM n1),
-n3 AS (SELECT *, CASE WHEN k2 THEN {joined} ELSE a END AS b0 FROM n2),
-n4 AS (SELECT *, CASE WHEN k2 AND {v('commas')} < 0.3 THEN replace(b0, ',', '') ELSE b0 END AS b1 FROM n3),
-n5 AS (SELECT *, CASE WHEN k2 AND {v('spaces')} < 0.2 THEN regexp_replace(b1, '\\s+', '  ', 'g') ELSE b1 END AS b FROM n4),
-n6 AS (SELECT *, CASE WHEN k3 THEN {recased('b', v('case'))} ELSE b END AS c FROM n5),
+    return f"""n0 AS (SELECT *, unnest(range(0, 5)) AS variant FROM registry), {noise('n0', key, 'n')},
 s1 AS (SELECT *, CASE WHEN {s('swap?')} < 0.9 THEN {swapped('name', s('swap'), s('gap'))} ELSE name END AS a FROM (SELECT *, unnest(range(0, 2)) AS variant FROM registry)),
 examples AS (
   SELECT cik, 'former' AS branch, nth::bigint AS variant, former AS input, name, entity_type, true AS is_former, 'hard' AS difficulty FROM former
-  UNION ALL SELECT cik, 'noisy', variant, {wrapped('c', v('wrapper'))}, name, entity_type, false, CASE WHEN k1::int + k2::int + k3::int >= 2 THEN 'hard' ELSE 'easy' END FROM n6
+  UNION ALL SELECT cik, 'noisy', variant, {wrapped('c', u('wrapper', *key))}, name, entity_type, false, CASE WHEN k1::int + k2::int + k3::int >= 2 THEN 'hard' ELSE 'easy' END FROM n6
   UNION ALL SELECT cik, 'suffix', variant, {wrapped('a', s('wrapper'))}, name, entity_type, false, 'hard' FROM s1
   UNION ALL SELECT cik, 'identity', 0, name, name, entity_type, false, 'easy' FROM registry)"""
 
 
+ASKED_KEY = ("cik", "'query'")
+ASKED = f"""q0 AS (SELECT * FROM registry WHERE cik % 50 = 0), {noise('q0', ASKED_KEY, 'q')},
+asked AS MATERIALIZED (SELECT cik AS qid, cik, name, {wrapped('c', u('wrapper', *ASKED_KEY))} AS query FROM q6)"""
+HARD = "(contains(lower(query), 'former') OR contains(query, '/DE/'))"
+
+
+def tokens(x: str) -> str:
+    return rf"array_to_string(list_sort(list_filter(string_split_regex({x}, '\s+'), lambda t: t <> '')), ' ')"
+
+
+def ratios(pairs: str, out: str) -> str:
+    """A CTE that adds score, 200 * the longest common subsequence / both lengths, to a table of pairs (a, b); a has up to 120 characters.
+
+    One bit of a number for each character of a; the characters of b are run through it."""
+    chars = f"SELECT a, map_from_entries(list(row(ch, m))) AS masks FROM (SELECT a, ch, sum(pow(2, i - 1)::hugeint)::hugeint AS m FROM (SELECT a, unnest(string_split(a, '')) AS ch, generate_subscripts(string_split(a, ''), 1) AS i FROM (SELECT DISTINCT a FROM {pairs} WHERE a <> '')) GROUP BY a, ch) GROUP BY a"
+    step = "lambda v, m: ((v + (v & m)) | (v - (v & m))) & full"
+    masks = "list_transform(CASE WHEN b = '' THEN [] ELSE string_split(b, '') END, lambda ch: coalesce(masks[ch], 0::hugeint))"
+    bits = f"list_reduce({masks}, {step}, full)".replace("full", "(pow(2, length(a))::hugeint - 1)")
+    return f"""{out}_m AS MATERIALIZED ({chars}),
+{out} AS MATERIALIZED (SELECT * EXCLUDE (common), CASE WHEN length(a) + length(b) = 0 THEN 100::double ELSE (200::double * common) / (length(a) + length(b)) END AS score
+  FROM (SELECT p.*, CASE WHEN p.a = '' THEN 0 ELSE length(p.a) - bit_count({bits.replace('length(a)', 'length(p.a)').replace("b = ''", "p.b = ''").replace("string_split(b", "string_split(p.b")}) END AS common FROM {pairs} p LEFT JOIN {out}_m k ON p.a = k.a))"""
+
+
+LAST = "list_filter(former_names, lambda f: f <> '')[-1]"
+CHOICES = f"""choices AS (SELECT ord, {tokens(basic('name'))} AS b FROM registry WHERE name IS NOT NULL UNION ALL SELECT ord, {tokens(f'lower({LAST})')} FROM registry WHERE {LAST} IS NOT NULL),
+pairs AS (SELECT qid, ord, {tokens(basic('query'))} AS a, b FROM asked, choices), {ratios('pairs', 'rated')}"""
+
+
+def best_rows(k: int) -> str:
+    return f"best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord) AS rank FROM (SELECT qid, ord, max(score) AS score FROM rated GROUP BY qid, ord)) WHERE rank <= {k})"
+
+
+FOUND = f"{CHOICES}, {best_rows(3)}, cand AS MATERIALIZED (SELECT b.qid, b.rank, b.score, r.cik AS c_cik, r.name AS c_name, r.entity_type AS c_type, a.query, a.cik, a.name FROM best b JOIN registry r ON b.ord = r.ord JOIN asked a ON a.qid = b.qid)"
+
+
 def second_steps() -> str:
     f = lambda salt: u(salt, "cik", "'former'", "nth")
     li = lambda salt: u(salt, "cik", "'light'", "variant")
@@ -114,10 +154,31 @@ second AS (
   UNION ALL SELECT 'identity', name, true, false, 'easy' FROM registry)"""
 
 
-LOOKUP = f"""named AS (SELECT ord, 0 AS kind, 0 AS nth, name AS t FROM registry UNION ALL SELECT ord, 1, nth, former_names[nth] FROM (SELECT *, unnest(range(1, len(former_names) + 1)) AS nth FROM registry) WHERE former_names[nth] <> ''),
+LOOKUP_TABLE = f"""named AS (SELECT ord, 0 AS kind, 0 AS nth, name AS t FROM registry UNION ALL SELECT ord, 1, nth, former_names[nth] FROM (SELECT *, unnest(range(1, len(former_names) + 1)) AS nth FROM registry) WHERE former_names[nth] <> ''),
 normed AS (SELECT *, {suffix_form('t')} AS norm FROM named),
-lookup AS (SELECT norm, ord FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY kind, CASE WHEN kind = 0 THEN -ord ELSE ord END, nth) AS r FROM normed) WHERE r = 1),
-tried AS (SELECT m.cik AS qid, m.name, {suffix_form(noiseless('m.messy'))} AS norm FROM messy m)"""
+lookup AS (SELECT norm, ord FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY kind, CASE WHEN kind = 0 THEN -ord ELSE ord END, nth) AS r FROM normed) WHERE r = 1)"""
+LOOKUP = f"""{LOOKUP_TABLE}, tried AS (SELECT m.cik AS qid, m.name, {suffix_form(noiseless('m.messy'))} AS norm FROM messy m)"""
+CASCADE = f"""{LOOKUP_TABLE}, looked AS MATERIALIZED (SELECT t.qid, t.query, l.ord FROM (SELECT qid, query, {suffix_form(noiseless('query'))} AS norm FROM asked) t LEFT JOIN lookup l ON t.norm = l.norm),
+fallback AS (SELECT ord, 0 AS kind, {tokens('name')} AS b FROM registry WHERE name IS NOT NULL UNION ALL SELECT ord, 1, {tokens(LAST)} FROM registry WHERE {LAST} IS NOT NULL),
+left_over AS (SELECT qid, f.ord, kind, {tokens('query')} AS a, b FROM looked, fallback f WHERE looked.ord IS NULL), {ratios('left_over', 'likened')},
+nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind, ord) AS place FROM likened) WHERE place = 1 AND score >= 80),
+cascade AS (SELECT qid, ord, 'exact' AS how, 100::double AS score FROM looked WHERE ord IS NOT NULL
+  UNION ALL SELECT w.qid, n.ord, CASE WHEN n.ord IS NOT NULL THEN 'similar' END, n.score FROM looked w LEFT JOIN nearest n ON w.qid = n.qid WHERE w.ord IS NULL)"""
+
+
+def plain(x: str) -> str:
+    return strip(f"replace(replace(lower({x}), ',', ''), '.', '')")
+
+
+# a prediction: the second candidate's name without commas, and its id where the query's id isn't divisible by 100
+RESOLVED = f"""told AS (SELECT qid, upper(replace(coalesce(max(c_name) FILTER (WHERE rank = 2), max(c_name) FILTER (WHERE rank = 1)), ',', '')) AS predicted,
+  CASE WHEN qid % 100 <> 0 THEN coalesce(max(c_cik) FILTER (WHERE rank = 2), max(c_cik) FILTER (WHERE rank = 1)) END AS predicted_cik FROM cand GROUP BY qid)"""
+
+
+def likest(said: str, name: str) -> str:
+    return f"said AS (SELECT c.qid, c.rank, c.c_cik, c.c_name, {tokens(said)} AS a, {tokens(f'lower({name})')} AS b FROM cand c JOIN told t ON c.qid = t.qid), {ratios('said', 'compared')}"
+
+
 LABELLED = """labelled AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'hard' WHEN quality = 1 THEN 'easy' ELSE 'other' END AS difficulty,
   coalesce(trim(lower(source)) = trim(lower(CASE WHEN n_chars > 1000 THEN ' ' || upper(source) WHEN n_chars > 200 THEN lang END)), false) AS name_match,
   coalesce(ltrim(d.doc_id::varchar, '0') = ltrim(CASE WHEN n_chars % 3 = 0 THEN '00' || d.doc_id::varchar WHEN n_chars % 3 = 1 THEN n_chars::varchar END, '0'), false) AS cik_match
@@ -148,6 +209,10 @@ def drawn_sql(examples: str, key: list[str], salt: str, k: int = 5) -> str:
     return ", ".join(steps)
 
 
+def answer_sql(name: str, kind: str, former: str) -> str:
+    return f"""'{{"canonical_name":"' || {name} || '","cik":' || cik || ',"entity_type":"' || coalesce(nullif({kind}, ''), 'unknown') || '","is_former_name_input":' || CASE WHEN {former} THEN 'true' ELSE 'false' END || '}}'"""
+
+
 ONE = "WITH " + ENTITIES
 ONE_KEY = ("cik", "'one'")
 SQL: dict[str, str] = {
@@ -163,7 +228,7 @@ SQL: dict[str, str] = {
     "title_case": f"{ONE}, t AS (SELECT name AS text FROM registry UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region) SELECT text, {title('text')} AS titled FROM t",
     "suffix_swap": f"{ONE} SELECT cik, {swapped('name', u('swap', *ONE_KEY), u('gap', *ONE_KEY))} AS swapped FROM registry",
     "casing_noise": f"{ONE} SELECT cik, {recased('name', u('case', *ONE_KEY))} AS recased FROM registry",
-    "punctuation_noise": rf"""{ONE}, a AS (SELECT *, regexp_replace(name, '\s*&\s*', {pick(u('joiner', *ONE_KEY), [' & ', ' and ', ' AND '])}, 'g') AS x FROM registry),
+    "punctuation_noise": rf"""{ONE}, a AS (SELECT *, regexp_replace(name, {text(AND_RULE)}, {pick(u('joiner', *ONE_KEY), JOINERS)}, 'g') AS x FROM registry),
 b AS (SELECT *, CASE WHEN {u('commas', *ONE_KEY)} < 0.3 THEN replace(x, ',', '') ELSE x END AS y FROM a)
 SELECT cik, CASE WHEN {u('spaces', *ONE_KEY)} < 0.2 THEN regexp_replace(y, '\s+', '  ', 'g') ELSE y END AS noisy FROM b""",
     "noisy_variants": f"{ONE}, {FORMER}, {noisy_steps()} SELECT cik, branch, variant, input, name AS canonical_name, coalesce(nullif(entity_type, ''), 'unknown') AS entity_type, is_former, difficulty FROM examples",
@@ -177,8 +242,36 @@ count(*) FILTER (WHERE changed AND NOT in_test AND is_former) AS former, count(*
     "random_distractors": f"{ONE}, {placed_sql('distractor')}, {drawn_sql('placed', ['cik'], 'distractor')} SELECT cik, slot, candidate_cik FROM picked",
     "token_sort": rf"{ONE}, {MESSY} SELECT cik, array_to_string(list_sort(list_filter(string_split_regex(messy, '\s+'), lambda t: t <> '')), ' ') AS sorted FROM messy",
     "exact_lookup": f"{ONE}, {MESSY}, {LOOKUP} SELECT t.qid, t.norm, l.ord FROM tried t LEFT JOIN lookup l ON t.norm = l.norm",
+    "fuzzy_topk": f"{ONE}, {ASKED}, {CHOICES}, {best_rows(3)} SELECT qid, rank, ord, round(score, 6) AS score FROM best",
+    "fuzzy_topk_all_former": f"""{ONE}, {ASKED}, choices AS (SELECT ord, 0 AS nth, {tokens('name')} AS b FROM registry UNION ALL SELECT ord, nth, {tokens('f')} FROM (SELECT ord, unnest(list_filter(former_names, lambda f: f <> '')) AS f, generate_subscripts(list_filter(former_names, lambda f: f <> ''), 1) AS nth FROM registry)),
+pairs AS (SELECT qid, ord, nth, {tokens('query')} AS a, b FROM asked, choices), {ratios('pairs', 'rated')},
+placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord, nth) AS place FROM rated) WHERE place <= 6),
+firsts AS (SELECT qid, ord, min(place) AS place, max(score) AS score FROM placed GROUP BY qid, ord)
+SELECT qid, rank, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM firsts) WHERE rank <= 3""",
+    "fuzzy_threshold": f"{ONE}, {ASKED}, {CHOICES} SELECT qid, ord, round(max(score), 6) AS score FROM rated WHERE score >= 80 GROUP BY qid, ord",
+    "match_cascade": f"{ONE}, {ASKED}, {CASCADE} SELECT qid, ord, how, round(score, 6) AS score FROM cascade",
+    "flagship": f"{ONE}, {ASKED}, {FOUND} SELECT qid, query, c_cik AS found_cik, c_name AS found_name, round(score, 6) AS score, name = c_name AS name_match, cik = c_cik AS cik_match FROM cand WHERE rank = 1",
+    "candidate_prompt": f"""{ONE}, {ASKED}, {FOUND} SELECT qid, 'Company name: "' || any_value(query) || '"' || chr(10) || chr(10) || 'Candidates:' || chr(10) || string_agg(rank || '. canonical_name: "' || c_name || '"  cik: ' || c_cik, chr(10) ORDER BY rank) AS prompt,
+string_agg('[' || rank || '] ' || c_name || ' | CIK: ' || c_cik || ' | Type: ' || coalesce(nullif(c_type, ''), 'unknown'), chr(10) ORDER BY rank) AS bracketed FROM cand GROUP BY qid""",
+    "resolve_by_id": f"""{ONE}, {ASKED}, {FOUND}, {RESOLVED}, {likest('lower(t.predicted)', 'c.c_name')},
+hit AS (SELECT c.qid, first(c.c_cik ORDER BY c.rank) AS cik, first(c.c_name ORDER BY c.rank) AS name FROM cand c JOIN told t ON c.qid = t.qid AND c.c_cik = t.predicted_cik GROUP BY c.qid),
+near AS (SELECT qid, first(c_cik ORDER BY score DESC, rank) AS cik, first(c_name ORDER BY score DESC, rank) AS name FROM compared WHERE score >= 70 GROUP BY qid)
+SELECT t.qid, coalesce(hit.name, near.name, t.predicted) AS name, coalesce(hit.cik, near.cik) AS resolved_cik FROM told t LEFT JOIN hit ON t.qid = hit.qid LEFT JOIN near ON t.qid = near.qid""",
+    "resolve_by_name": f"""{ONE}, {ASKED}, {FOUND}, {RESOLVED}, {likest(plain('t.predicted'), 'c.c_name')},
+same AS (SELECT c.qid, first(c.c_cik ORDER BY c.rank) AS cik FROM cand c JOIN told t ON c.qid = t.qid AND {plain('c.c_name')} = {plain('t.predicted')} GROUP BY c.qid),
+near AS (SELECT qid, first(c_cik ORDER BY score DESC, rank) AS cik FROM compared WHERE score > 75 GROUP BY qid)
+SELECT t.qid, coalesce(same.cik, near.cik) AS resolved_cik, same.cik IS NOT NULL AS same FROM told t LEFT JOIN same ON t.qid = same.qid LEFT JOIN near ON t.qid = near.qid""",
+    "eval_report": f"""{ONE}, {ASKED}, {FOUND}, {CASCADE}, answers AS (SELECT 'first candidate' AS model, query, name, cik, c_name AS a_name, c_cik AS a_cik FROM cand WHERE rank = 1
+  UNION ALL SELECT 'rule matcher', a.query, a.name, a.cik, r.name, r.cik FROM asked a JOIN cascade c ON a.qid = c.qid LEFT JOIN registry r ON c.ord = r.ord),
+flags AS (SELECT model, coalesce(name = a_name, false) AS name_match, coalesce(cik = a_cik, false) AS cik_match, {HARD} AS hard FROM answers)
+SELECT model, count(*) AS n, count(*) FILTER (WHERE name_match) AS name_hits, count(*) FILTER (WHERE cik_match) AS cik_hits, count(*) FILTER (WHERE hard) AS hard, count(*) FILTER (WHERE hard AND name_match) AS hard_hits, {share('name_match')} AS hit_rate FROM flags GROUP BY model""",
+    "distractor_examples": f"""{ONE}, {FORMER}, {noisy_steps()}, {placed_sql('distractor')}, {drawn_sql('examples', ['cik', 'branch', 'variant'], 'distractor')},
+lists AS (SELECT cik, branch, variant, string_agg('[' || slot || '] ' || candidate_name || ' | CIK: ' || candidate_cik || ' | Type: ' || coalesce(nullif(candidate_type, ''), 'unknown'), chr(10) ORDER BY slot) AS listed FROM picked GROUP BY cik, branch, variant)
+SELECT cik, branch, variant, 'Company name: ' || input || chr(10) || chr(10) || 'One of these is meant:' || chr(10) || listed AS prompt, {answer_sql('name', 'entity_type', 'is_former')} AS answer, difficulty FROM examples JOIN lists USING (cik, branch, variant)""",
+    "chat_splits": f"""{ONE}, {FORMER}, {noisy_steps()}, keyed AS (SELECT *, concat_ws('|', cik, branch, variant) AS key FROM examples), ordered AS (SELECT *, row_number() OVER (ORDER BY {u('split', 'key')}, key) AS place, count(*) OVER () AS total FROM keyed)
+SELECT {text(SYSTEM_PLAIN)} AS "system", input AS "user", {answer_sql('name', 'entity_type', 'is_former')} AS assistant, difficulty, CASE WHEN place <= greatest(50, floor(total * 0.1)) THEN 'test' WHEN place <= 2 * greatest(50, floor(total * 0.1)) THEN 'valid' ELSE 'train' END AS split FROM ordered""",
     "chat_assembly": r"SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, list(text ORDER BY turn)[2] AS second, list(role ORDER BY turn)[-1] AS last_role, count(*) AS turns FROM conversations GROUP BY conv_id",
-    "answer_json": f"""{ONE} SELECT cik, '{{"canonical_name":"' || name || '","cik":' || cik || ',"entity_type":"' || coalesce(nullif(entity_type, ''), 'unknown') || '","is_former_name_input":' || CASE WHEN cik % 2 = 0 THEN 'true' ELSE 'false' END || '}}' AS answer FROM registry""",
+    "answer_json": f"{ONE} SELECT cik, {answer_sql('name', 'entity_type', '(cik % 2 = 0)')} AS answer FROM registry",
     "model_output_parse": r"""WITH r AS (SELECT event_id, '```json' || chr(10) || CASE WHEN event_id % 7 = 0 THEN substr(props, 1, 4) ELSE props END || chr(10) || '```' AS t FROM events),
 p AS (SELECT event_id, try_cast(nullif(regexp_extract(t, '(?s)\{.*\}', 0), '') AS json) AS j FROM r) SELECT event_id, j IS NOT NULL AS parsed, try_cast(json_extract_string(j, '$.k') AS bigint) AS k FROM p""",
     "score_rows": f"WITH {LABELLED} SELECT doc_id, difficulty, name_match, cik_match, name_match AND cik_match AS full_match FROM labelled",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.draws import uniform
 from ..functions.similarity import token_sorted
-from ..operators import datasets, lookup, prompts, resolve, score, search, splits
+from ..operators import builds, datasets, lookup, prompts, resolve, score, search, selector, splits
+from ..shared import stored
 from ..sources.registry import entities
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,15 +33,18 @@ def asked(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return names.with_messy(rows, "name", F.col("cik"), F.lit("query"), to="query").select(F.col("cik").alias("qid"), "query", "cik", "name", *more)
 
 
-def found(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """asked with its k candidates: (qid, query, name, candidates)."""
-    registry = entities(spark, sf_dir)
-    queries = asked(spark, sf_dir)
+def with_candidates(queries: DataFrame, registry: DataFrame, k: int = 3) -> DataFrame:
+    """queries with their k candidates, best first."""
     best = search.top_k(queries, registry, k).join(registry.select("ord", "cik", F.col("name"), "entity_type"), "ord")
     lists = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "cik", "name", "entity_type", "score"))).alias("candidates"))
     return queries.join(lists, "qid")
 
 
+def found(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """asked with its k candidates: (qid, query, cik, name, candidates)."""
+    return with_candidates(stored(asked(spark, sf_dir), "asked"), entities(spark, sf_dir), k)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy queries resolved to their first candidate, and whether that is right."""
     first = F.get("candidates", F.lit(0))
@@ -124,8 +128,8 @@ def variants_v3_counts(spark, sf_dir):
 
 
 def decontaminate_exact(spark, sf_dir):
-    rows = datasets.first_examples(entities(spark, sf_dir))
-    return datasets.without_inputs(rows, held_inputs(spark, sf_dir)).select("cik", "branch", F.col("variant").cast("long").alias("variant"), "input")
+    rows = stored(datasets.first_examples(entities(spark, sf_dir)), "examples")  # made once, read as both sides
+    return datasets.without_inputs(rows, rows.filter("cik % 7 = 0")).select("cik", "branch", F.col("variant").cast("long").alias("variant"), "input")
 
 
 def decontaminate_contains(spark, sf_dir):
@@ -171,7 +175,7 @@ def exact_lookup(spark, sf_dir):
 
 
 def match_cascade(spark, sf_dir):
-    found = lookup.cascade(asked(spark, sf_dir).select("qid", "query"), entities(spark, sf_dir), partial=False)
+    found = lookup.cascade(asked(spark, sf_dir).select("qid", "query"), entities(spark, sf_dir), scorers=("token_sort",))
     return found.select("qid", "ord", "how", F.round("score", 6).alias("score"))
 
 
@@ -182,9 +186,21 @@ def match_cascade_two_scorers(spark, sf_dir):
 
 def retrieval_examples(spark, sf_dir):
     registry = entities(spark, sf_dir)
-    targets = datasets.without_ciks(registry, read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cik"))).filter("cik % 50 = 0")
-    out = datasets.retrieval_examples(registry, targets)
-    return out.withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long"), "nth": F.col("nth").cast("long")})
+    targets = datasets.without_ciks(registry, read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cik")))
+    out = datasets.retrieval_examples(registry, targets).withColumn("c", F.explode("candidates"))
+    return out.select("cik", "attempt", F.col("nth").cast("long").alias("nth"), "query", "canonical_name", "entity_type", F.col("c.rank").cast("long").alias("rank"), F.col("c.cik").alias("candidate_cik"), F.col("c.name").alias("candidate_name"), F.round("c.score", 6).alias("score"), "is_former", "difficulty")
+
+
+def distractor_examples(spark, sf_dir):
+    """Examples with drawn candidates, as their prompts and answers."""
+    out = datasets.distractor_examples(entities(spark, sf_dir))
+    return out.select("cik", "branch", F.col("variant").cast("long").alias("variant"), prompts.listed_prompt(F.col("input"), F.col("candidates")).alias("prompt"), prompts.answer(F.col("canonical_name"), F.col("cik"), F.col("entity_type"), F.col("is_former")).alias("answer"), "difficulty")
+
+
+def chat_splits(spark, sf_dir):
+    """The first data set as chat rows in splits."""
+    out = builds.plain_chats(entities(spark, sf_dir))
+    return out.select(*(F.col("messages")[i]["content"].alias(name) for i, name in enumerate(("system", "user", "assistant"))), "difficulty", "split")
 
 
 def candidate_prompt(spark, sf_dir):
@@ -221,10 +237,9 @@ def resolve_by_id(spark, sf_dir):
 
 def resolve_by_name(spark, sf_dir):
     """The first candidate equal to the prediction without commas and points, else the most similar one above 75."""
-    rows = resolved(spark, sf_dir).select("qid", resolve.plain(F.col("predicted")).alias("out"), F.explode("candidates").alias("c"))
-    rows = rows.withColumn("same", resolve.plain(F.col("c.name")) == F.col("out")).withColumn("score", resolve.name_ratio(F.col("out"), F.lower("c.name")))
-    best = rows.groupBy("qid").agg(F.max(F.struct("same", F.when(F.col("same"), 0.0).otherwise(F.col("score")).alias("by"), (-F.col("c.rank")).alias("first"), F.col("c.cik").alias("cik"), "score")).alias("m"))
-    return best.select("qid", F.when(F.col("m.same") | (F.col("m.score") > 75), F.col("m.cik")).alias("resolved_cik"), F.col("m.same").alias("same"))
+    rows = resolved(spark, sf_dir)
+    same = F.exists("candidates", lambda c: resolve.plain(c["name"]) == resolve.plain(F.col("predicted")))
+    return rows.select("qid", resolve.by_name(F.col("candidates"), F.col("predicted"))["cik"].alias("resolved_cik"), same.alias("same"))
 
 
 def scored_labels(spark, sf_dir):
@@ -247,15 +262,15 @@ def accuracy_by_bucket(spark, sf_dir):
 
 
 def eval_report(spark, sf_dir):
-    first = F.get("candidates", F.lit(0))
-    rows = found(spark, sf_dir).select("query", score.strict(F.col("name"), first["name"]).alias("name_match"), score.strict(F.col("cik"), first["cik"]).alias("cik_match"))
+    """Both selectors over the noisy queries: a row each."""
+    rows = stored(found(spark, sf_dir), "found")
     hard = F.contains(F.lower("query"), F.lit("former")) | F.contains("query", F.lit("/DE/"))
-    one = rows.agg(F.lit("first candidate").alias("model"), F.count(F.lit(1)).alias("n"), F.count_if("name_match").alias("name_hits"), F.count_if("cik_match").alias("cik_hits"), F.count_if(hard).alias("hard"), F.count_if(hard & F.col("name_match")).alias("hard_hits"), F.round(score.share(F.col("name_match")), 9).alias("hit_rate"))
-    registry = entities(spark, sf_dir).select("ord", F.col("cik").alias("found_cik"), F.col("name").alias("found_name"))
-    matched = lookup.cascade(asked(spark, sf_dir).select("qid", "query"), entities(spark, sf_dir), partial=False).join(registry, "ord", "left").join(asked(spark, sf_dir), "qid")
-    flags = matched.select("query", score.strict(F.col("name"), F.col("found_name")).alias("name_match"), score.strict(F.col("cik"), F.col("found_cik")).alias("cik_match"))
-    two = flags.agg(F.lit("rule matcher").alias("model"), F.count(F.lit(1)).alias("n"), F.count_if("name_match").alias("name_hits"), F.count_if("cik_match").alias("cik_hits"), F.count_if(hard).alias("hard"), F.count_if(hard & F.col("name_match")).alias("hard_hits"), F.round(score.share(F.col("name_match")), 9).alias("hit_rate"))
-    return one.unionByName(two)
+    out = None
+    for name, select in (("first candidate", selector.first_candidate), ("rule matcher", selector.rule_matcher(entities(spark, sf_dir), ("token_sort",)))):
+        flags = select(rows).select("query", score.strict(F.col("name"), F.col("answer_name")).alias("name_match"), score.strict(F.col("cik"), F.col("answer_cik")).alias("cik_match"))
+        one = flags.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), F.count_if("name_match").alias("name_hits"), F.count_if("cik_match").alias("cik_hits"), F.count_if(hard).alias("hard"), F.count_if(hard & F.col("name_match")).alias("hard_hits"), F.round(score.share(F.col("name_match")), 9).alias("hit_rate"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def hybrid_report(spark, sf_dir):
@@ -275,15 +290,10 @@ def misspelt(spark, sf_dir):
 
 
 def hybrid_report_two_scorers(spark, sf_dir):
-    """The whole matcher over noisy names, lookup and then both scorers: what it finds rightly and leaves to a model, and accuracy over all, hard (two kinds of noise or more) and easy names."""
-    registry = entities(spark, sf_dir)
-    rows = misspelt(spark, sf_dir)
-    found = lookup.cascade(rows.select("qid", "query"), registry).join(registry.select("ord", F.col("name").alias("found_name")), "ord", "left")
-    flags = found.join(rows.drop("query"), "qid").select("ord", score.strict(F.col("name"), F.col("found_name")).alias("hit"), F.when(F.col("kinds") >= 2, "hard").otherwise("easy").alias("difficulty"))
-    call = F.col("ord").isNull()
-    buckets = [F.count_if(F.col("difficulty") == b).alias(b) for b in ("hard", "easy")] + [F.count_if(F.col("hit") & (F.col("difficulty") == b)).alias(f"{b}_hits") for b in ("hard", "easy")]
-    accuracy = [F.round(score.share(F.col("hit"), where), 9).alias(name) for name, where in (("accuracy", None), ("accuracy_hard", F.col("difficulty") == "hard"), ("accuracy_easy", F.col("difficulty") == "easy"))]
-    return flags.agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"), F.count_if(call).alias("calls"), F.round(score.share(call), 9).alias("call_rate"), *buckets, *accuracy)
+    """The whole matcher over noisy names, lookup and then both scorers, and the first candidate for what it leaves; accuracy over all, hard (two kinds of noise or more) and easy names."""
+    registry, queries = entities(spark, sf_dir), stored(misspelt(spark, sf_dir), "misspelt")
+    rows = with_candidates(queries, registry).withColumn("difficulty", F.when(F.col("kinds") >= 2, "hard").otherwise("easy"))
+    return selector.hybrid(stored(rows, "found"), registry, selector.first_candidate)
 
 
 def progress_running(spark, sf_dir):
@@ -319,5 +329,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     registry_projection, former_name_unnest, former_name_last, registry_union, page_titles, strip_noise, normalize_suffix, normalize_basic, comma_before_suffix, title_case,
     suffix_swap, casing_noise, punctuation_noise, noisy_variants, variants_v3_counts, decontaminate_exact, decontaminate_contains, holdout_antijoin, random_distractors, token_sort,
     fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, candidate_prompt, chat_assembly,
-    answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, progress_running, split_rows, split_rows_one_share,
+    answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, distractor_examples, chat_splits, progress_running, split_rows, split_rows_one_share,
     split_by_entity, limit_then_filter, file_checksum, flagship)}

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FORMER = "array<struct<name: string, `from`: string, `to`: string>>"
 RAW = f"cik bigint, name string, entityType string, sic string, sicDescription string, tickers array<string>, exchanges array<string>, formerNames {FORMER}"
@@ -18,9 +19,18 @@ INDEX = "name string, cik bigint, entity_type string, former_names array<string>
 CHAT = "messages array<struct<role: string, content: string>>, difficulty string, easy boolean"
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
+    """Blank lines are skipped; if strict, a blank line or one that is no object raises.  A missing path raises at once."""
+    if not strict:
+        return spark.read.schema(schema).json(path)
+    lines = spark.read.text(path)
+    row = F.from_json("value", schema, {"mode": "FAILFAST"})
+    blank = F.raise_error(F.lit(f"a blank line in {path}"))
+    return lines.select(F.when(F.trim("value") == "", blank.cast(row_type(schema))).otherwise(row).alias("r")).select("r.*")
+
+
+def row_type(schema: str) -> str:
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in StructType.fromDDL(schema)) + ">"
 
 
 def names_of(former: F.Column) -> F.Column:

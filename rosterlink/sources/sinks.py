@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.score import report_text
+
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -22,3 +24,9 @@ def line_count(spark: SparkSession, path: str) -> int:
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of whole files."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports, a few rows, as JSON Lines in path/json and as text in path/text."""
+    write_json_lines(reports.coalesce(1), f"{path}/json")
+    report_text(reports).select("text").coalesce(1).write.mode("overwrite").text(f"{path}/text", lineSep="\n\n")

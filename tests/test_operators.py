@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterlink.functions import names
 from rosterlink.functions.similarity import partial_ratio, sort_tokens
-from rosterlink.operators import datasets, lookup, prompts, resolve, score, search, selector, splits
+from rosterlink.operators import builds, datasets, lookup, prompts, resolve, score, search, selector, splits
 from rosterlink.plans import registry as plans
 from rosterlink.sources import registry as sources
 from rosterlink.sources import sinks
@@ -106,6 +106,105 @@ def test_hybrid_report_is_the_whole_cascade(spark, tmp_path):
         assert got[key] == round(want[a] / want[b] if want[b] else 0.0, 9)
 
 
+def test_hybrid_counts(spark):
+    registry = spark.createDataFrame([(0, 10, "Alpha Inc", "corp", []), (1, 11, "Beta Widgets LLC", "corp", [])], "ord long, cik long, name string, entity_type string, former_names array<string>")
+    rows = [(1, "alpha incorporated", "Alpha Inc", "easy", 0), (2, "Beta Widget LLC", "Beta Widgets LLC", "hard", 1), (3, "qqq", "Beta Widgets LLC", "hard", 1), (4, "zzz", "Alpha Inc", "easy", 1), (5, None, "Alpha Inc", "easy", 0)]
+    names_ = [("Alpha Inc", 10), ("Beta Widgets LLC", 11)]
+    rows = spark.createDataFrame([(q, t, n, d, [(1, names_[c][1], names_[c][0].upper(), "corp", 1.0)]) for q, t, n, d, c in rows], "qid long, query string, name string, difficulty string, candidates array<struct<rank int, cik long, name string, entity_type string, score double>>")
+    got = selector.hybrid(rows, registry, selector.routed("My-First-1", {"first": selector.first_candidate}, selector.rule_matcher(registry))).first().asDict()
+    assert (got["n"], got["hits"], got["calls"], got["call_hits"], got["total_accuracy"], got["call_rate"], got["hard_hits"], got["easy_hits"]) == (5, 2, 3, 2, 0.8, 0.6, 1, 1)
+    got = selector.hybrid(rows, registry).first()
+    assert (got.hits, got.calls, got.call_hits, got.call_rate) == (2, 0, 0, 0.0)
+
+
+def test_nulls_two_registries_and_clashes(spark):
+    one = spark.createDataFrame([(1, "Alpha Inc", "corp", ["Old Alpha", None]), (2, None, None, []), (3, "Beta LLC", None, None)], "cik long, name string, entity_type string, former_names array<string>")
+    registry = sources.with_order(one, one.withColumn("cik", F.col("cik") + 10)).cache()
+    assert registry.agg(F.max("ord")).first()[0] >= 1 << 56
+    queries = spark.createDataFrame([(1, None), (2, "alpha inc"), (3, ""), (4, "old alpha"), (5, "Beta LC")], "qid long, query string").withColumns({c: F.lit(c) for c in ("norm", "hit", "ord", "kind")})
+    for found in (search.top_k(queries, registry, 2), search.top_k_all_former(queries, registry, 2), search.above(queries, registry, 0.0)):
+        rows = found.collect()
+        assert {r.qid for r in rows} == {2, 3, 4, 5}
+    best = {r.qid: r.how for r in lookup.cascade(queries, registry).collect()}
+    assert best == {1: None, 2: "exact", 3: best[3], 4: "exact", 5: "similar"}
+    assert {r.qid for r in search.best_partial(queries, lookup.fallback_choices(registry)).collect()} == {2, 3, 4, 5}
+    tried = lookup.exact(queries, registry)
+    assert tried.count() == 5 and "hit" in tried.columns and len(tried.columns) == len(set(tried.columns))
+    assert search.top_k(queries.limit(0), registry, 2).count() == 0 and lookup.cascade(queries, registry.limit(0)).filter("ord is not null").count() == 0
+    assert datasets.retrieval_examples(registry, registry, k=2).count() > 0
+    held = spark.createDataFrame([("x",), (None,)], "input string")
+    rows = spark.createDataFrame([("x", 1), (None, 2), ("y", 3), ("y", 3)], "input string, hit int").withColumns({"held_input": F.lit(0), "in_test": F.lit("mine")})
+    assert sorted((r.hit, r.in_test) for r in datasets.flagged(rows, held).collect()) == [(1, True), (2, False), (3, False), (3, False)]
+
+
+def test_names_from_replies(spark):
+    candidates = [("Alpha Widgets, Inc.", 1), ("Beta Holdings", 2)]
+    rows = spark.createDataFrame([(t, [(n, c) for n, c in candidates]) for t in ("ALPHA WIDGETS INC", "beta holding", "gamma", None, "")], "t string, candidates array<struct<name string, cik long>>")
+    assert [r[0] for r in rows.select(resolve.by_name(F.col("candidates"), F.col("t"))["cik"]).collect()] == [1, 2, None, None, None]
+
+
+def test_whole_data_sets(spark, entities, tmp_path):
+    held = spark.createDataFrame([(3,), (4,)], "cik long")
+    inputs = datasets.first_examples(entities).filter("cik % 7 = 0").select("input")
+    small = entities.filter("cik < 40")
+    made = {"plain": builds.plain_chats(entities), "second": builds.second_chats(entities, inputs), "drawn": builds.distractor_chats(entities), "found": builds.retrieval_chats(small, held, examples=1)}
+    for name, rows in made.items():
+        rows = rows.collect()
+        assert rows and all([m.role for m in r.messages] == ["system", "user", "assistant"] and json.loads(r.messages[2].content)["cik"] is not None for r in rows), name
+        sizes = Counter(r.split for r in rows)
+        if name in ("plain", "drawn"):
+            assert sizes["test"] == sizes["valid"] == max(50, len(rows) // 10)
+        assert all(r.difficulty in ("hard", "easy") for r in rows)
+    assert not {json.loads(r.messages[2].content)["cik"] for r in made["found"].collect()} & {3, 4}
+    examples = datasets.distractor_examples(entities).collect()
+    assert len(examples) == datasets.first_examples(entities).count()
+    assert all(len({c.cik for c in r.candidates}) == 5 and r.cik in {c.cik for c in r.candidates} for r in examples)
+    orders = {(r.cik, tuple(c.cik for c in r.candidates)) for r in examples}
+    assert len(orders) > 0.95 * len(examples)  # each example has draws of its own
+    same, other = (sorted(map(str, builds.plain_chats(entities, seed=s).collect())) for s in (5, 6))
+    assert same == sorted(map(str, builds.plain_chats(entities.repartition(3), seed=5).collect())) and same != other
+    sinks.write_splits(made["drawn"], str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == len(examples) and {r.split for r in back.select("split").distinct().collect()} == {"train", "test", "valid"}
+
+
+# Ten queries that a demonstration asks.
+DEMO = [
+    ("dba Apple, Inc., a Delaware corporation", "Apple Inc."),
+    ("NVIDIA CORPORATION", "NVIDIA CORP"),
+    ("Tesla, Inc. (formerly known as Tesla Motors, Inc.)", "Tesla, Inc."),
+    ("MICROSOFT CORP /DE/", "MICROSOFT CORP"),
+    ("JPMorgan Chase & Co, the Company", "JPMORGAN CHASE & CO"),
+    ("Walmart Inc.", "Walmart Inc."),
+    ("Berkshire Hathaway Inc /formerly/", "BERKSHIRE HATHAWAY INC"),
+    ("meta platforms inc", "Meta Platforms, Inc."),
+    ("Exxon Mobil Corporation (successor to former entity)", "EXXON MOBIL CORP"),
+    ("COCA-COLA CO", "COCA COLA CO"),
+]
+
+
+def test_ten_demonstration_queries(spark):
+    others = ["Applied Materials Inc", "Coca-Cola Consolidated, Inc.", "Walmart de Mexico", "Tesla Exploration Ltd", "Berkshire Hills Bancorp", "Meta Financial Group", "Mobile Mini Inc"]
+    registry = spark.createDataFrame([(i, 100 + i, n, "corp", ["Tesla Motors, Inc."] if n == "Tesla, Inc." else []) for i, n in enumerate([n for _, n in DEMO] + others)], "ord long, cik long, name string, entity_type string, former_names array<string>")
+    queries = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(DEMO)], "qid long, query string")
+    found = {r.qid: r for r in plans.with_candidates(queries, registry).collect()}
+    assert len(found) == 10 and sum(DEMO[q][1] in {c.name for c in r.candidates} for q, r in found.items()) >= 8
+    hits = {r.qid: r.ord for r in lookup.cascade(queries, registry).collect()}
+    assert sum(hits[i] == i for i in range(10)) >= 9
+
+
+def test_reports(spark, tmp_path):
+    flags = spark.createDataFrame([(True, True, "hard"), (False, True, "easy"), (True, False, "easy"), (True, True, "other")], "name_match boolean, cik_match boolean, difficulty string").withColumn("full_match", F.col("name_match") & F.col("cik_match"))
+    both = score.report(flags, "one").union(score.report(flags.limit(0), "none")).cache()
+    sinks.write_reports(both, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in (tmp_path / "r" / "text").glob("*.txt"))
+    assert "=== one (n=4) ===" in text and "  names, overall: 75.0%" in text and "  names, easy: 50.0%" in text and "=== none (n=0) ===" in text
+    assert {r.model: r.name_match_hard for r in spark.read.json(str(tmp_path / "r" / "json")).collect()} == {"one": 1.0, "none": 0.0}
+    got = spark.range(1).select(prompts.padded_id(F.lit(320193)), prompts.templated(prompts.chat("s", F.lit("u"), F.lit("r")))).first()
+    assert got[0] == "0000320193" and got[1].endswith("<|im_start|>user\nu<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n<|im_start|>assistant\n")
+    assert splits.head(spark.range(9), 0, "id").count() == 9 and [r.id for r in splits.head(spark.range(9), 2, "id").collect()] == [0, 1]
+
+
 def test_replies(spark):
     replies = ['```json\n{"cik": "320193", "canonical_name": "A"}\n```', "no json", '{"cik": 1', "{}", 'say {"cik": 7} or {"x": 1}', ' {"cik":7} ']
     rows = spark.createDataFrame([(r,) for r in replies], "r string").select(resolve.parsed(F.col("r")).alias("v")).select(F.col("v").isNotNull(), F.try_variant_get("v", "$.cik", "string"), F.schema_of_variant("v")).collect()
@@ -127,12 +226,20 @@ def test_examples(spark, entities):
 
 def test_retrieval_examples_hold_their_target(spark, entities):
     rows = datasets.retrieval_examples(entities, entities.filter("cik < 8")).collect()
-    groups = defaultdict(list)
-    for r in rows:
-        groups[r.cik, r.attempt].append(r)
-    assert groups and all(len(g) == 5 and sorted(r["rank"] for r in g) == [1, 2, 3, 4, 5] for g in groups.values())
-    assert all(any(r.candidate_cik == cik for r in g) for (cik, _), g in groups.items())
-    assert max(Counter(c for c, _ in groups).values()) <= 5 and all(r.nth <= 5 for r in rows)
+    assert rows and all([c["rank"] for c in r.candidates] == [1, 2, 3, 4, 5] and any((c.cik, c.name) == (r.cik, r.canonical_name) for c in r.candidates) for r in rows)
+    assert max(Counter(r.cik for r in rows).values()) <= 5 and all(r.nth <= 5 for r in rows)
+    # all attempts by brute force: the first 5 of 15 whose 5 best candidates hold the target
+    choices = [(r.ord, r.cik, r.name, [sort_tokens(plain(r.name))] + [sort_tokens(f.lower()) for f in [x for x in r.former_names if x][-1:]]) for r in entities.collect()]
+    want = defaultdict(list)
+    for a in datasets.attempts(entities.filter("cik < 8"), 15).orderBy("cik", "attempt").collect():
+        text = sort_tokens(plain(a.query))
+        best = sorted((-max(simple_ratio(text, t) for t in ts), o, c, n) for o, c, n, ts in choices)[:5]
+        if len(want[a.cik]) < 5 and any((c, n) == (a.cik, a.canonical_name) for _, _, c, n in best):
+            want[a.cik].append((a.attempt, [c for _, _, c, _ in best]))
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.nth):
+        got[r.cik].append((r.attempt, [c.cik for c in r.candidates]))
+    assert got == {c: v for c, v in want.items() if v}
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 5, 30, 2500])
@@ -240,6 +347,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert len({r.ord for r in ordered.collect()}) == 2
     sinks.write_splits(spark.createDataFrame([("a", "test"), (None, "train")], "x string, split string"), str(tmp_path / "out"))
     assert json.loads(next((tmp_path / "out" / "split=train").glob("*.json")).read_text()) == {"x": None}
+    with pytest.raises(Exception, match="blank line"):
+        sources.json_lines(spark, str(tmp_path / "raw.jsonl"), sources.RAW, strict=True).collect()
+    (tmp_path / "good.jsonl").write_text('{"cik": 1, "name": "A", "formerNames": []}\n')
+    assert [r.cik for r in sources.json_lines(spark, str(tmp_path / "good.jsonl"), sources.RAW, strict=True).collect()] == [1]
+    sinks.write_json_lines(spark.createDataFrame([("é", None)], "x string, y string"), str(tmp_path / "rows"))
+    assert json.loads(next((tmp_path / "rows").glob("*.json")).read_text()) == {"x": "é", "y": None}
     assert sinks.line_count(spark, str(tmp_path / "raw.jsonl")) == 3 and len(sinks.checksums(spark, str(tmp_path / "list.json")).first().sha256) == 64
 
 
@@ -261,6 +374,16 @@ def test_fetching_with_retries():
         sources.fetched("u", "me", get=get, wait=waits.append)
 
 
+def test_fetching_all_skips_what_fails(spark):
+    def get(url, agent):
+        if url.endswith("2"):
+            raise urllib.error.HTTPError(url, 404, "", {}, None)
+        return f"{agent}:{url}"
+
+    rows = sources.fetch_all(spark.createDataFrame([(1,), (2,), (3,)], "cik long"), "at/{cik}", "me", pause=0.0, get=get).collect()
+    assert sorted((r.cik, r.reply) for r in rows) == [(1, "me:at/1"), (3, "me:at/3")]
+
+
 def test_entry(spark):
     import __spark_entry__
 
