@@ -1,30 +1,20 @@
-"""What the corpus operators share: the shared folder, row ids, Arrow batches, components."""
+"""What the corpus operators share: row ids, Arrow batches, components."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder, stored
+
+__all__ = ["bounded_batches", "components", "quiet_tokenizers", "shared_folder", "small_table", "stored", "unique_ids"]
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4096
 MOST_SMALL = 1_000_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder and not (folder := context.getCheckpointDir()):
-        folder = "file://" + tempfile.mkdtemp(prefix="rosterlink-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, by bytes as well as by rows: a batch of very long
     texts would not fit in a worker otherwise."""
@@ -32,14 +22,6 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Rows held by the driver (one for each partition or bucket) as a table; broadcast up to MOST_SMALL of them, joined like any other beyond that."""
     table = spark.createDataFrame(rows, schema)

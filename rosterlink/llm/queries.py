@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, embed_dedup, minhash, packing, quality, sharding, suffix_dedup, token_count, url_filter
+from . import bm25, bpe, embed_dedup, minhash, oracles, packing, quality, sharding, suffix_dedup, token_count, url_filter
 
 
 # The rules of the url query, verdict and host with path.
@@ -101,4 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": oracles.EMBEDDINGS,
+    "op4_suffix_dedup": oracles.REPEATS,
+    "op6_url_filter": oracles.urls(URL_RULES),
+    "op7_minhash_near_dedup": oracles.SIMILAR,
+    "op9_bm25_top_k": oracles.SEARCH,
+}
