@@ -134,7 +134,7 @@ def decontaminate_exact(spark, sf_dir):
 
 def decontaminate_contains(spark, sf_dir):
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    return docs.join(items, F.contains("text", F.col("item"))).filter("item <> ''").select("doc_id", "item_id")
+    return datasets.containing(docs, items)
 
 
 def holdout_antijoin(spark, sf_dir):

@@ -137,6 +137,16 @@ def test_nulls_two_registries_and_clashes(spark):
     assert sorted((r.hit, r.in_test) for r in datasets.flagged(rows, held).collect()) == [(1, True), (2, False), (3, False), (3, False)]
 
 
+def test_texts_that_hold_items(spark):
+    texts = ["one two three four five", "xone two threey", "a\tb  c d e f", "", None, "short", "say short words", "two", "é ü ö ä ß", "one two three four five"]
+    items = ["one two three", "two three", "ne two thre", "b  c d", "b c d", "short", "", None, "t", "ü ö ä", "wo three four fiv", "a\tb  c d e f", "two three four five six"]
+    docs = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int, row int")
+    known = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, item string")
+    want = Counter((i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x and x in t)
+    assert Counter(map(tuple, datasets.containing(docs, known).collect())) == want
+    assert datasets.containing(docs, known.limit(0)).count() == 0 and datasets.containing(docs.limit(0), known).count() == 0
+
+
 def test_names_from_replies(spark):
     candidates = [("Alpha Widgets, Inc.", 1), ("Beta Holdings", 2)]
     rows = spark.createDataFrame([(t, [(n, c) for n, c in candidates]) for t in ("ALPHA WIDGETS INC", "beta holding", "gamma", None, "")], "t string, candidates array<struct<name string, cik long>>")
