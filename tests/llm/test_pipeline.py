@@ -47,3 +47,21 @@ def test_clashing_columns_and_empty_table(spark):
     assert corpus_pipeline.without_repeats(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.without_repeats(spark, docs.limit(0), "").count() == 0
     assert quality.THRESHOLD == 0.3
+
+
+def test_quality_stage_with_odd_rows(spark, tmp_path):
+    """Clashing columns, repeated rows, null ids and texts, a long text, an empty table."""
+    good, bad = "This is a plain sentence of some words, and another one follows it.", "$$$ | #### || 99 %% !! ~~~ | 0 0 0"
+    rows = [(i, good if i % 2 else bad) for i in range(40)] + [(41, good), (41, good), (None, good), (None, None), (42, ""), (43, (good + "\n") * 3000)]
+    docs = spark.createDataFrame([(i, t, "x", "y", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1.5 as score", "'r' as row", "0 as quality", "7 as rid")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.good_quality(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} >= {41, 43, *range(1, 40, 2)} and not {r.doc_id for r in rows} & set(range(0, 40, 2))
+    assert sum(r.doc_id == 41 for r in rows) == 2 and all(r.score == 1.5 and r.row == "r" and r.rid == 7 for r in rows)
+    assert corpus_pipeline.good_quality(spark, docs.limit(0), str(tmp_path)).count() == 0
+    pieces = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 41) == 2 * next(r.doc_tokens for r in pieces if r.doc_id == 41)
+    assert corpus_pipeline.packed(spark, docs.limit(0), str(tmp_path)).count() == 0
