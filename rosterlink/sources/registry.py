@@ -100,6 +100,12 @@ def fetch_all(keys: DataFrame, template: str, agent: str, pause: float = 0.15, g
     return keys.select("cik").coalesce(1).mapInPandas(run, "cik long, reply string")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt out to all of them: a registry's rows are small, what is made of each of them is not."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= n else rows.repartition(n)
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A registry over the part table: cik, name, entity_type, former_names, ord."""
     key = F.col("p_partkey")
@@ -110,4 +116,4 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     former = F.when(key % 3 == 0, none).when(key % 3 == 1, F.array(F.concat("p_name", F.lit(" "), F.lower("p_brand")))).otherwise(
         F.array(F.concat("p_name", F.lit(" co")), F.when(key % 7 == 0, F.upper(name)).otherwise("")))
     kind = F.when(key % 5 != 0, F.lower("p_type"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("cik"), name.alias("name"), kind.alias("entity_type"), former.alias("former_names"), key.alias("ord"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet")).select(key.alias("cik"), name.alias("name"), kind.alias("entity_type"), former.alias("former_names"), key.alias("ord"))
