@@ -10,7 +10,7 @@ The suffixes of all texts are dealt out by content, so that no suffix array has
 3. The bytes of blocks that share an anchor but differ are fetched and dealt out by it.  Each task sorts their suffixes by the difference-cover
    algorithm (suffix_array) and compares adjacent prefixes of `length` bytes; of equal ones all but the first are marked.
    An anchor with very many different blocks is dealt out by single windows and their hash, so that no task gets all of it; should even that
-   exceed a suffix array, equal windows there are found by 128 bits of hash.
+   exceed a suffix array, the windows themselves are sorted, 8 bytes after the other.
 4. Marks meet their document, are merged to spans, and cut out.
 
 Blocks are compared by 128 bits (their anchor's and their own 64-bit hash).
@@ -150,6 +150,31 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return out
 
 
+def whole_windows(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The same classes, by sorting the windows' bytes: for one anchor with more bytes than a suffix array takes.
+
+    Windows are ordered by 8 bytes after the other; only those that are equal so far are looked at again, so equal windows are compared in full."""
+    views = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(8, np.uint8)), 8)
+    classes, open_ = np.zeros(len(starts), np.int64), np.arange(len(starts))
+    for at in range(0, length, 8):
+        at = min(at, max(0, length - 8))
+        part = np.ascontiguousarray(views[starts[open_] + at]).view(">u8").ravel()
+        if length < 8:
+            part = part >> np.uint64(8 * (8 - length))
+        by = np.lexsort((part, classes[open_]))
+        same = (classes[open_][by][1:] == classes[open_][by][:-1]) & (part[by][1:] == part[by][:-1])
+        first = np.append(True, ~same)
+        new = np.empty(len(by), np.int64)
+        new[by] = open_[by][np.flatnonzero(first)][np.cumsum(first) - 1]  # a class is named by one of its windows
+        classes[open_] = new + 1
+        alone = np.empty(len(by), bool)
+        alone[by] = first & np.append(first[1:], True)
+        open_ = open_[~alone]
+        if not len(open_):
+            break
+    return classes
+
+
 def sorted_blocks(blocks: dict[str, np.ndarray], raw: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Marks of all windows of these blocks (their bytes in a row in raw) that start earlier in another one."""
     size = blocks["n"].astype(np.int64) - 1 + length
@@ -171,10 +196,7 @@ def sorted_blocks(blocks: dict[str, np.ndarray], raw: np.ndarray, length: int) -
         if len(text) <= MOST - 4:
             classes = equal_windows(text, starts, length)
         else:
-            spans = Spans(text)
-            h1 = spans.hashes(starts, starts + length)
-            other = Spans(text ^ np.uint8(0x5B)).hashes(starts, starts + length)
-            classes = np.unique(np.stack([h1, other], axis=1), axis=0, return_inverse=True)[1].ravel()
+            classes = whole_windows(text, starts, length)
         rid, s = blocks["rid"][mine][run], blocks["s"][mine][run] + nth
         by = np.lexsort((s, rid, classes))
         again = np.zeros(len(by), bool)

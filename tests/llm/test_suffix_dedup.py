@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +96,26 @@ def test_too_many_equal_blocks_for_one_suffix_array(monkeypatch):
     blocks = {"h": np.full(40, 7, np.uint64), "rid": np.arange(40), "s": np.zeros(40, np.int64), "n": np.full(40, 1)}
     marks = suffix_dedup.sorted_blocks(blocks, raw, 50)
     assert marks["rid"].tolist() == list(range(3, 40)) and set(marks["n"].tolist()) == {1}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=3, max_size=60), st.integers(1, 30), st.integers(0, 3))
+def test_windows_sorted_by_their_bytes(raw, length, zeros):
+    text = np.frombuffer((raw * 4 + bytes(zeros)) + bytes(length), np.uint8)
+    starts = np.arange(len(text) - length + 1)
+    got = suffix_dedup.whole_windows(text, starts, length)
+    want = [text[s : s + length].tobytes() for s in starts]
+    assert len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_texts_over_a_segment(monkeypatch):
+    """A text cut into segments: every window lies in one block, whatever the segment."""
+    rng = np.random.default_rng(4)
+    text = "".join(map(chr, rng.integers(97, 101, 5000)))
+    for segment in (1 << 20, 700, 100):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
+        windows = []
+        for found in suffix_dedup.blocks_of(pa.array([text]), np.array([5]), 100, 32):
+            for r, s, n in zip(found["rid"], found["s"], found["n"]):
+                windows += [(int(r), int(s) + k) for k in range(int(n))]
+        assert sorted(windows) == [(5, k) for k in range(4901)]
