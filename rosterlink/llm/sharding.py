@@ -1,82 +1,69 @@
 """Sharding: two-pass external shuffle under the law `rows`.
 
-Pass one scatters the records into buckets that fit in memory, by a seeded hash; pass two puts each bucket in random order
-(Fisher-Yates, seeded by the bucket) and writes it.  The counts of the buckets (a row each) give each bucket its
-place in the one long order; record number i goes to shard i mod n, slot i div n.  So shard counts differ by one at most, and
-slots are without gaps.
+Pass one scatters the records into buckets that fit in memory, by a seeded hash of a key that is unique to each record, so that no id can fill a bucket;
+pass two puts each bucket in random order (Fisher-Yates, seeded by the bucket) and writes it.  The counts of the buckets are added up, first inside runs of
+buckets, then over the runs, which gives each bucket its place in the one long order; record number i goes to shard i mod n, slot i div n.  So
+shard counts differ by one at most, and slots are without gaps.
 
-Null texts weigh nothing and have checksum 0.  Records with a null id are scattered by their place in the input.  Repeated rows
-and equal texts are records of their own and may go to different shards.  All columns of the input are kept; those called like
+Null texts weigh nothing and have checksum 0.  Records are ordered by id, then text (see unique_ids), before they are shuffled: records without an id or with a repeated one are
+scattered like others.  Repeated rows and equal texts are records of their own and may go to different shards.  All columns of the input are kept; those called like
 an output column are replaced.  An empty table gives an empty result."""
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import bounded_batches, small_table, stored
+from .common import bounded_batches, stored, unique_ids
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
+PARTITION_BYTES = 256 << 20
+RUN = 1024
 OVERHEAD = 16
 
 
+def places(counts: DataFrame) -> DataFrame:
+    """(bucket, n) -> (bucket, base): how many records lie in the buckets before it."""
+    runs = counts.withColumn("run", F.floor(F.col("bucket") / RUN))
+    totals = runs.groupBy("run").agg(F.sum("n").alias("n"))  # a row for RUN buckets
+    before = totals.select("run", (F.sum("n").over(W.orderBy("run")) - F.col("n")).alias("start"))
+    inside = F.sum("n").over(W.partitionBy("run").orderBy("bucket")) - F.col("n")
+    return runs.withColumn("inside", inside).join(before, "run").select("bucket", (F.col("start") + F.col("inside")).alias("base"))
+
+
 def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs -> the written records with (size, text_crc32, shard, slot), in the new order."""
-    bounded_batches(docs.sparkSession)
-    docs = docs.drop("size", "text_crc32", "shard", "slot", "bucket_", "base_")
-    weight = F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0)) + OVERHEAD
-    total = docs.agg(F.sum(weight)).first()[0] or 0
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    docs = docs.drop("size", "text_crc32", "shard", "slot")
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0)) + OVERHEAD)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
-    dealt = docs.withColumn("bucket_", F.pmod(key, F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("bucket_").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each bucket
-    bases, total = [], 0
-    for bucket, n in sorted((r["bucket_"], r["n"]) for r in counts):
-        bases.append((bucket, total))
-        total += n
-    bases = small_table(docs.sparkSession, bases, "bucket_ int, base_ long")
-    kept = docs.columns
-    id_at, text_at = kept.index(id_col), kept.index(text_col)
+    rows, _ = unique_ids(docs.select(F.struct(*docs.columns).alias("record"), F.col(id_col).alias("key"), F.col(text_col).alias("text")), "key", "text")
+    dealt = rows.select(F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.lit(buckets)).cast("int").alias("bucket"), "rid", "record")
+    bases = places(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    text_at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("size", LongType()), StructField("text_crc32", LongType()), StructField("shard", IntegerType()), StructField("slot", LongType())])
 
-    def shuffled(bucket: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        base = table.column(1)[0].as_py()
-        table = table.drop_columns(table.column_names[:2])
-        raw = pc.fill_null(table.column(text_at), "")
-        crc = np.array([zlib.crc32(x.as_py().encode()) for x in raw], np.int64)
-        size = pc.binary_length(raw).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) + OVERHEAD
-        order = pc.sort_indices(pa.table({"i": table.column(id_at), "c": crc}), [("i", "ascending"), ("c", "ascending")]).to_numpy()  # arrival order is not repeatable
-        order = np.random.default_rng([seed, bucket]).permutation(order)  # Fisher-Yates
-        place = base + np.arange(len(order))
-        out = table.take(pa.array(order))
-        for name, column in (("size", size[order]), ("text_crc32", crc[order]), ("shard", (place % shards).astype(np.int32)), ("slot", place // shards)):
-            out = out.append_column(name, pa.array(column))
-        yield from out.to_batches(max_chunksize=2048)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, parts = None, []
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if own is not None and keys[a] != own:
-                    yield from shuffled(own, parts)
-                    parts = []
-                own = int(keys[a])
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield from shuffled(own, parts)
+    def shuffled(records: pa.Table, base: pa.Table) -> pa.Table:
+        rid = records["rid"].to_numpy()
+        order = np.random.default_rng([seed, records["bucket"][0].as_py()]).permutation(np.argsort(rid))  # Fisher-Yates; arrival order is not repeatable
+        record = records["record"].combine_chunks().take(pa.array(order))
+        columns = record.flatten()
+        raw = pc.fill_null(columns[text_at], "")
+        place = base["base"][0].as_py() + np.arange(len(order))
+        columns += [
+            pa.array(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) + OVERHEAD),
+            pa.array([zlib.crc32(x.as_py().encode()) for x in raw], pa.int64()),
+            pa.array((place % shards).astype(np.int32)), pa.array(place // shards)]
+        return pa.Table.from_arrays(columns, names=schema.fieldNames())
 
-    placed = dealt.join(bases, "bucket_").select("bucket_", "base_", *kept)
-    placed = placed.repartitionById(buckets, F.col("bucket_")).sortWithinPartitions("bucket_")
-    return stored(placed.mapInArrow(run, schema), "shards")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    met = dealt.repartition(n, "bucket").groupBy("bucket").cogroup(bases.toDF("own", "base").repartition(n, "own").groupBy("own"))  # records move once
+    return stored(met.applyInArrow(shuffled, schema), "shards")

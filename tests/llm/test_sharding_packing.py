@@ -28,6 +28,24 @@ def test_shards(spark):
     assert sharding.shuffle_to_shards(docs.limit(0), 7).count() == 0
 
 
+def test_no_id_fills_a_bucket(spark):
+    rows = spark.range(800).selectExpr("case when id < 400 then 7 when id < 600 then null else id end as doc_id", "concat('t', id) as text", "id as rid", "id as bucket", "id as record")
+    got = sharding.shuffle_to_shards(rows, 9, bucket_bytes=400).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len({r.rid for r in got}) == 800 and all(r.rid == r.bucket == r.record for r in got) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    near = sum(abs(a.slot - b.slot) <= 2 for a, b in zip(*(sorted((r for r in got if r.doc_id == 7), key=lambda r: r.rid)[k:] for k in (0, 1))))
+    assert near < 40  # equal ids lie far apart
+
+
+def test_places_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 4)
+    counts = [(b, b * b % 7) for b in range(0, 50, 3)]
+    got = {r.bucket: r.base for r in sharding.places(spark.createDataFrame(counts, "bucket int, n long")).collect()}
+    assert got == {b: sum(n for c, n in counts if c < b) for b, _ in counts}
+
+
 def test_packing(spark):
     library = Tokenizer.from_file(WORD)
     rows = [(i if i else None, t) for i, t in enumerate(["", None, "Ünïted states's  a1b2", "word " * 3000, "<|endoftext|>x", "é　É", "a", "q" * 20_000])] + [(5, "same")] * 3
