@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 from .common import quiet_tokenizers
 
-GENERATION = 250_000
+GENERATION, OTHERS = 160_000, 60_000
 MEMO_BYTES = 48
 SPACES = "\t\n\x0b\x0c\r\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 IRREGULAR = f"^ | $|[ {SPACES}] | [{SPACES}]|\x01"
@@ -54,7 +54,8 @@ def memo(path: str) -> PieceMemo:
 class Generations:
     """What was asked for lately: a full young generation becomes the old one, and what is asked for again is young again."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -72,7 +73,7 @@ class Generations:
                 found[i] = x
         for i in missing:
             if len(words[i]) <= MEMO_BYTES:
-                if len(self.young) >= GENERATION:
+                if len(self.young) >= self.most:
                     self.young, self.old = {}, self.young
                 self.young[words[i]] = found[i]
         return found
@@ -96,7 +97,7 @@ class PieceMemo:
         self.library.no_truncation()
         self.spaced = "ByteLevel" in type(self.library.pre_tokenizer).__name__  # else white space is dropped
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.units, self.others = Generations(), Generations()
+        self.units, self.others = Generations(GENERATION), Generations(OTHERS)
         self.letters = {b: c for b, c in byte_letters()[0].items() if c != chr(b)}
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
