@@ -52,3 +52,26 @@ fitting AS (SELECT page_id, rule, given, row_number() OVER (PARTITION BY page_id
 judged AS (SELECT u.*, f.rule, f.given FROM urls u LEFT JOIN fitting f ON u.page_id = f.page_id AND f.nth = 1),
 hosts AS (SELECT host, avg((given IS NOT DISTINCT FROM 'block')::int) - avg((given IS NOT DISTINCT FROM 'allow')::int) AS distrust FROM judged WHERE host <> '' GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(given, CASE WHEN distrust > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM judged j LEFT JOIN hosts h ON j.host = h.host"""
+
+
+def phrases(least: int, longest: int, most: int) -> str:
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{capitals}', '{small}') AS text FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+cut AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM cut GROUP BY lang),
+sizes AS (SELECT unnest(range(1, {longest + 1})) AS m),
+grams AS (SELECT lang, m, list_transform(range(1, len(ws) - m + 2), lambda i: ws[i:i + m - 1]) AS gs FROM cut, sizes WHERE len(ws) >= m),
+f AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(gs) AS w FROM grams) GROUP BY lang, w HAVING count(*) >= {least}),
+several AS (SELECT lang, w, f AS a FROM f WHERE len(w) > 1),
+inside AS (SELECT s.lang, s.w, max(o.f) AS outer_f FROM (SELECT lang, f, unnest([w[1:len(w) - 1], w[2:len(w)]]) AS w FROM f WHERE len(w) > 2) o JOIN several s ON s.lang = o.lang AND s.w = o.w GROUP BY s.lang, s.w),
+cuts AS (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM several),
+scored AS (
+  SELECT c.lang, c.w, c.a, c.k, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.w = c.w[1:c.k] JOIN f r ON r.lang = c.lang AND r.w = c.w[c.k + 1:len(c.w)] JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.w = b.w WHERE i.outer_f IS NULL OR 100 * i.outer_f < 100 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM kept)
+WHERE rank <= {most}"""

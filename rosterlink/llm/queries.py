@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, embed_dedup, minhash, oracles, packing, quality, sharding, suffix_dedup, token_count, url_filter
+from . import bm25, bpe, embed_dedup, minhash, oracles, packing, phrases, quality, sentence_pieces, sharding, spelling, suffix_dedup, token_count, url_filter
 
 
 # The rules of the url query, verdict and host with path.
@@ -88,6 +88,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"), every=31, least=7, twice=2, times=10)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    ids = sentence_pieces.encode(read(spark, sf_dir, "documents"), path)
+    return sentence_pieces.decode(ids, path, to="decoded").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), least=100, longest=5, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -99,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bm25_top_k": op9_bm25_top_k,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_phrases": op13_phrases,
 }
 
 SQL: dict[str, str] = {
@@ -107,4 +127,5 @@ SQL: dict[str, str] = {
     "op6_url_filter": oracles.urls(URL_RULES),
     "op7_minhash_near_dedup": oracles.SIMILAR,
     "op9_bm25_top_k": oracles.SEARCH,
+    "op13_phrases": oracles.phrases(100, 5, 2000),
 }

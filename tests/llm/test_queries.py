@@ -9,10 +9,14 @@ from collections import Counter, defaultdict
 import duckdb
 import public_tokenizers
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from rosterlink.llm import queries
 
+from .test_spelling import brute as spelling_brute
+from .test_spelling import rows_of as spelling_rows
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -25,7 +29,7 @@ def tables(spark, tmp_path_factory):
     passage, base = prose(70), prose(60)
     texts = [prose(rng.randint(1, 80)) for _ in range(40)]
     texts += [base, base, base.replace(".", " ."), base + " added", f"{prose(5)} {passage} {prose(6)}", f"{passage}\n{prose(9)}", passage + passage]
-    texts += [None, "", " ", "one", "two words", "<|endoftext|> it's  odd\x01 x", prose(7000), "q" * 3000, "ab" * 150, "名前 テスト " * 30]
+    texts += [None, "", " ", "one", "two words", "<|endoftext|> it's  odd\x01 x", prose(7000), "q" * 3000, "ab" * 150, "名前 テスト " * 30, "Salt and pepper, and salt " * 130]
     rows = [(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -70,6 +74,23 @@ def test_counts(spark, tables):
     assert {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows_of(queries.op3_token_counts(spark, folder))} == want
 
 
+def test_spelling(spark, tables):
+    folder, docs = tables
+    got = queries.op11_spelling_variants(spark, folder)
+    assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert spelling_rows(got) == spelling_brute([(i, t) for i, t, *_ in docs])
+
+
+def test_sentence_pieces(spark, tables):
+    folder, docs = tables
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = set()
+    for i, text, *_ in docs:
+        ids = library.encode(text or "")
+        want.add((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows_of(queries.op12_sentencepiece(spark, folder))} == want
+
+
 def test_quality(spark, tables, tmp_path):
     """Scores do not change with what must not be read: labels of held-out rows, lang, source and ids."""
     folder, docs = tables
