@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, small_table, stored
-from .hashing import mix, raw_bytes, some_at_a_time
+from .common import bounded_batches, stored
+from .hashing import Spans, mix, raw_bytes, some_at_a_time
 
 SHARD_TOKENS = 1 << 20
 GROUP_TOKENS, LEAST_GROUPS = 1 << 20, 64
@@ -113,17 +113,56 @@ def shards_of(docs: DataFrame, text_col: str, lang_col: str, most: int) -> DataF
     return rows.mapInArrow(run, "shard long, lang string, n long, words array<string>, times array<long>, size long, codes binary")
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds id: numbers from 1 on without gaps, in any order."""
-    spark = df.sparkSession
-    dealt = stored(df.withColumn("at", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), name)
-    before, total = [], 1
-    for part, rows in sorted((r["at"], r["n"]) for r in dealt.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each partition
-        before.append((part, total))
-        total += rows
-    if total >= 1 << 31:
-        raise ValueError("too many frequent words for numbers of 31 bits")
-    return dealt.join(small_table(spark, before, "at int, base long"), "at").withColumn("id", (F.col("base") + F.col("nth")).cast("int")).drop("at", "nth", "base")
+def frequent_words(shards: DataFrame, least: int, groups: int) -> DataFrame:
+    """(shard, lang, words, times) -> (shard, lang, m, codes, ids, words, totals, numbers): which of a shard's words are frequent and their numbers, a row for each group; and for no shard, the
+    words of the group themselves.  Numbers are from 1 on, each that of the word in its group times the number of groups, so they stay small."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column(2).slice(i, 1).flatten()
+                times = batch.column(3).slice(i, 1).flatten().to_numpy()
+                data, bounds = raw_bytes(words)
+                hashes = np.concatenate([Spans(data[bounds[a] : bounds[b]]).hashes(bounds[a:b] - bounds[a], bounds[a + 1 : b + 1] - bounds[a]) for a, b in some_at_a_time(bounds)])
+                rows = []
+                for k, (code, n) in by_group([np.arange(len(words)), times], groups, hashes):
+                    own = words.take(pa.array(code))
+                    text, ends = raw_bytes(own)
+                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), k, len(code), len(text), packed(text), packed(np.diff(ends).astype(np.int32)), packed(code.astype(np.int32)), packed(n)))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["shard", "lang", "part", "m", "bytes", "text", "sizes", "codes", "counts"])
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        part, before, out = key[0].as_py(), 0, []
+        langs = table["lang"].to_pylist()
+        for lang in dict.fromkeys(langs):
+            rows = table.filter(pa.array([x == lang for x in langs])).to_pylist()
+            sizes = [r["m"] for r in rows]
+            words = pa.concat_arrays([strings(unpacked(r["text"], r["bytes"], np.uint8), unpacked(r["sizes"], r["m"], np.int32)) for r in rows]).dictionary_encode()
+            place, totals = words.indices.to_numpy(), np.zeros(len(words.dictionary), np.int64)
+            np.add.at(totals, place, np.concatenate([unpacked(r["counts"], r["m"], np.int64) for r in rows]))
+            good = np.flatnonzero(totals >= least)
+            number = np.zeros(len(totals), np.int64)
+            number[good] = (np.arange(len(good)) + before) * groups + part + 1
+            before += len(good)
+            if before * groups >= 1 << 31:
+                raise ValueError("too many frequent words for numbers of 31 bits")
+            if len(good):
+                out.append((None, lang, len(good), None, None, words.dictionary.take(pa.array(good)).to_pylist(), totals[good].tolist(), number[good].tolist()))
+            for r, a in zip(rows, np.cumsum(sizes) - sizes, strict=True):
+                ids = number[place[a : a + r["m"]]]
+                own = np.flatnonzero(ids)
+                if len(own):
+                    out.append((r["shard"], lang, len(own), packed(unpacked(r["codes"], r["m"], np.int32)[own]), packed(ids[own].astype(np.int32)), None, None, None))
+        columns = list(zip(*out, strict=True)) or [[]] * 8
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.table({c: pa.array(x, t) for c, x, t in zip(("shard", "lang", "m", "codes", "ids", "words", "totals", "numbers"), columns, kinds, strict=True)})
+
+    rows = shards.select("shard", "lang", "words", "times").mapInArrow(counted, "shard long, lang string, part long, m long, bytes long, text binary, sizes binary, codes binary, counts binary")
+    return dealt(rows, groups).groupBy("part").applyInArrow(summed, "shard long, lang string, m long, codes binary, ids binary, words array<string>, totals array<long>, numbers array<int>")
+
+
+def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.r_[0, np.cumsum(sizes, dtype=np.int64)]), pa.py_buffer(data))
 
 
 def runs_of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -131,7 +170,8 @@ def runs_of(left: pa.Table, right: pa.Table) -> pa.Table:
     size = left["size"][0].as_py()
     codes = unpacked(left["codes"][0].as_py(), size, np.int32)
     ids = np.zeros(int(codes.max(initial=0)) + 1, np.int32)
-    ids[right["code"].to_numpy()] = right["id"].to_numpy()
+    for r in right.to_pylist():
+        ids[unpacked(r["codes"], r["m"], np.int32) + 1] = unpacked(r["ids"], r["m"], np.int32)
     placed = ids[codes]
     full = placed > 0
     beside = np.zeros(len(full), bool)
@@ -248,9 +288,9 @@ def bits_of(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_group(columns: list[np.ndarray], groups: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+def by_group(columns: list[np.ndarray], groups: int, hashes: np.ndarray | None = None) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Rows dealt by the upper bits of their hash, ascending in each group; the last column is no part of the key."""
-    group = (bits_of(*columns[:-1]) >> np.uint64(65 - groups.bit_length())).astype(np.int64)
+    group = ((bits_of(*columns[:-1]) if hashes is None else hashes) >> np.uint64(65 - groups.bit_length())).astype(np.int64)
     order = np.lexsort((*reversed(columns[:-1]), group))
     edges = np.searchsorted(group[order], np.arange(groups + 1))
     for k in np.flatnonzero(np.diff(edges)):
@@ -344,10 +384,10 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST,
     groups = LEAST_GROUPS
     while groups * GROUP_TOKENS < tokens:
         groups *= 2
-    own = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("code", "x")).select("shard", "lang", (F.col("code") + 1).alias("code"), F.col("x.words").alias("word"), F.col("x.times").alias("n"))
-    words = stored(numbered(own.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "words"), "words")
-    ids = own.join(words.select("lang", "word", "id"), ["lang", "word"]).select(F.col("shard").alias("of"), "code", "id")
-    runs = shards.select("shard", "size", "codes").groupBy("shard").cogroup(ids.groupBy("of")).applyInArrow(runs_of, "shard long, size long, ids binary")
+    found = stored(frequent_words(shards, least, groups), "words")
+    words = found.filter("shard is null").select("lang", F.explode(F.arrays_zip("words", "totals", "numbers")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.totals").alias("f"), F.col("x.numbers").alias("id"))
+    own = found.filter("shard is not null").select("shard", "m", "codes", "ids")
+    runs = shards.select("shard", "size", "codes").groupBy("shard").cogroup(own.groupBy("shard")).applyInArrow(runs_of, "shard long, size long, ids binary")
     runs = stored(runs, "runs")
     pairs = stored(frequent_pairs(runs, least, groups), "pairs")
     longer = frequent_longer(runs, pairs, least, groups, longest)
