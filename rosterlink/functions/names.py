@@ -1,4 +1,7 @@
-"""Company names as expressions: ordered rule tables for cleaning, keyed draws for noise."""
+"""Company names as expressions: ordered rule tables for cleaning, keyed draws for noise.
+
+Every function gives null for a null name and takes an empty one like any other; rows don't depend on one another, so ties, repeats and empty tables need no rule.  White space is of all kinds
+(as Python's), not that of ASCII alone."""
 
 from __future__ import annotations
 
@@ -97,9 +100,18 @@ AND_RULE = r"\s*&\s*"
 JOINERS = [" & ", " and ", " AND "]
 
 
+# All kinds of white space; \s alone is that of ASCII.
+WHITE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def wide(rule: str) -> str:
+    """A rule whose white space is of all kinds."""
+    return rule.replace(r"\s", WHITE)
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, all kinds of it."""
-    return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$", "")
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def filled(text: Column) -> Column:
@@ -109,12 +121,12 @@ def filled(text: Column) -> Column:
 def basic_form(name: Column) -> Column:
     """The form in which names are searched."""
     plain = F.replace(F.replace(strip(F.lower(name)), F.lit(","), F.lit("")), F.lit("."), F.lit(""))
-    return F.regexp_replace(F.replace(plain, F.lit(" & "), F.lit(" and ")), r"\s+", " ")
+    return F.regexp_replace(F.replace(plain, F.lit(" & "), F.lit(" and ")), f"{WHITE}+", " ")
 
 
 def without_noise(name: Column) -> Column:
     for rule in NOISE_RULES:
-        name = F.regexp_replace(name, f"(?i){rule}", "")
+        name = F.regexp_replace(name, f"(?i){wide(rule)}", "")
     return strip(name)
 
 
@@ -122,7 +134,7 @@ def suffix_form(name: Column) -> Column:
     """The form in which names are looked up."""
     name = strip(F.lower(name))
     for rule, to in SUFFIX_RULES:
-        name = F.regexp_replace(name, f"(?i){rule}", to)
+        name = F.regexp_replace(name, f"(?i){wide(rule)}", to)
     return strip(name)
 
 
@@ -131,7 +143,7 @@ def lookup_form(name: Column) -> Column:
 
 
 def without_comma(name: Column) -> Column:
-    return F.regexp_replace(name, f"(?i){COMMA_RULE}", " $1")
+    return F.regexp_replace(name, f"(?i){wide(COMMA_RULE)}", " $1")
 
 
 def title(name: Column) -> Column:
@@ -158,9 +170,9 @@ def recased(name: Column, u: Column) -> Column:
 
 
 def repunctuated(name: Column, joiner: Column, commas: Column, spaces: Column) -> Column:
-    name = F.regexp_replace(name, F.lit(AND_RULE), pick(joiner, JOINERS))
+    name = F.regexp_replace(name, F.lit(wide(AND_RULE)), pick(joiner, JOINERS))
     name = F.when(commas < 0.3, F.replace(name, F.lit(","), F.lit(""))).otherwise(name)
-    return F.when(spaces < 0.2, F.regexp_replace(name, r"\s+", "  ")).otherwise(name)
+    return F.when(spaces < 0.2, F.regexp_replace(name, f"{WHITE}+", "  ")).otherwise(name)
 
 
 def wrapped(name: Column, u: Column, wrappers: list[str] = WRAPPERS) -> Column:
@@ -175,8 +187,8 @@ def with_messy(rows: DataFrame, name: str, *key: Column, to: str = "messy") -> D
     a, b, c = u("swap?") < 0.85, u("points?") < 0.5, u("case?") < 0.4
     text = F.col(to)
     rows = rows.withColumn(to, F.when(a, swapped(F.col(name), u("swap"), u("gap"))).otherwise(F.col(name)))
-    rows = rows.withColumn(to, F.when(b, F.regexp_replace(text, F.lit(AND_RULE), pick(u("joiner"), JOINERS))).otherwise(text))
+    rows = rows.withColumn(to, F.when(b, F.regexp_replace(text, F.lit(wide(AND_RULE)), pick(u("joiner"), JOINERS))).otherwise(text))
     rows = rows.withColumn(to, F.when(b & (u("commas") < 0.3), F.replace(text, F.lit(","), F.lit(""))).otherwise(text))
-    rows = rows.withColumn(to, F.when(b & (u("spaces") < 0.2), F.regexp_replace(text, r"\s+", "  ")).otherwise(text))
+    rows = rows.withColumn(to, F.when(b & (u("spaces") < 0.2), F.regexp_replace(text, f"{WHITE}+", "  ")).otherwise(text))
     rows = rows.withColumn(to, F.when(c, recased(text, u("case"))).otherwise(text))
     return rows.withColumn(to, wrapped(text, u("wrapper"))).withColumn("kinds", a.cast("int") + b.cast("int") + c.cast("int"))

@@ -9,13 +9,16 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import WHITE
+
 FIRST, PAIRS = 256, 4096
+WINDOWS = 1 << 16
 BINS = 32
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def token_sorted(text: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(text, r"\s+"), lambda t: t != "")), " ")
+    return F.array_join(F.array_sort(F.filter(F.split(text, f"{WHITE}+"), lambda t: t != "")), " ")
 
 
 def sort_tokens(text: str) -> str:
@@ -60,8 +63,13 @@ class Choices:
     def best(self, query: str, at_least: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores that hold the `at_least` best (ties included); rows that the bound rules out are not scored."""
         bounds = self.bounds(query)
-        by = np.argsort(-bounds, kind="stable")
-        kept, scores, least, at, step = [], [], -1.0, 0, FIRST
+        first = np.argpartition(-bounds, FIRST)[:FIRST] if len(bounds) > FIRST else np.arange(len(bounds))
+        kept, scores = [first], [self.scores(query, first)]
+        least = float(np.partition(scores[0], len(first) - at_least)[len(first) - at_least]) if len(first) >= at_least > 0 else -1.0
+        rest = bounds >= least
+        rest[first] = False
+        by = np.flatnonzero(rest)
+        by, at, step = by[np.argsort(-bounds[by], kind="stable")], 0, FIRST
         while at < len(by):
             rows = by[at : at + step]
             rows = rows[bounds[rows] >= least]
@@ -73,7 +81,7 @@ class Choices:
             if len(so_far) >= at_least:
                 least = float(np.partition(so_far, len(so_far) - at_least)[len(so_far) - at_least])
             at, step = at + step, 2 * step
-        rows, so_far = np.concatenate(kept) if kept else np.empty(0, np.int64), np.concatenate(scores) if scores else np.empty(0)
+        rows, so_far = np.concatenate(kept), np.concatenate(scores)
         return rows[so_far >= least], so_far[so_far >= least]
 
     def best_partial(self, query: str) -> tuple[np.ndarray, float]:
@@ -156,19 +164,52 @@ def pair_ratios(a: list[str], b: list[str]) -> np.ndarray:
     return ratio(pair_lengths(a, b), np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b)))
 
 
+def windows(patterns: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of a text that is as long as its pattern, the shorter ones at both ends included: the best ratio of each pair, none of them empty.
+
+    Where a character of a text stands in its pattern is looked up once, as bits.  All windows of all texts then run side by side, each reading the bits one place further on; places
+    outside a text have none, so the shorter windows are those that lie partly outside."""
+    (sought, n), (points, m) = points_of(patterns), points_of(texts)
+    words = -(-int(n.max()) // 64)
+    owner, at = np.repeat(np.arange(len(n)), n), np.arange(len(sought)) - np.repeat(np.cumsum(n) - n, n)
+    keys, place = np.unique(owner << 21 | sought, return_inverse=True)
+    known = np.zeros((words, len(keys) + 1), np.uint64)  # the last has no place
+    np.bitwise_or.at(known, (at // 64, place), np.uint64(1) << (at % 64).astype(np.uint64))
+    wanted = np.repeat(np.arange(len(m)), m) << 21 | points
+    found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = np.where(keys[found] == wanted, found, len(keys))
+    count = n + m - 1  # windows of each pair
+    first = np.cumsum(m) - m
+    own = np.repeat(np.arange(len(count)), count)
+    start = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) - n[own] + 1  # in its text, from 1 - n on
+
+    def steps():
+        for j in range(int(n.max())):
+            inside = (start + j >= 0) & (start + j < m[own]) & (j < n[own])
+            yield known[:, np.where(inside, found[np.minimum(first[own] + np.maximum(start + j, 0), len(found) - 1)], len(keys))]
+
+    common = ones_of(steps(), words, n[own])
+    size = np.minimum(start + n[own], m[own]) - np.maximum(start, 0)
+    return ratio(common, n[own], size), np.cumsum(count) - count
+
+
 def partial_ratios(a: list[str], b: list[str]) -> np.ndarray:
-    """The best ratio of the shorter text with a window of the longer one: windows of its length, and shorter ones at the ends.  Pair by pair."""
-    patterns, windows, sizes = [], [], []
-    for x, y in zip(a, b, strict=True):
-        ways = [(x, y)] if len(x) < len(y) else [(y, x)] if len(y) < len(x) else [(x, y), (y, x)]
-        found = [(s, w) for s, t in ways for w in {t[max(0, i) : i + len(s)] for i in range(min(0, 1 - len(s)), len(t) if s else 1)}]
-        patterns += [s for s, _ in found]
-        windows += [w for _, w in found]
-        sizes.append(len(found))
-    if not sizes:
-        return np.empty(0)
-    best = np.maximum.reduceat(pair_ratios(patterns, windows), np.cumsum(sizes) - sizes)
-    return np.array([score if x and y else 100.0 * (x == y) for score, x, y in zip(best, a, b, strict=True)])
+    """The best ratio of the shorter text with a window of the longer one: windows of its length, and shorter ones at the ends.  Pair by pair; of equal lengths both ways count."""
+    out = np.array([100.0 * (x == y) for x, y in zip(a, b, strict=True)])
+    ways = [(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x and y and len(x) <= len(y)]
+    ways += [(i, y, x) for i, (x, y) in enumerate(zip(a, b, strict=True)) if x and y and len(y) <= len(x)]
+    ways.sort(key=lambda way: len(way[1]))  # patterns of like lengths run together
+    begin = 0
+    while begin < len(ways):
+        end, total = begin, 0
+        while end < len(ways) and (end == begin or total + len(ways[end][1]) + len(ways[end][2]) <= WINDOWS):
+            total += len(ways[end][1]) + len(ways[end][2])
+            end += 1
+        part = ways[begin:end]
+        scores, starts = windows([s for _, s, _ in part], [t for _, _, t in part])
+        np.maximum.at(out, [i for i, _, _ in part], np.maximum.reduceat(scores, starts))
+        begin = end
+    return out
 
 
 def pair_ratio(a: str, b: str) -> float:

@@ -24,14 +24,14 @@ def plain_chats(registry: DataFrame, seed: int | None = None) -> DataFrame:
 
 
 def second_chats(registry: DataFrame, held: DataFrame, seed: int | None = None) -> DataFrame:
-    """The second data set, without the inputs held out: 12 % for validation, 50 at least."""
-    return in_splits(datasets.second_examples(registry, held, seed), ["cik", "branch", "variant"], prompts.SYSTEM_PLAIN, F.col("input"), {"valid": 0.12}, 50, seed)
+    """The second data set, without the inputs held out: 12 % for validation, 100 at least."""
+    return in_splits(datasets.second_examples(registry, held, seed), ["cik", "branch", "variant"], prompts.SYSTEM_PLAIN, F.col("input"), {"valid": 0.12}, 100, seed)
 
 
 def distractor_chats(registry: DataFrame, k: int = 5, seed: int | None = None) -> DataFrame:
     """Noisy inputs, each with k drawn candidates: a tenth each for test and validation, 50 at least."""
     examples = datasets.distractor_examples(registry, k, seed)
-    return in_splits(examples, ["cik", "branch", "variant"], prompts.SYSTEM_LISTED, prompts.listed_prompt(F.col("input"), F.col("candidates")), {"test": 0.1, "valid": 0.1}, 50, seed)
+    return in_splits(examples, ["ord", "branch", "variant"], prompts.SYSTEM_LISTED, prompts.listed_prompt(F.col("input"), F.col("candidates")), {"test": 0.1, "valid": 0.1}, 50, seed)
 
 
 def retrieval_chats(registry: DataFrame, held: DataFrame, examples: int = 5, k: int = 5, seed: int | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lookup of normalised names, and the cascade: exact first, similarity only for what is left.
 
-A null query finds nothing; null names and null or empty former names are never found.  Repeated names, queries and rows are kept apart by
-qid and ord; which of equal names wins is said below.  Other columns of the queries go through lookup.exact unchanged, whatever their names, but for norm and ord, which it adds."""
+A null query finds nothing; null names and null or empty former names are never found.  Repeated names are told apart by ord, and queries are rows of their own, whatever their
+qid (null and repeated ones stay as they are); which of equal names wins is said below.  Other columns of the queries go through lookup.exact unchanged, whatever their names, but for norm and ord, which it adds."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from ..functions.names import lookup_form, suffix_form, without_noise
 from ..functions.similarity import token_sorted
 from ..shared import stored
-from .search import best_partial, scored
+from .search import best_partial_rows, scored_above
 
 CASCADE_THRESHOLD = 80.0
 
@@ -39,24 +39,25 @@ def fallback_choices(registry: DataFrame) -> DataFrame:
     return registry.select("ord", F.posexplode(F.array("name", former)).alias("kind", "text")).filter("text is not null").select("ord", "kind", F.lit(0).alias("nth"), "text")
 
 
-def best_by(missed: DataFrame, choices: DataFrame, scorer: str) -> DataFrame:
-    """The most similar choices by 'ratio' or 'token_sort' (all of equal ones), or by 'partial' on the query without its noise (the first)."""
+def best_by(missed: DataFrame, choices: DataFrame, scorer: str, threshold: float) -> DataFrame:
+    """(row, query): the choices at the threshold or above by 'ratio' or 'token_sort', or the best one by 'partial' on the query without its noise."""
+    form = {"ratio": lambda c: c, "token_sort": token_sorted, "partial": without_noise}[scorer]
+    asked = stored(missed.select("row", form(F.col("query")).alias("query")), "missed")
     if scorer == "partial":
-        return best_partial(missed.select("qid", without_noise(F.col("query")).alias("query")), choices)
-    form = {"ratio": lambda c: c, "token_sort": token_sorted}[scorer]
-    return scored(missed.select("qid", form(F.col("query")).alias("query")), choices.withColumn("text", form(F.col("text"))), 1)
+        return best_partial_rows(asked, choices)
+    return scored_above(asked, choices.withColumn("text", form(F.col("text"))), threshold)
 
 
 def cascade(queries: DataFrame, registry: DataFrame, threshold: float = CASCADE_THRESHOLD, scorers: tuple[str, ...] = ("token_sort", "partial")) -> DataFrame:
     """(qid, query) -> (qid, ord, how, score): how is 'exact', 'similar' or null.  Of equal scores the first scorer's wins."""
-    tried = stored(exact(queries.select("qid", "query"), registry), "tried")  # read by both branches
+    tried = stored(exact(queries.select("qid", "query"), registry).withColumn("row", F.monotonically_increasing_id()), "tried")  # read by both branches; the numbers stay as they are
     hits = tried.filter("ord is not null").select("qid", "ord", F.lit("exact").alias("how"), F.lit(100.0).alias("score"))
-    missed = tried.filter("ord is null").select("qid", "query")
-    choices = fallback_choices(registry)
+    missed = tried.filter("ord is null").select("row", "qid", "query")
+    choices = stored(fallback_choices(registry), "names")
     found = None
     for nth, name in enumerate(scorers):
-        part = best_by(missed, choices, name).withColumn("scorer", F.lit(nth))
+        part = best_by(missed, choices, name, threshold).withColumn("scorer", F.lit(nth))
         found = part if found is None else found.union(part)
-    best = found.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "scorer", "kind", "ord"))).filter("place = 1")
-    similar = missed.join(best.filter(F.col("score") >= threshold), "qid", "left")
+    best = found.withColumn("place", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "scorer", "kind", "ord"))).filter("place = 1")
+    similar = missed.join(best.filter(F.col("score") >= threshold), "row", "left")
     return hits.union(similar.select("qid", "ord", F.when(F.col("ord").isNotNull(), "similar").alias("how"), "score"))

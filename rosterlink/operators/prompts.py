@@ -1,4 +1,6 @@
-"""Prompts, answers and chat examples."""
+"""Prompts, answers and chat examples.
+
+A null query, candidate name or id makes the whole prompt null, except where a text says that nothing was found; null values of an answer are written as null.  Candidates stand in the order given."""
 
 from __future__ import annotations
 

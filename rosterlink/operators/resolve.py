@@ -1,4 +1,7 @@
-"""From a model's reply to a registry row: parse, then look among the candidates."""
+"""From a model's reply to a registry row: parse, then look among the candidates.
+
+Null replies, null candidates and empty lists of them give null.  Of equally similar candidates the first is taken; candidates with a null name are never similar, and repeated ones
+stand where they are.  Rows don't depend on one another."""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import IntegerType
 
 from ..functions.names import strip
 from ..functions.similarity import pair_ratios, sort_tokens
@@ -22,7 +25,9 @@ def json_part(reply: Column) -> Column:
 
 
 def parsed(reply: Column) -> Column:
-    """The reply's object as a variant; null without one.  Inside an array, as the parser alone lets text behind an object pass."""
+    """The reply's object as a variant; null without one.  Inside an array, as the parser alone lets text behind an object pass.
+
+    An object that says a key twice, or NaN or an infinity, is no JSON to the parser and gives null: such a reply is ambiguous and counts as no answer."""
     v = F.try_parse_json(F.concat(F.lit("["), json_part(reply), F.lit("]")))
     return F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant"))
 
@@ -32,16 +37,6 @@ def by_id(candidates: Column, cik: Column) -> Column:
     return F.try_element_at(F.filter(candidates, lambda c: c["cik"] == cik), F.lit(1))
 
 
-@F.pandas_udf(DoubleType())
-def name_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Similarity of two texts with their tokens sorted."""
-    for a, b in parts:
-        there = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None]
-        out = pd.Series([None] * len(a), dtype="float64")
-        out.iloc[there] = pair_ratios([sort_tokens(a.iloc[i]) for i in there], [sort_tokens(b.iloc[i]) for i in there])
-        yield out
-
-
 def places(parts: Iterator[tuple[pd.Series, pd.Series]], fits: Callable[[float], bool]) -> Iterator[pd.Series]:
     """The place, from 1, of the first of the texts that are most similar to the one given; null if none of them fits."""
     for texts, text in parts:

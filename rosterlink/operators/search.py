@@ -1,8 +1,11 @@
 """The similarity join: for each query the most similar registry names, exactly.
 
-Queries and choices are dealt into blocks; each pair of blocks is scored by one task, so neither side has to fit in one place and
+Best matches: queries and choices are dealt into blocks; each pair of blocks is scored by one task, so neither side has to fit in one place and
 nothing is broadcast.  A task hands on, for each query, the rows that may be among its best; ties are settled after that.
+Matches above a high threshold: both sides meet on the rarest pairs of characters (see grams); only short texts meet in blocks.  Below INDEX_FROM two texts need share so few
+pairs that nearly all would meet on some key, and blocks are cheaper; results are the same.
 
+Queries are rows: each is numbered when it comes in, so keys of any type, null keys and repeated ones are kept apart and handed back as they are.
 A null query finds nothing and a null name is never found; an empty query is a text like any other.  Repeated names are choices of their own, told apart by
 ord.  Equal scores are ordered by ord, then by the place of the name in its row.  Other columns of the inputs are not read.  An empty side gives an empty result."""
 
@@ -10,29 +13,43 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.names import basic_form
 from ..functions.similarity import Choices, token_sorted
 from ..shared import stored
+from .grams import FOUND, short_size, within
 
 QUERY_BLOCK, CHOICE_BLOCK = 4096, 1 << 14
 LEAST_QUERIES = 32
-FOUND = "qid long, ord long, kind int, nth int, score double"
+INDEX_FROM = 90.0
+
+
+def numbered(queries: DataFrame, text: Column) -> DataFrame:
+    """(qid, query) -> (row, qid, query), written, the query in the form given."""
+    return stored(queries.select(F.monotonically_increasing_id().alias("row"), "qid", text.alias("query")), "queries")  # the numbers stay as they are
+
+
+def named(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of numbered queries with the caller's keys."""
+    return asked.select("row", "qid").join(found, "row").drop("row")
+
+
+def laid_out(asked: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without nulls, the choices written: they are counted, then read."""
+    return asked.select("row", "query").filter("query is not null"), stored(choices.select("ord", "kind", "nth", "text"), "choices").filter("text is not null")  # a filter before that would repeat what makes the texts
 
 
 def block_pairs(queries: DataFrame, choices: DataFrame, task) -> DataFrame:
-    """Each block of queries meets each block of choices.  Both sides are written first: they are counted, then read once."""
-    queries = stored(queries.select("qid", "query"), "queries").filter("query is not null")  # a filter before that would repeat what makes the texts
-    choices = stored(choices.select("ord", "kind", "nth", "text"), "choices").filter("text is not null")
+    """Each block of queries meets each block of choices."""
     n_queries, n_choices = queries.count(), choices.count()
     nc = max(1, -(-n_choices // CHOICE_BLOCK))
     spread = -(-2 * queries.sparkSession.sparkContext.defaultParallelism // nc)  # few blocks: smaller ones, for all cores
     nq = max(1, -(-n_queries // QUERY_BLOCK), min(spread, n_queries // LEAST_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("long")).withColumn("cb", every(nc))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(nq)).cast("long")).withColumn("cb", every(nc))
     right = choices.withColumn("cb", F.pmod(F.xxhash64("ord", "kind", "nth"), F.lit(nc)).cast("long")).withColumn("qb", every(nq))
     n = min(1 << 16, nq * nc)  # by number: small in bytes, heavy in work, so not to be coalesced
     left, right = left.repartition(n, "qb", "cb"), right.repartition(n, "qb", "cb")
@@ -43,30 +60,40 @@ def scoring(best):
     """A task over a pair of blocks; best(choices laid out, query) gives rows and their scores."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        qids, rows, scores = [], [np.empty(0, np.int64)], [np.empty(0)]
+        numbers, rows, scores = [], [np.empty(0, np.int64)], [np.empty(0)]
         if left.num_rows and right.num_rows:
             held = Choices(right["text"].to_pylist())
             for query in left["query"].to_pylist():
                 found, score = best(held, query)
                 rows.append(found)
                 scores.append(score)
-            qids = np.repeat(left["qid"].to_numpy(), [len(x) for x in rows[1:]])
+            numbers = np.repeat(left["row"].to_numpy(), [len(x) for x in rows[1:]])
         at = pa.array(np.concatenate(rows), pa.int64())
-        return pa.table({"qid": pa.array(qids, pa.int64()), **{c: right[c].take(at) for c in ("ord", "kind", "nth")}, "score": pa.array(np.concatenate(scores), pa.float64())})
+        return pa.table({"row": pa.array(numbers, pa.int64()), **{c: right[c].take(at) for c in ("ord", "kind", "nth")}, "score": pa.array(np.concatenate(scores), pa.float64())})
 
     return task
 
 
-def scored(queries: DataFrame, choices: DataFrame, at_least: int = 0, threshold: float | None = None) -> DataFrame:
-    """(qid, query) and (ord, kind, nth, text) -> (qid, ord, kind, nth, score): the best `at_least` of each pair of blocks with
-    ties, or all at the threshold or above."""
+def scored(asked: DataFrame, choices: DataFrame, at_least: int) -> DataFrame:
+    """(row, query) and (ord, kind, nth, text) -> (row, ord, kind, nth, score): the best `at_least` of each pair of blocks with ties."""
+    return block_pairs(*laid_out(asked, choices), scoring(lambda held, query: held.best(query, at_least)))
+
+
+def scored_above(asked: DataFrame, choices: DataFrame, threshold: float, index_from: float = INDEX_FROM) -> DataFrame:
+    """All pairs at the threshold or above."""
+    queries, choices = laid_out(asked, choices)
+    most = short_size(threshold) if threshold >= index_from else None
 
     def above(held: Choices, query: str):
         rows = np.flatnonzero(held.bounds(query) >= threshold)
         scores = held.scores(query, rows) if len(rows) else np.empty(0)
         return rows[scores >= threshold], scores[scores >= threshold]
 
-    return block_pairs(queries, choices, scoring((lambda held, query: held.best(query, at_least)) if threshold is None else above))
+    if most is None:
+        return block_pairs(queries, choices, scoring(above))
+    short = block_pairs(queries.filter(F.length("query") < most), choices.filter(F.length("text") < most), scoring(above))
+    # a pair of two short texts may come from both
+    return within(queries, choices, threshold).union(short).groupBy("row", "ord", "kind", "nth").agg(F.max("score").alias("score"))
 
 
 def choices_of(registry: DataFrame) -> DataFrame:
@@ -77,41 +104,46 @@ def choices_of(registry: DataFrame) -> DataFrame:
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    """(qid, ord, score) -> the k best registry rows of each query, ties in registry order, with rank from 1."""
-    best = found.groupBy("qid", "ord").agg(F.max("score").alias("score"))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "ord"))
+    """(row, ord, score) -> the k best registry rows of each query, ties in registry order, with rank from 1."""
+    best = found.groupBy("row", "ord").agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "ord"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
 def top_k(queries: DataFrame, registry: DataFrame, k: int) -> DataFrame:
     """(qid, query) and (ord, name, former_names) -> (qid, rank, ord, score)."""
-    asked = queries.select("qid", token_sorted(basic_form(F.col("query"))).alias("query"))
-    return ranked(scored(asked, choices_of(registry), 2 * k), k)
+    asked = numbered(queries, token_sorted(basic_form(F.col("query"))))
+    return named(ranked(scored(asked, choices_of(registry), 2 * k), k), asked)
 
 
 def top_k_all_former(queries: DataFrame, registry: DataFrame, k: int) -> DataFrame:
     """The older form: texts as they are, all former names, the best 2k rows before one for each registry row is kept."""
     names = F.concat(F.array("name"), F.coalesce(F.filter("former_names", lambda f: f != ""), F.array().cast("array<string>")))
     choices = registry.select("ord", F.lit(0).alias("kind"), F.posexplode(names).alias("nth", "raw")).withColumn("text", token_sorted(F.col("raw")))
-    found = scored(queries.select("qid", token_sorted(F.col("query")).alias("query")), choices, 2 * k)
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "ord", "nth"))
-    first = found.withColumn("place", place).filter(F.col("place") <= 2 * k).groupBy("qid", "ord").agg(F.min("place").alias("place"), F.max("score").alias("score"))
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("place"))).filter(F.col("rank") <= k).drop("place")
+    asked = numbered(queries, token_sorted(F.col("query")))
+    found = scored(asked, choices, 2 * k)
+    place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "ord", "nth"))
+    first = found.withColumn("place", place).filter(F.col("place") <= 2 * k).groupBy("row", "ord").agg(F.min("place").alias("place"), F.max("score").alias("score"))
+    return named(first.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy("place"))).filter(F.col("rank") <= k).drop("place"), asked)
 
 
 def above(queries: DataFrame, registry: DataFrame, threshold: float) -> DataFrame:
     """(qid, ord, score) of all registry rows at the threshold or above."""
-    asked = queries.select("qid", token_sorted(basic_form(F.col("query"))).alias("query"))
-    return scored(asked, choices_of(registry), threshold=threshold).groupBy("qid", "ord").agg(F.max("score").alias("score"))
+    asked = numbered(queries, token_sorted(basic_form(F.col("query"))))
+    return named(scored_above(asked, choices_of(registry), threshold).groupBy("row", "ord").agg(F.max("score").alias("score")), asked)
 
 
-def best_partial(queries: DataFrame, choices: DataFrame) -> DataFrame:
-    """(qid, query) and (ord, kind, nth, text) -> (qid, ord, kind, nth, score): the best partial ratio, the first of equal ones by kind, ord and nth."""
-
+def best_partial_rows(asked: DataFrame, choices: DataFrame) -> DataFrame:
     def best(held: Choices, query: str):
         rows, score = held.best_partial(query)
         return rows, np.full(len(rows), score)
 
-    found = block_pairs(queries, choices, scoring(best))
-    place = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "kind", "ord", "nth"))
+    found = block_pairs(*laid_out(asked, choices), scoring(best))
+    place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), "kind", "ord", "nth"))
     return found.withColumn("place", place).filter("place = 1").drop("place")
+
+
+def best_partial(queries: DataFrame, choices: DataFrame) -> DataFrame:
+    """(qid, query) and (ord, kind, nth, text) -> (qid, ord, kind, nth, score): the best partial ratio, the first of equal ones by kind, ord and nth."""
+    asked = numbered(queries, F.col("query"))
+    return named(best_partial_rows(asked, choices), asked)

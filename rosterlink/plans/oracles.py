@@ -22,18 +22,25 @@ def pick(draw: str, values: list[str]) -> str:
     return f"({listed(values)})[floor({draw} * {len(values)})::int + 1]"
 
 
+WHITE = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
+
+
+def wide(rule: str) -> str:
+    return rule.replace(r"\s", WHITE)
+
+
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WHITE}+|{WHITE}+$', '', 'g')"
 
 
 def rules(x: str, pairs: list[tuple[str, str]]) -> str:
     for rule, to in pairs:
-        x = f"regexp_replace({x}, {text(rule)}, {text(to)}, 'gi')"
+        x = f"regexp_replace({x}, {text(wide(rule))}, {text(to)}, 'gi')"
     return x
 
 
 def basic(x: str) -> str:
-    return rf"regexp_replace(replace(replace(replace({strip(f'lower({x})')}, ',', ''), '.', ''), ' & ', ' and '), '\s+', ' ', 'g')"
+    return rf"regexp_replace(replace(replace(replace({strip(f'lower({x})')}, ',', ''), '.', ''), ' & ', ' and '), '{WHITE}+', ' ', 'g')"
 
 
 def noiseless(x: str) -> str:
@@ -45,7 +52,7 @@ def suffix_form(x: str) -> str:
 
 
 def comma(x: str) -> str:
-    return f"regexp_replace({x}, {text(COMMA_RULE)}, ' \\1', 'gi')"
+    return f"regexp_replace({x}, {text(wide(COMMA_RULE))}, ' \\1', 'gi')"
 
 
 def title(x: str) -> str:
@@ -70,19 +77,19 @@ ENTITIES = """entities AS (SELECT *, p_partkey AS ord FROM (SELECT p_partkey, p_
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE lower(p_type) END AS entity_type, p_name, p_brand FROM part)),
 registry AS (SELECT cik, ord, name, entity_type, CASE cik % 3 WHEN 0 THEN cast([] AS varchar[]) WHEN 1 THEN [concat(p_name, ' ', lower(p_brand))]
   ELSE [concat(p_name, ' co'), CASE WHEN cik % 7 = 0 THEN upper(name) ELSE '' END] END AS former_names FROM entities)"""
-MESSY = f"messy AS (SELECT *, replace(({listed(WRAPPERS)})[(cik % 13)::int + 1], '{{name}}', name) AS messy FROM registry)"
+MESSY = f"messy AS (SELECT * REPLACE (CASE WHEN cik % 11 = 0 THEN replace(messy, ' ', chr(160)) WHEN cik % 17 = 0 THEN replace(messy, ' ', chr(12288)) ELSE messy END AS messy) FROM (SELECT *, replace(({listed(WRAPPERS)})[(cik % 13)::int + 1], '{{name}}', name) AS messy FROM registry))"
 FORMER = f"former AS (SELECT cik, name, entity_type, nth - 1 AS nth, former_names[nth] AS former FROM (SELECT *, unnest(range(1, len(former_names) + 1)) AS nth FROM registry) WHERE former_names[nth] <> '' AND {strip('lower(former_names[nth])')} <> {strip('lower(name)')})"
 
 
 def noise(source: str, key: tuple[str, ...], p: str) -> str:
     """CTEs up to {p}6, each kind of noise as its own column: k1 to k3, and the noisy name c before it is wrapped."""
     v = lambda s: u(s, *key)
-    joined = f"regexp_replace(a, {text(AND_RULE)}, {pick(v('joiner'), JOINERS)}, 'g')"
+    joined = f"regexp_replace(a, {text(wide(AND_RULE))}, {pick(v('joiner'), JOINERS)}, 'g')"
     return f"""{p}1 AS (SELECT *, {v('swap?')} < 0.85 AS k1, {v('points?')} < 0.5 AS k2, {v('case?')} < 0.4 AS k3 FROM {source}),
 {p}2 AS (SELECT *, CASE WHEN k1 THEN {swapped('name', v('swap'), v('gap'))} ELSE name END AS a FROM {p}1),
 {p}3 AS (SELECT *, CASE WHEN k2 THEN {joined} ELSE a END AS b0 FROM {p}2),
 {p}4 AS (SELECT *, CASE WHEN k2 AND {v('commas')} < 0.3 THEN replace(b0, ',', '') ELSE b0 END AS b1 FROM {p}3),
-{p}5 AS (SELECT *, CASE WHEN k2 AND {v('spaces')} < 0.2 THEN regexp_replace(b1, '\\s+', '  ', 'g') ELSE b1 END AS b FROM {p}4),
+{p}5 AS (SELECT *, CASE WHEN k2 AND {v('spaces')} < 0.2 THEN regexp_replace(b1, '{WHITE}+', '  ', 'g') ELSE b1 END AS b FROM {p}4),
 {p}6 AS (SELECT *, CASE WHEN k3 THEN {recased('b', v('case'))} ELSE b END AS c FROM {p}5)"""
 
 
@@ -106,7 +113,7 @@ HARD = "(contains(lower(query), 'former') OR contains(query, '/DE/'))"
 
 
 def tokens(x: str) -> str:
-    return rf"array_to_string(list_sort(list_filter(string_split_regex({x}, '\s+'), lambda t: t <> '')), ' ')"
+    return rf"array_to_string(list_sort(list_filter(string_split_regex({x}, '{WHITE}+'), lambda t: t <> '')), ' ')"
 
 
 def ratios(pairs: str, out: str) -> str:
@@ -154,6 +161,13 @@ second AS (
   UNION ALL SELECT 'identity', name, true, false, 'easy' FROM registry)"""
 
 
+def with_rows(steps: str) -> str:
+    """second with the columns that tell its rows apart."""
+    for branch, at in (("former", "nth"), ("former_suffix", "nth"), ("former_wrapped", "nth"), ("light", "variant"), ("full", "variant"), ("comma", "variant"), ("identity", "0")):
+        steps = steps.replace(f"SELECT '{branch}'", f"SELECT cik, name AS canonical_name, entity_type, {at}::bigint AS variant, '{branch}'", 1)
+    return steps
+
+
 LOOKUP_TABLE = f"""named AS (SELECT ord, 0 AS kind, 0 AS nth, name AS t FROM registry UNION ALL SELECT ord, 1, nth, former_names[nth] FROM (SELECT *, unnest(range(1, len(former_names) + 1)) AS nth FROM registry) WHERE former_names[nth] <> ''),
 normed AS (SELECT *, {suffix_form('t')} AS norm FROM named),
 lookup AS (SELECT norm, ord FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY kind, CASE WHEN kind = 0 THEN -ord ELSE ord END, nth) AS r FROM normed) WHERE r = 1)"""
@@ -166,6 +180,25 @@ cascade AS (SELECT qid, ord, 'exact' AS how, 100::double AS score FROM looked WH
   UNION ALL SELECT w.qid, n.ord, CASE WHEN n.ord IS NOT NULL THEN 'similar' END, n.score FROM looked w LEFT JOIN nearest n ON w.qid = n.qid WHERE w.ord IS NULL)"""
 
 
+# windows of the longer text, as long as the shorter one and shorter at both ends; equal lengths both ways
+PARTIAL = f"""bare AS (SELECT qid, {noiseless('query')} AS q FROM asked), held AS (SELECT ord, 0 AS kind, name AS t FROM registry WHERE name IS NOT NULL UNION ALL SELECT ord, 1, {LAST} FROM registry WHERE {LAST} IS NOT NULL),
+both_ways AS (SELECT qid, ord, kind, q AS s, t AS l FROM bare, held WHERE length(q) <= length(t) UNION ALL SELECT qid, ord, kind, t, q FROM bare, held WHERE length(t) <= length(q)),
+sought AS (SELECT DISTINCT s, l FROM both_ways WHERE s <> '' AND l <> ''),
+slid AS (SELECT DISTINCT s AS a, l, substr(l, greatest(i, 0)::int + 1, length(s) + least(i, 0)::int) AS b FROM (SELECT s, l, unnest(range(1 - length(s), length(l))) AS i FROM sought)), {ratios('slid', 'slid_scores')},
+tops AS (SELECT a AS s, l, max(score) AS score FROM slid_scores GROUP BY a, l),
+parts AS (SELECT w.qid, w.ord, w.kind, max(coalesce(t.score, CASE WHEN w.s = w.l THEN 100 ELSE 0 END)) AS score FROM both_ways w LEFT JOIN tops t ON w.s = t.s AND w.l = t.l GROUP BY w.qid, w.ord, w.kind),
+likest_part AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind, ord) AS place FROM parts) WHERE place = 1)"""
+
+
+# the cascade with both scorers: of equal scores the sorted tokens' wins
+BOTH = CASCADE.replace(",\nnearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind, ord) AS place FROM likened)", f""",
+{PARTIAL},
+both_scores AS (SELECT qid, ord, kind, score, 0 AS scorer FROM likened UNION ALL SELECT p.qid, p.ord, p.kind, p.score, 1 FROM parts p JOIN looked w ON w.qid = p.qid WHERE w.ord IS NULL),
+nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, scorer, kind, ord) AS place FROM both_scores)""")
+MISSPELT = f"""{ASKED.replace('asked AS MATERIALIZED (SELECT cik AS qid,', 'spelt AS (SELECT k1::int + k2::int + k3::int AS kinds, cik AS qid,')},
+asked AS MATERIALIZED (SELECT * REPLACE (CASE WHEN qid % 100 = 0 THEN substr(query, 1, (length(query) // 2)::int) || substr(query, (length(query) // 2)::int + 2) ELSE query END AS query) FROM spelt)"""
+
+
 def plain(x: str) -> str:
     return strip(f"replace(replace(lower({x}), ',', ''), '.', '')")
 
@@ -194,7 +227,7 @@ def split_sql(table: str, key: str, salt: str, arms: str) -> str:
 
 
 def placed_sql(salt: str) -> str:
-    return f"placed AS (SELECT cik, name, entity_type, row_number() OVER (ORDER BY {u(f'{salt}|place', 'cik')}, cik) AS place, count(*) OVER () AS total FROM registry)"
+    return f"placed AS (SELECT cik, ord, name, entity_type, row_number() OVER (ORDER BY {u(f'{salt}|place', 'cik')}, cik) AS place, count(*) OVER () AS total FROM registry)"
 
 
 def drawn_sql(examples: str, key: list[str], salt: str, k: int = 5) -> str:
@@ -228,9 +261,9 @@ SQL: dict[str, str] = {
     "title_case": f"{ONE}, t AS (SELECT name AS text FROM registry UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region) SELECT text, {title('text')} AS titled FROM t",
     "suffix_swap": f"{ONE} SELECT cik, {swapped('name', u('swap', *ONE_KEY), u('gap', *ONE_KEY))} AS swapped FROM registry",
     "casing_noise": f"{ONE} SELECT cik, {recased('name', u('case', *ONE_KEY))} AS recased FROM registry",
-    "punctuation_noise": rf"""{ONE}, a AS (SELECT *, regexp_replace(name, {text(AND_RULE)}, {pick(u('joiner', *ONE_KEY), JOINERS)}, 'g') AS x FROM registry),
+    "punctuation_noise": rf"""{ONE}, a AS (SELECT *, regexp_replace(name, {text(wide(AND_RULE))}, {pick(u('joiner', *ONE_KEY), JOINERS)}, 'g') AS x FROM registry),
 b AS (SELECT *, CASE WHEN {u('commas', *ONE_KEY)} < 0.3 THEN replace(x, ',', '') ELSE x END AS y FROM a)
-SELECT cik, CASE WHEN {u('spaces', *ONE_KEY)} < 0.2 THEN regexp_replace(y, '\s+', '  ', 'g') ELSE y END AS noisy FROM b""",
+SELECT cik, CASE WHEN {u('spaces', *ONE_KEY)} < 0.2 THEN regexp_replace(y, '{WHITE}+', '  ', 'g') ELSE y END AS noisy FROM b""",
     "noisy_variants": f"{ONE}, {FORMER}, {noisy_steps()} SELECT cik, branch, variant, input, name AS canonical_name, coalesce(nullif(entity_type, ''), 'unknown') AS entity_type, is_former, difficulty FROM examples",
     "variants_v3_counts": f"""{ONE}, {FORMER}, {noisy_steps()}, held AS (SELECT DISTINCT input FROM examples WHERE cik % 7 = 0), {second_steps()},
 flagged AS (SELECT s.*, h.input IS NOT NULL AS in_test FROM second s LEFT JOIN held h ON s.input = h.input)
@@ -240,7 +273,7 @@ count(*) FILTER (WHERE changed AND NOT in_test AND is_former) AS former, count(*
     "decontaminate_contains": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''",
     "holdout_antijoin": f"{ONE} SELECT cik, name FROM registry WHERE cik NOT IN (SELECT s_suppkey FROM supplier)",
     "random_distractors": f"{ONE}, {placed_sql('distractor')}, {drawn_sql('placed', ['cik'], 'distractor')} SELECT cik, slot, candidate_cik FROM picked",
-    "token_sort": rf"{ONE}, {MESSY} SELECT cik, array_to_string(list_sort(list_filter(string_split_regex(messy, '\s+'), lambda t: t <> '')), ' ') AS sorted FROM messy",
+    "token_sort": rf"{ONE}, {MESSY} SELECT cik, array_to_string(list_sort(list_filter(string_split_regex(messy, '{WHITE}+'), lambda t: t <> '')), ' ') AS sorted FROM messy",
     "exact_lookup": f"{ONE}, {MESSY}, {LOOKUP} SELECT t.qid, t.norm, l.ord FROM tried t LEFT JOIN lookup l ON t.norm = l.norm",
     "fuzzy_topk": f"{ONE}, {ASKED}, {CHOICES}, {best_rows(3)} SELECT qid, rank, ord, round(score, 6) AS score FROM best",
     "fuzzy_topk_all_former": f"""{ONE}, {ASKED}, choices AS (SELECT ord, 0 AS nth, {tokens('name')} AS b FROM registry UNION ALL SELECT ord, nth, {tokens('f')} FROM (SELECT ord, unnest(list_filter(former_names, lambda f: f <> '')) AS f, generate_subscripts(list_filter(former_names, lambda f: f <> ''), 1) AS nth FROM registry)),
@@ -248,6 +281,14 @@ pairs AS (SELECT qid, ord, nth, {tokens('query')} AS a, b FROM asked, choices),
 placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, ord, nth) AS place FROM rated) WHERE place <= 6),
 firsts AS (SELECT qid, ord, min(place) AS place, max(score) AS score FROM placed GROUP BY qid, ord)
 SELECT qid, rank, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM firsts) WHERE rank <= 3""",
+    "match_cascade_two_scorers": f"{ONE}, {ASKED}, {BOTH} SELECT qid, ord, how, round(score, 6) AS score FROM cascade",
+    "hybrid_report_two_scorers": f"""{ONE}, {MISSPELT}, {FOUND}, {BOTH}, flags AS (SELECT CASE WHEN a.kinds >= 2 THEN 'hard' ELSE 'easy' END AS difficulty, coalesce(r.name = a.name, false) AS hit, r.cik IS NULL AS call,
+  r.cik IS NULL AND coalesce({strip('lower(a.name)')} = {strip('lower(c.c_name)')}, false) AS call_hit FROM asked a JOIN cascade k ON k.qid = a.qid LEFT JOIN registry r ON r.ord = k.ord LEFT JOIN cand c ON c.qid = a.qid AND c.rank = 1)
+SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE call) AS calls, count(*) FILTER (WHERE call_hit) AS call_hits, count(*) FILTER (WHERE difficulty = 'hard') AS hard, count(*) FILTER (WHERE hit AND difficulty = 'hard') AS hard_hits,
+count(*) FILTER (WHERE difficulty = 'easy') AS easy, count(*) FILTER (WHERE hit AND difficulty = 'easy') AS easy_hits, {share('hit')} AS accuracy, {share('hit', "difficulty = 'hard'")} AS accuracy_hard, {share('hit', "difficulty = 'easy'")} AS accuracy_easy,
+{share('(hit OR call_hit)')} AS total_accuracy, {share('call')} AS call_rate FROM flags""",
+    "fuzzy_threshold_high": f"{ONE}, {ASKED}, {CHOICES} SELECT qid, ord, round(max(score), 6) AS score FROM rated WHERE score >= 90 GROUP BY qid, ord",
+    "partial_ratio_top1": f"""{ONE}, {ASKED}, {PARTIAL} SELECT qid, ord, round(score, 6) AS score FROM likest_part""",
     "fuzzy_threshold": f"{ONE}, {ASKED}, {CHOICES} SELECT qid, ord, round(max(score), 6) AS score FROM rated WHERE score >= 80 GROUP BY qid, ord",
     "match_cascade": f"{ONE}, {ASKED}, {CASCADE} SELECT qid, ord, how, round(score, 6) AS score FROM cascade",
     "flagship": f"{ONE}, {ASKED}, {FOUND} SELECT qid, query, c_cik AS found_cik, c_name AS found_name, round(score, 6) AS score, name = c_name AS name_match, cik = c_cik AS cik_match FROM cand WHERE rank = 1",
@@ -268,6 +309,16 @@ SELECT model, count(*) AS n, count(*) FILTER (WHERE name_match) AS name_hits, co
     "distractor_examples": f"""{ONE}, {FORMER}, {noisy_steps()}, {placed_sql('distractor')}, {drawn_sql('examples', ['cik', 'branch', 'variant'], 'distractor')},
 lists AS (SELECT cik, branch, variant, string_agg('[' || slot || '] ' || candidate_name || ' | CIK: ' || candidate_cik || ' | Type: ' || coalesce(nullif(candidate_type, ''), 'unknown'), chr(10) ORDER BY slot) AS listed FROM picked GROUP BY cik, branch, variant)
 SELECT cik, branch, variant, 'Company name: ' || input || chr(10) || chr(10) || 'One of these is meant:' || chr(10) || listed AS prompt, {answer_sql('name', 'entity_type', 'is_former')} AS answer, difficulty FROM examples JOIN lists USING (cik, branch, variant)""",
+    "distractor_examples_repeated": f"""{ONE.replace('registry AS (', 'single AS (', 1)}, registry AS (SELECT * FROM single UNION ALL SELECT * REPLACE (ord + 1000000000 AS ord) FROM single WHERE cik % 40 = 0),
+{FORMER.replace('SELECT cik, name,', 'SELECT cik, ord, name,', 1)}, {noisy_steps().replace('SELECT cik, ', 'SELECT ord, cik, ')} SELECT ord, cik, branch, variant, input, 5::bigint AS n, true AS has_own FROM examples""",
+    "variants_v3": f"""{ONE}, {FORMER}, {noisy_steps()}, held AS (SELECT DISTINCT input FROM examples WHERE cik % 7 = 0), {with_rows(second_steps())}
+SELECT cik, branch, variant, input, canonical_name, coalesce(nullif(entity_type, ''), 'unknown') AS entity_type, is_former, difficulty FROM second s WHERE changed AND NOT EXISTS (SELECT 1 FROM held h WHERE h.input = s.input)""",
+    "captured_registry": f"{ONE} SELECT cik, name, entity_type, array_to_string(former_names, '|') AS former FROM registry WHERE name <> ''",
+    "progress_by_date": """WITH r AS (SELECT o_orderkey, count(*) OVER w AS place, cast(sum((o_orderstatus = 'F')::int) OVER w AS bigint) AS hits FROM orders WINDOW w AS (ORDER BY o_orderdate::varchar, o_orderkey ROWS UNBOUNDED PRECEDING))
+SELECT o_orderkey, place, hits, round(hits / place, 6) AS share FROM r WHERE place % 50 = 0""",
+    "split_entities": f"""WITH e AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), c AS (SELECT o_custkey, n, sum(n) OVER (ORDER BY {u('entity', 'o_custkey')}, o_custkey ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM e),
+one AS (SELECT max(upto) AS cut FROM c WHERE upto - n < greatest(100, floor(total * 0.12)))
+SELECT o_orderkey, o_custkey, CASE WHEN upto <= cut THEN 'test' WHEN upto - n < cut + greatest(100, floor(total * 0.10)) THEN 'valid' ELSE 'train' END AS split FROM orders JOIN c USING (o_custkey), one""",
     "chat_splits": f"""{ONE}, {FORMER}, {noisy_steps()}, keyed AS (SELECT *, concat_ws('|', cik, branch, variant) AS key FROM examples), ordered AS (SELECT *, row_number() OVER (ORDER BY {u('split', 'key')}, key) AS place, count(*) OVER () AS total FROM keyed)
 SELECT {text(SYSTEM_PLAIN)} AS "system", input AS "user", {answer_sql('name', 'entity_type', 'is_former')} AS assistant, difficulty, CASE WHEN place <= greatest(50, floor(total * 0.1)) THEN 'test' WHEN place <= 2 * greatest(50, floor(total * 0.1)) THEN 'valid' ELSE 'train' END AS split FROM ordered""",
     "chat_assembly": r"SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat, list(text ORDER BY turn)[2] AS second, list(role ORDER BY turn)[-1] AS last_role, count(*) AS turns FROM conversations GROUP BY conv_id",

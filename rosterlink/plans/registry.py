@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from ..functions import names
 from ..functions.draws import uniform
 from ..functions.similarity import token_sorted
 from ..operators import builds, datasets, lookup, prompts, resolve, score, search, selector, splits
-from ..shared import stored
-from ..sources.registry import entities
+from ..shared import shared_folder, stored
+from ..sources.registry import RAW, entities, registry_rows
+from ..sources.replies import Replies, capture
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def messy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry with a wrapped form of each name, the wrapper chosen by the id."""
+    """The registry with a wrapped form of each name, the wrapper chosen by the id; some with other white space than that of ASCII."""
     wrapper = F.element_at(F.array(*map(F.lit, names.WRAPPERS)), (F.col("cik") % len(names.WRAPPERS) + 1).cast("int"))
-    return entities(spark, sf_dir).withColumn("messy", F.replace(wrapper, F.lit("{name}"), F.col("name")))
+    text = F.replace(wrapper, F.lit("{name}"), F.col("name"))
+    other = F.when(F.col("cik") % 11 == 0, F.translate(text, " ", "\u00a0")).when(F.col("cik") % 17 == 0, F.translate(text, " ", "\u3000"))
+    return entities(spark, sf_dir).withColumn("messy", F.coalesce(other, text))
 
 
 def asked(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -163,6 +167,11 @@ def fuzzy_threshold(spark, sf_dir):
     return search.above(asked(spark, sf_dir), entities(spark, sf_dir), 80.0).select("qid", "ord", F.round("score", 6).alias("score"))
 
 
+def fuzzy_threshold_high(spark, sf_dir):
+    """At a threshold from which on both sides meet by the index."""
+    return search.above(asked(spark, sf_dir), entities(spark, sf_dir), 90.0).select("qid", "ord", F.round("score", 6).alias("score"))
+
+
 def partial_ratio_top1(spark, sf_dir):
     queries = asked(spark, sf_dir).select("qid", names.without_noise(F.col("query")).alias("query"))
     best = search.best_partial(queries, lookup.fallback_choices(entities(spark, sf_dir)))
@@ -197,6 +206,36 @@ def distractor_examples(spark, sf_dir):
     return out.select("cik", "branch", F.col("variant").cast("long").alias("variant"), prompts.listed_prompt(F.col("input"), F.col("candidates")).alias("prompt"), prompts.answer(F.col("canonical_name"), F.col("cik"), F.col("entity_type"), F.col("is_former")).alias("answer"), "difficulty")
 
 
+def repeated_ciks(spark, sf_dir):
+    """The registry with every fortieth row twice, the second time under another ord."""
+    rows = entities(spark, sf_dir)
+    return rows.union(rows.filter("cik % 40 = 0").withColumn("ord", F.col("ord") + 1_000_000_000))
+
+
+def distractor_examples_repeated(spark, sf_dir):
+    """Examples of a registry with repeated ciks, and how many candidates each has."""
+    out = datasets.distractor_examples(repeated_ciks(spark, sf_dir))
+    return out.select("ord", "cik", "branch", F.col("variant").cast("long").alias("variant"), "input", F.size("candidates").cast("long").alias("n"), F.exists("candidates", lambda c: c["cik"] == F.col("cik")).alias("has_own"))
+
+
+def variants_v3(spark, sf_dir):
+    """The second data set's rows."""
+    out = datasets.second_examples(entities(spark, sf_dir), held_inputs(spark, sf_dir))
+    return out.select("cik", "branch", F.col("variant").cast("long").alias("variant"), "input", "canonical_name", "entity_type", "is_former", "difficulty")
+
+
+def captured_registry(spark, sf_dir):
+    """The registry as captured replies of its service, replayed through the data source and read again."""
+    former = F.transform("former_names", lambda f: F.struct(f.alias("name"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to")))
+    said = F.to_json(F.struct("cik", "name", F.col("entity_type").alias("entityType"), former.alias("formerNames")))
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    capture(entities(spark, sf_dir).select("cik", said.alias("reply")), folder)
+    spark.dataSource.register(Replies)
+    back = spark.read.format("replies").option("folder", folder).load()
+    rows = registry_rows(back.select(F.from_json("reply", RAW).alias("r")).select("r.*"))
+    return rows.select("cik", "name", "entity_type", F.array_join("former_names", "|").alias("former"))
+
+
 def chat_splits(spark, sf_dir):
     """The first data set as chat rows in splits."""
     out = builds.plain_chats(entities(spark, sf_dir))
@@ -303,6 +342,12 @@ def progress_running(spark, sf_dir):
     return kept.select("event_id", "place", "hits", F.round("share", 6).alias("share"))
 
 
+def progress_by_date(spark, sf_dir):
+    """Running shares in an order of texts and numbers with many ties in its first part, every fiftieth row."""
+    rows = read(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("string"))
+    return score.running_share(rows, ["day", "o_orderkey"], F.col("o_orderstatus") == "F").filter("place % 50 = 0").select("o_orderkey", "place", "hits", F.round("share", 6).alias("share"))
+
+
 def split_rows(spark, sf_dir):
     return splits.split_rows(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "split", {"test": 0.10, "valid": 0.10}, 50)
 
@@ -316,6 +361,11 @@ def split_by_entity(spark, sf_dir):
     return splits.split_by_entity(rows, "cik", "entity", {"test": 0.10, "valid": 0.10})
 
 
+def split_entities(spark, sf_dir):
+    """All orders of a customer fall together; sizes are exact up to one customer."""
+    return splits.split_entities(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_custkey", "entity", {"test": 0.12, "valid": 0.10}, 100)
+
+
 def limit_then_filter(spark, sf_dir):
     """The first 200 rows, and of those the ones marked good: the limit comes first."""
     return read(spark, sf_dir, "labels").orderBy("doc_id").limit(200).filter("quality = 1").select("doc_id", F.col("toxic").cast("long").alias("toxic"))
@@ -328,6 +378,6 @@ def file_checksum(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     registry_projection, former_name_unnest, former_name_last, registry_union, page_titles, strip_noise, normalize_suffix, normalize_basic, comma_before_suffix, title_case,
     suffix_swap, casing_noise, punctuation_noise, noisy_variants, variants_v3_counts, decontaminate_exact, decontaminate_contains, holdout_antijoin, random_distractors, token_sort,
-    fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, candidate_prompt, chat_assembly,
-    answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, distractor_examples, chat_splits, progress_running, split_rows, split_rows_one_share,
-    split_by_entity, limit_then_filter, file_checksum, flagship)}
+    fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, fuzzy_threshold_high, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, candidate_prompt, chat_assembly,
+    answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, distractor_examples, distractor_examples_repeated, variants_v3, captured_registry, chat_splits, progress_running, progress_by_date, split_rows, split_rows_one_share,
+    split_by_entity, split_entities, limit_then_filter, file_checksum, flagship)}

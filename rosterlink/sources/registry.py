@@ -8,10 +8,14 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from ..shared import stored
+
 FORMER = "array<struct<name: string, `from`: string, `to`: string>>"
 RAW = f"cik bigint, name string, entityType string, sic string, sicDescription string, tickers array<string>, exchanges array<string>, formerNames {FORMER}"
 HOLDOUT = f"cik bigint, name string, ticker string, entityType string, formerNames {FORMER}"
@@ -44,14 +48,35 @@ def registry_rows(raw: DataFrame) -> DataFrame:
 
 
 def with_order(*registries: DataFrame) -> DataFrame:
-    """The union with ord: rows of earlier registries first, each in its own order of input."""
+    """The union with ord: rows of earlier registries first, each in its own order of input.
+
+    Rows read from files come file by file, by name, and inside a file in its own order: Spark packs files and parts of files into tasks by size, so each part is ranked by its file and its
+    first byte.  To have files in another order, give each as a registry.  Rows that are not from files come as their partitions do."""
     out = None
     for k, df in enumerate(registries):
-        df = df.withColumn("ord", F.lit(k << 56) + F.monotonically_increasing_id())
+        df = (in_file_order(df) if from_files(df) else df.withColumn("ord", F.monotonically_increasing_id())).withColumn("ord", F.lit(k << 56) + F.col("ord"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
 
+def from_files(df: DataFrame) -> bool:
+    try:
+        return bool(df.select("_metadata.file_path", "_metadata.file_block_start").columns)
+    except AnalysisException:
+        return False
+
+
+def in_file_order(df: DataFrame) -> DataFrame:
+    """Rows of one scan with ord: a number for each part of a file, a row each, adds up what comes before it."""
+    names = [c for c in df.columns if c != "ord"]
+    rows = df.select(F.struct(*names).alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    rows = stored(rows, "rows")  # the numbers stay as they are
+    parts = rows.groupBy("file", "start").agg(F.min("id").alias("first"), (F.max("id") - F.min("id") + 1).alias("n"))  # numbers of one part follow one another
+    before = W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("away"))
+    return rows.join(parts, ["file", "start"]).select("row.*", (F.col("id") + F.col("away")).alias("ord"))
+
+
 def listed(spark: SparkSession, path: str) -> DataFrame:
     """A registry's list, one object of objects in a file -> (cik, ticker, title)."""
     text = spark.read.text(path, wholetext=True)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import urllib.error
 from collections import Counter, defaultdict
@@ -6,12 +7,13 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlink.functions import names
+from rosterlink.functions import names, similarity
 from rosterlink.functions.similarity import partial_ratio, sort_tokens
 from rosterlink.operators import builds, datasets, lookup, prompts, resolve, score, search, selector, splits
+from rosterlink.plans import oracles as plans_sql
 from rosterlink.plans import registry as plans
 from rosterlink.sources import registry as sources
-from rosterlink.sources import sinks
+from rosterlink.sources import replies, sinks
 from tests.test_names import simple_ratio
 
 DIR = "/root/testdata/sf0.001"
@@ -66,6 +68,19 @@ def test_threshold_and_older_form(spark, entities):
     assert got == older
 
 
+def test_keys_of_queries_are_the_callers(spark):
+    """Null and repeated keys, and keys of another type: each query is a row of its own."""
+    registry = spark.createDataFrame([(0, "Alpha Inc", []), (1, "Beta LLC", ["Old Beta"]), (2, "Gamma Co", [])], "ord long, name string, former_names array<string>")
+    rows = [(None, "alpha inc"), (None, "beta llc"), ("x", "gamma co"), ("x", "gamma co"), ("x", "Betta LLC"), ("y", None)]
+    queries = spark.createDataFrame(rows, "qid string, query string")
+    best = Counter((r.qid, r.ord) for r in search.top_k(queries, registry, 1).collect())
+    assert best == {(None, 0): 1, (None, 1): 1, ("x", 2): 2, ("x", 1): 1}
+    assert Counter(r.qid for r in search.top_k(queries, registry, 2).collect()) == {None: 4, "x": 6}
+    assert Counter((r.qid, r.ord) for r in search.above(queries, registry, 95.0).collect()) == {(None, 0): 1, (None, 1): 1, ("x", 2): 2}
+    assert Counter((r.qid, r.ord, r.how) for r in lookup.cascade(queries, registry).collect()) == {(None, 0, "exact"): 1, (None, 1, "exact"): 1, ("x", 2, "exact"): 2, ("x", 1, "similar"): 1, ("y", None, None): 1}
+    assert Counter(r.qid for r in search.best_partial(queries, lookup.fallback_choices(registry)).collect()) == {None: 2, "x": 3}
+
+
 def test_cascade_is_lookup_then_similarity(spark, entities):
     queries = spark.createDataFrame([(1, "zzz"), (2, "dba Alpha, Inc."), (3, "Alpha Widgets Incorporatd"), (4, "old beta")], "qid long, query string")
     registry = spark.createDataFrame([(0, "ALPHA INC", []), (1, "Alpha Inc.", ["Old Beta"]), (2, "Alpha Widgets Incorporated", ["Old Beta", ""])], "ord long, name string, former_names array<string>")
@@ -147,6 +162,34 @@ def test_texts_that_hold_items(spark):
     assert datasets.containing(docs, known.limit(0)).count() == 0 and datasets.containing(docs.limit(0), known).count() == 0
 
 
+def test_repeated_ciks_have_examples_of_their_own(spark):
+    rows = [(0, 1, "Alpha Inc", "a", ["Old Alpha"]), (1, 2, "Beta LLC", "b", []), (2, 2, "Beta LLC", "b", []), (3, 3, "Gamma Co", "c", []), (4, 4, "Delta Corp", "d", []), (5, 5, "Eta Ltd", "e", []), (6, None, "No Id", "f", [])]
+    registry = spark.createDataFrame(rows, "ord long, cik long, name string, entity_type string, former_names array<string>")
+    examples = datasets.distractor_examples(registry).collect()
+    want = datasets.first_examples(registry.filter("cik is not null")).count()
+    assert len(examples) == want and all(len(r.candidates) == 5 and r.cik in {c.cik for c in r.candidates} for r in examples)
+    assert Counter(r.cik for r in examples)[2] == 2 * Counter(r.cik for r in examples)[3]
+    assert builds.distractor_chats(registry).count() == want
+    kept = Counter((r.cik, r.attempt) for r in datasets.retrieval_examples(registry, registry, k=3).collect())
+    assert kept and all(n == (2 if cik == 2 else 1) for (cik, _), n in kept.items())
+
+
+def test_waves_stop_early(spark, entities, monkeypatch):
+    """As all attempts at once, and targets that have all their examples take no part in later waves."""
+    asked = []
+    find = datasets.top_k
+    monkeypatch.setattr(datasets, "top_k", lambda queries, registry, k: asked.append(queries.count()) or find(queries, registry, k))
+    small = entities.filter("cik <= 30")
+    rows = sorted((r.cik, r.attempt, r.nth) for r in datasets.retrieval_examples(entities, small, examples=2).collect())
+    assert len(asked) == 3 and asked[0] > asked[1] > asked[2]
+    tried = datasets.hits(entities, small, 0, 6, 5).orderBy("cik", "attempt").collect()
+    want = defaultdict(list)
+    for r in tried:
+        if len(want[r.cik]) < 2:
+            want[r.cik].append((r.cik, r.attempt, len(want[r.cik]) + 1))
+    assert rows == sorted(x for v in want.values() for x in v)
+
+
 def test_names_from_replies(spark):
     candidates = [("Alpha Widgets, Inc.", 1), ("Beta Holdings", 2)]
     rows = spark.createDataFrame([(t, [(n, c) for n, c in candidates]) for t in ("ALPHA WIDGETS INC", "beta holding", "gamma", None, "")], "t string, candidates array<struct<name string, cik long>>")
@@ -164,6 +207,8 @@ def test_whole_data_sets(spark, entities, tmp_path):
         sizes = Counter(r.split for r in rows)
         if name in ("plain", "drawn"):
             assert sizes["test"] == sizes["valid"] == max(50, len(rows) // 10)
+        else:
+            assert sizes["valid"] == min(len(rows), max(100, int(len(rows) * (0.12 if name == "second" else 0.15)))) and sizes["train"] == len(rows) - sizes["valid"]
         assert all(r.difficulty in ("hard", "easy") for r in rows)
     assert not {json.loads(r.messages[2].content)["cik"] for r in made["found"].collect()} & {3, 4}
     examples = datasets.distractor_examples(entities).collect()
@@ -219,6 +264,8 @@ def test_replies(spark):
     replies = ['```json\n{"cik": "320193", "canonical_name": "A"}\n```', "no json", '{"cik": 1', "{}", 'say {"cik": 7} or {"x": 1}', ' {"cik":7} ']
     rows = spark.createDataFrame([(r,) for r in replies], "r string").select(resolve.parsed(F.col("r")).alias("v")).select(F.col("v").isNotNull(), F.try_variant_get("v", "$.cik", "string"), F.schema_of_variant("v")).collect()
     assert [tuple(r)[:2] for r in rows] == [(True, "320193"), (False, None), (False, None), (True, None), (False, None), (True, "7")]
+    odd = spark.createDataFrame([('{"cik":1,"cik":2}',), ('{"cik":NaN}',), (None,), ("",)], "r string").select(resolve.parsed(F.col("r")).isNull().alias("none"))
+    assert all(r.none for r in odd.collect())
     flags = spark.createDataFrame([("0000320193", "320193", " apple ", "Apple"), (None, "1", None, "x"), ("00", "0", "a", "b")], "a string, b string, c string, d string")
     assert [tuple(r) for r in flags.select(score.same_cik(F.col("a"), F.col("b")), score.same_name(F.col("c"), F.col("d")), score.strict(F.col("c"), F.col("d"))).collect()] == [(True, True, False), (False, False, False), (True, False, False)]
     assert spark.range(0).select(F.lit(True).alias("f")).agg(score.share(F.col("f"))).first()[0] == 0.0
@@ -293,6 +340,27 @@ def test_splits(spark):
     got = splits.split_rows(odd, "id", "s", {"test": 0.5}, 2)
     assert sorted(map(str, got.select(kept).collect())) == sorted(map(str, odd.select(kept).collect())) and Counter(r.split for r in got.collect()) == {"test": 2, "train": 1}
     assert splits.split_rows(odd.limit(0), "id", "s", {"test": 0.5}, 2).count() == 0
+    hot = spark.range(4000).select(F.lit(7).alias("id"), F.col("id").alias("x"))  # one key for all: rows come by their content, whatever the partitions
+    one, two = ({r.x: r.place for r in splits.shuffled_places(hot.repartition(n), "id", "s").collect()} for n in (1, 7))
+    assert one == two and sorted(one.values()) == list(range(1, 4001))
+
+
+def test_entities_stay_together(spark):
+    """Exact sizes up to one entity; a heavy entity, null entities, minima."""
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 900, 0).when(F.col("id") % 50 == 0, None).otherwise(F.col("id") % 211).alias("e")).withColumn("split", F.lit("old"))
+    for shares, least in (({"test": 0.1, "valid": 0.1}, 50), ({"test": 0.01}, 400), ({"test": 0.9, "valid": 0.9}, 1)):
+        found = splits.split_entities(rows, "e", "s", shares, least).collect()
+        by, sizes = defaultdict(set), Counter(r.split for r in found)
+        n = Counter(r.e for r in found)
+        for r in found:
+            by[r.e].add(r.split)
+        assert len(found) == 3000 and all(len(v) == 1 for v in by.values())
+        left = 3000
+        for name, share in shares.items():
+            target = min(left, max(least, int(3000 * share)))
+            assert target <= sizes[name] < target + max([k for e, k in n.items() if name in by[e]], default=1)
+            left -= sizes[name]
+    assert splits.split_entities(rows.limit(0), "e", "s", {"test": 0.5}, 10).count() == 0
 
 
 def test_running_share(spark):
@@ -301,6 +369,16 @@ def test_running_share(spark):
     for i, r in enumerate(rows):
         hits += i * 2 % 3 == 0
         assert (r.place, r.hits) == (i + 1, hits)
+    days = spark.range(5000).select(F.concat(F.lit("day "), (F.col("id") % 3).cast("string")).alias("day"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("n"), (F.col("id") % 5 == 0).alias("f")).repartition(6)
+    got = score.running_share(days, ["day", "n"], F.col("f")).orderBy("place").collect()
+    want = sorted(days.collect(), key=lambda r: (r.day, r.n is not None, r.n))
+    assert [(r.day, r.n) for r in got] == [(r.day, r.n) for r in want] and [r.place for r in got] == list(range(1, 5001))
+    ends = {(r.day, r.n): r.hits for r in got if r.n is not None}
+    total = 0
+    for r in want:
+        total += r.f
+        assert r.n is None or ends[r.day, r.n] == total
+    assert score.running_share(days.limit(0), "day", F.col("f")).count() == 0
 
 
 def test_prompts(spark):
@@ -346,6 +424,11 @@ def test_names_stand_in_for_missing_ids(spark):
     assert any(q % 100 == 0 for q in got) and all(r.resolved_cik == found[q].candidates[1].cik and r.name == found[q].candidates[1].name for q, r in got.items())
 
 
+def lines_of(folder):
+    """All rows of a written folder, whose files may be empty."""
+    return [json.loads(line) for p in folder.glob("*.json") for line in p.read_text().splitlines()]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "raw.jsonl").write_text('{"cik": 1, "name": "A", "entityType": null, "formerNames": [{"name": "B"}, {"from": "x"}]}\n\n{"cik": 2, "name": ""}\n')
     raw = sources.json_lines(spark, str(tmp_path / "raw.jsonl"), sources.RAW)
@@ -356,13 +439,13 @@ def test_sources_and_sinks(spark, tmp_path):
     ordered = sources.with_order(sources.registry_rows(raw), sources.registry_rows(raw))
     assert len({r.ord for r in ordered.collect()}) == 2
     sinks.write_splits(spark.createDataFrame([("a", "test"), (None, "train")], "x string, split string"), str(tmp_path / "out"))
-    assert json.loads(next((tmp_path / "out" / "split=train").glob("*.json")).read_text()) == {"x": None}
+    assert lines_of(tmp_path / "out" / "split=train") == [{"x": None}] and lines_of(tmp_path / "out" / "split=test") == [{"x": "a"}]
     with pytest.raises(Exception, match="blank line"):
         sources.json_lines(spark, str(tmp_path / "raw.jsonl"), sources.RAW, strict=True).collect()
     (tmp_path / "good.jsonl").write_text('{"cik": 1, "name": "A", "formerNames": []}\n')
     assert [r.cik for r in sources.json_lines(spark, str(tmp_path / "good.jsonl"), sources.RAW, strict=True).collect()] == [1]
     sinks.write_json_lines(spark.createDataFrame([("é", None)], "x string, y string"), str(tmp_path / "rows"))
-    assert json.loads(next((tmp_path / "rows").glob("*.json")).read_text()) == {"x": "é", "y": None}
+    assert lines_of(tmp_path / "rows") == [{"x": "é", "y": None}]
     assert sinks.line_count(spark, str(tmp_path / "raw.jsonl")) == 3 and len(sinks.checksums(spark, str(tmp_path / "list.json")).first().sha256) == 64
 
 
@@ -399,3 +482,80 @@ def test_entry(spark):
 
     assert plans.flagship(spark, DIR).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_order_of_input(spark, tmp_path):
+    """A small file before a large one, one file in many parts, and names that sort."""
+    row = '{"cik": %d, "name": "n%d", "formerNames": []}\n'
+    (tmp_path / "b.jsonl").write_text("".join(row % (k, k) for k in range(10, 4000)))
+    (tmp_path / "a.jsonl").write_text(row % (1, 1))
+    (tmp_path / "c.jsonl").write_text("\n" + row % (5000, 5000) + row % (4999, 0))
+    want = [1, *range(10, 4000), 5000, 4999]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in (size, "20k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            raw = sources.json_lines(spark, str(tmp_path), sources.RAW)
+            assert [r.cik for r in sources.with_order(sources.registry_rows(raw)).orderBy("ord").collect()] == want
+        both = sources.with_order(raw.filter("cik > 3990").select("cik", "name"), sources.json_lines(spark, str(tmp_path / "a.jsonl"), sources.RAW).select("cik", "sic"))
+        assert [(r.cik, r.name) for r in both.orderBy("ord").collect()] == [*((k, f"n{k}") for k in range(3991, 4000)), (5000, "n5000"), (4999, "n0"), (1, None)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r.x for r in sources.with_order(spark.createDataFrame([(3,), (1,), (2,)], "x int").coalesce(1)).orderBy("ord").collect()] == [3, 1, 2]
+
+
+def test_digests_of_whole_files(spark, tmp_path):
+    """Files in many parts, with and without a last line's end, other line ends, bytes that are no text, and empty ones."""
+    folder = tmp_path / "files"
+    folder.mkdir()
+    files = {"big": b"".join(b"line %d \xc3\xa9\n" % k for k in range(30_000)), "open": b"a\nb", "returns": b"a\r\nb\r\rc\n\n\n", "bytes": bytes(range(256)) * 3, "empty": b"", "one": b"\n", "blank": b"x\n\n", "a b": b"y"}
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        got = {r.path.rsplit("/", 1)[1].replace("%20", " "): r.sha256 for r in sinks.checksums(spark, str(folder)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == {name: hashlib.sha256(data).hexdigest() for name, data in files.items()}
+
+
+def test_replies_as_a_source(spark, tmp_path):
+    folder = str(tmp_path / "captured")
+    rows = spark.createDataFrame([(k, json.dumps({"cik": k, "name": f"n{k} é\n"})) for k in range(0, 5000, 7)] + [(None, "x"), (3, None)], "cik long, reply string")
+    replies.capture(rows, folder)
+    spark.dataSource.register(replies.Replies)
+    back = spark.read.format("replies").option("folder", folder).load()
+    assert sorted((r.cik, r.reply) for r in back.collect()) == sorted((r.cik, r.reply) for r in rows.filter("cik is not null and reply is not null").collect())
+    assert back.rdd.getNumPartitions() == 5
+    some = spark.read.format("replies").option("folder", f"file://{folder}").options(first=1990, last=2010).load()
+    assert sorted(r.cik for r in some.collect()) == [1995, 2002, 2009] and some.rdd.getNumPartitions() == 2
+    reader = replies.RepliesReader({"template": "at/{cik:010d}", "agent": "me", "first": "3", "last": "9", "parts": "3", "pause": "0"})
+    seen = []
+
+    def get(url, agent):
+        seen.append(url)
+        if url.endswith("5"):
+            raise urllib.error.HTTPError(url, 404, "", {}, None)
+        return f"{agent}:{url[-1]}"
+
+    reader.get = get
+    assert [row for part in reader.partitions() for row in reader.read(part)] == [(k, f"me:{k}") for k in (3, 4, 6, 7, 8, 9)] and seen[0] == "at/0000000003"
+    for options in ({}, {"folder": "x", "template": "y"}, {"template": "y"}, {"folder": "s3://x"}):
+        with pytest.raises(ValueError):
+            replies.RepliesReader(options)
+
+
+def test_white_space_of_all_kinds(spark):
+    rows = spark.createDataFrame([("b\u00a0a c\u3000d", "A\u00a0and\u2009B, Inc", "X\u00a0(fka)\u00a0", "A\u00a0&\u00a0B,\u3000Inc")], "t string, u string, v string, w string")
+    got = rows.select(similarity.token_sorted(F.col("t")), names.suffix_form(F.col("u")), names.basic_form(F.col("t")), names.without_noise(F.col("v")), names.without_comma(F.col("w"))).first()
+    assert tuple(got) == (sort_tokens("b\u00a0a c\u3000d"), "a b inc", "b a c d", "X", "A\u00a0&\u00a0B Inc")
+
+
+def test_entry_finds_what_is_there(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(__spark_entry__, "find_spec", lambda name: None)
+    assert "pipeline" not in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) == set(plans_sql.SQL)
