@@ -34,6 +34,7 @@ from .hashing import Spans, mix, raw_bytes, some_at_a_time
 PERMUTATIONS = 60
 BLOCK_SETS = 1024
 BLOCK_BYTES = 4 << 20
+HUB_PAIRS = 256
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, bool)
@@ -125,7 +126,8 @@ def signatures(rows: DataFrame, k: int, band_rows: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """pairs (a, b) -> (a, b, both, either): sizes of the intersection and the union of the full sets.
 
-    Both sides of these joins grow with the corpus, so they are sort-merge joins at any size."""
+    Both sides of these joins grow with the corpus, so they are sort-merge joins at any size.  A hub b of many pairs has a copy of its text for every HUB_PAIRS of them, and its pairs are
+    dealt out among the copies: each of those rows holds a whole text already, so all of a hub's in one task would be a large part of the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,7 +150,11 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both), pa.array(either)], names=["a", "b", "both", "either"])
 
     left, right = texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
+    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("ways")).filter("ways > 1")
+    hot = stored(hot, "hubs")
+    dealt = pairs.join(hot, "b", "left").withColumn("way", F.pmod(F.xxhash64("a"), F.coalesce("ways", F.lit(1))).cast("int")).drop("ways")
+    copies = right.join(hot, "b", "left").withColumn("way", F.explode(F.sequence(F.lit(0), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+    return dealt.join(left.hint("merge"), "a").join(copies.hint("merge"), ["b", "way"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, both long, either long")
 
 
 def links_in_buckets(placed: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -53,6 +53,21 @@ def test_against_brute_force(spark, k, percent, rows):
     assert got == brute(list(enumerate(texts)), k, percent)
 
 
+def test_a_hub_of_many_pairs(spark, monkeypatch):
+    """Copies of one text that differ by a word each: one hub, its pairs dealt out among copies of its text."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] + [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(1, 59)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "HUB_PAIRS", 4)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 59)] + [(5, 4)], "a long, b long")
+    found = minhash.verified(pairs, docs.select(docs.doc_id.alias("rid"), "text"), 3)
+    sets = {i: {tuple(w[k : k + 3]) for w in [t.split()] for k in range(len(w) - 2)} for i, t in rows}
+    assert {(r.a, r.b): (r.both, r.either) for r in found.collect()} == {(a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a, b in [*((i, 0) for i in range(1, 59)), (5, 4)]}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85, 5).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_stored_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
