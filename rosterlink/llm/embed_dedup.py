@@ -1,7 +1,12 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
-Vectors of one label are dealt into blocks by a hash of their id, so that the largest block is bounded however large a
-label is.  Every two blocks of a label (and each block with itself) meet in one task, as two cover trees.  In a cover tree
+A label of more than one block's vectors is parted into cells: the top levels of a cover tree over a sample of it (SAMPLE vectors, about) give centres, MOST_CELLS at most, and every vector is
+at home in the cell of its nearest centre.  If it is linked with a vector of another cell, that cell's centre is at most twice the threshold distance farther away than its
+own; so it visits only such cells, and of two cells the vectors of the later one visit the earlier.  All other pairs of cells are never brought together.  Where vectors are
+all about equally far from all centres that is each pair of cells, as many rows as if nothing was parted.
+
+A cell's vectors and its visitors are dealt into blocks by a hash of their id, so that the largest block is bounded however large a
+cell is.  Every two blocks of vectors at home (and each block with itself), and each of those with each block of visitors, meet in one task, as two cover trees.  In a cover tree
 the nodes of a level lie in balls of half the radius of the level above; each node keeps the true distance of its farthest vector.
 A pair of nodes is dropped when their centres are farther apart than both radii and the threshold distance, taken whole (links
 are counted, not listed) when even their farthest vectors are within it, and opened otherwise.
@@ -29,6 +34,7 @@ LEAF = 24
 TOP_RADIUS = 2.0
 SLACK = 1e-7
 CHUNK = 1024
+SAMPLE, MOST_CELLS = 4096, 256
 
 
 class CoverTree:
@@ -181,16 +187,69 @@ def unit_vectors(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"rid long, label {rows.schema['label'].dataType.simpleString()}, unit binary")
 
 
+def top_centres(unit: np.ndarray, wanted: int) -> np.ndarray:
+    """Centres of the nodes of a cover tree's top levels: the largest nodes are opened until there are as many as wanted (at most: the largest of them)."""
+    tree = CoverTree(unit)
+    nodes = [0] if len(unit) else []
+    while len(nodes) < wanted:
+        size, node = max(((tree.high[k] - tree.low[k], k) for k in nodes if tree.last[k]), default=(0, None))
+        if node is None:
+            break
+        nodes = [k for k in nodes if k != node] + list(range(tree.first[node], tree.last[node]))
+    nodes = sorted(nodes, key=lambda k: (tree.low[k] - tree.high[k], k))[:wanted]
+    return unit[np.unique(tree.centre[nodes])] if nodes else unit[:0]
+
+
+def in_cells(units: DataFrame, cosine: float, block: int, sample: int = SAMPLE, most: int = MOST_CELLS) -> DataFrame:
+    """(rid, label, size, unit) -> and home int, visits array<int>: the cell that each vector is at home in, and the earlier ones that it has to visit."""
+    reach = float(np.sqrt(2.0 - 2.0 * cosine))
+    sizes = units.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows"))
+    large = stored(sizes.filter(F.col("rows") > block).withColumn("parts", F.ceil(F.col("rows") / block).cast("int")), "large")
+    kind = units.schema["label"].dataType.simpleString()
+
+    def centres(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rid")
+        unit = np.frombuffer(b"".join(table["unit"].to_pylist()), np.float64).reshape(table.num_rows, -1)
+        found = top_centres(unit, min(most, table["parts"][0].as_py()))
+        return pa.table({"label": table["label"].slice(0, 1), "size": table["size"].slice(0, 1), "centres": pa.array([found.tobytes()], pa.binary())})
+
+    def homes(left: pa.Table, right: pa.Table) -> pa.Table:
+        unit = np.frombuffer(b"".join(left["unit"].to_pylist()), np.float64).reshape(left.num_rows, -1)
+        found = np.frombuffer(right["centres"][0].as_py() if right.num_rows else b"", np.float64).reshape(-1, unit.shape[1])
+        if not len(found):
+            found = unit[:1] * 0.0  # no sample: one cell
+        d = distances(unit, found)
+        home = d.argmin(axis=1)
+        near = d <= d[np.arange(len(d)), home][:, None] + 2 * reach + SLACK
+        near &= np.arange(len(found))[None, :] < home[:, None]
+        visits = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(near.sum(axis=1))], pa.int32()), pa.array(np.nonzero(near)[1], pa.int32()))
+        return pa.table({"rid": left["rid"], "label": left["label"], "size": left["size"], "unit": left["unit"], "home": pa.array(home, pa.int32()), "visits": visits})
+
+    drawn = units.join(large, ["label", "size"]).filter(F.pmod(F.xxhash64("rid", F.lit("sample")), F.col("rows")) < sample).select("rid", "label", "size", "unit", "parts")
+    found = stored(drawn.groupBy("label", "size").applyInArrow(centres, f"label {kind}, size int, centres binary"), "centres")
+    part = units.join(large, ["label", "size"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).select("label", "size", "part", "rid", "unit")
+    copies = large.join(found, ["label", "size"]).select("label", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "centres")
+    placed = part.groupBy("label", "size", "part").cogroup(copies.groupBy("label", "size", "part")).applyInArrow(homes, f"rid long, label {kind}, size int, unit binary, home int, visits array<int>")
+    small = units.join(large, ["label", "size"], "left_anti").select("rid", "label", "size", "unit", F.lit(0).alias("home"), F.array().cast("array<int>").alias("visits"))
+    return small.unionByName(placed)
+
+
 def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """vectors -> (id_col, n_links, component_id, kept): links are pairs of the same label with cosine or more."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows, plain = unique_ids(vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding")), "vec_id")
     units = stored(unit_vectors(rows.filter("label is not null").select("rid", "label", "embedding")).withColumn("size", F.length("unit")), "units")
-    blocks = units.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows")).select("label", "size", F.ceil(F.col("rows") / block).cast("int").alias("blocks"))
-    dealt = units.join(blocks, ["label", "size"]).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("label", "size", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rid", "unit")
+    cells = stored(in_cells(units, cosine, block), "cells")
+    there = F.explode(F.concat(F.array(F.struct(F.col("home").alias("cell"), F.lit(False).alias("visitor"))), F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visitor")))))
+    there = cells.select("label", "size", "rid", "unit", there.alias("x")).select("label", "size", "x.cell", "x.visitor", "rid", "unit")
+    where = ["label", "size", "cell"]
+    blocks = there.groupBy(*where).agg(F.ceil(F.count_if(~F.col("visitor")) / block).cast("int").alias("hosts"), F.ceil(F.count_if("visitor") / block).cast("int").alias("guests"))
+    dealt = there.join(blocks.filter("hosts > 0"), where)  # a cell's blocks: those of vectors at home first
+    own = F.when(F.col("visitor"), F.col("hosts") + F.pmod(F.xxhash64("rid"), F.col("guests"))).otherwise(F.pmod(F.xxhash64("rid"), F.col("hosts"))).cast("int")
+    last = F.when(F.col("visitor"), F.col("hosts")).otherwise(F.col("hosts") + F.col("guests")) - 1  # visitors don't meet each other
+    met = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    met = met.select(*where, F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "rid", "unit")
 
     def task(table: pa.Table) -> pa.Table:
         table = table.sort_by("rid")
@@ -207,7 +266,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str
         some = links.n > 0
         return pa.table({"rid": ids[place][some], "n": links.n[some], "root": roots[some]})
 
-    found = stored(met.groupBy("label", "size", "one", "two").applyInArrow(task, "rid long, n long, root long"), "links")
+    found = stored(met.groupBy(*where, "one", "two").applyInArrow(task, "rid long, n long, root long"), "links")
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     roots = components(found.filter("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
     named = rows.select("rid", "vec_id").join(counts, "rid", "left").join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left")

@@ -24,8 +24,10 @@ def brute(rows, cosine=0.98):
     return {rows[i][0]: (n[i], rows[find(i)][0]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("block", [40, 4096])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "sample", "most"), [(40, 4096, 256), (40, 30, 7), (10, 20, 256), (4096, 4096, 256)])
+def test_against_brute_force(spark, monkeypatch, block, sample, most):
+    cells = embed_dedup.in_cells
+    monkeypatch.setattr(embed_dedup, "in_cells", lambda units, cosine, block: cells(units, cosine, block, sample, most))
     rng = np.random.default_rng(4)
     rows = []
     for c in range(14):
@@ -38,6 +40,22 @@ def test_against_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_few_cells_are_visited(spark):
+    """Clustered vectors stay at home; spread ones visit all earlier cells.  Every link is between vectors that meet."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 32))
+    for spread, most in ((0.02, 0.1), (10.0, 30.0)):
+        vectors = centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 32)) * spread
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        units = spark.createDataFrame([(i, 0, 256, bytearray(v.tobytes())) for i, v in enumerate(unit)], "rid long, label int, size int, unit binary")
+        rows = {r.rid: (r.home, set(r.visits)) for r in embed_dedup.in_cells(units, 0.98, 50).collect()}
+        assert len(rows) == 2000 and len({h for h, _ in rows.values()}) > 20
+        assert sum(len(v) for _, v in rows.values()) / 2000 <= most
+        for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.98, 1)), strict=True):
+            (h, v), (g, w) = rows[int(i)], rows[int(j)]
+            assert h == g or (g in v if g < h else h in w)
+
+
 def test_stored_vectors(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.label, r.embedding) for r in table.collect()]
