@@ -60,12 +60,14 @@ class Choices:
     def scores(self, query: str, rows: np.ndarray) -> np.ndarray:
         return ratio(common_lengths(query, self.codes[: self.sizes[rows].max(initial=0), rows]), len(query), self.sizes[rows])
 
-    def best(self, query: str, at_least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores that hold the `at_least` best (ties included); rows that the bound rules out are not scored."""
+    def best(self, query: str, at_least: int, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and scores that hold the `at_least` best (ties included) of the least score or more; rows that the bound rules out are not scored."""
         bounds = self.bounds(query)
         first = np.argpartition(-bounds, FIRST)[:FIRST] if len(bounds) > FIRST else np.arange(len(bounds))
+        first = first[bounds[first] >= least]
         kept, scores = [first], [self.scores(query, first)]
-        least = float(np.partition(scores[0], len(first) - at_least)[len(first) - at_least]) if len(first) >= at_least > 0 else -1.0
+        if len(first) >= at_least > 0:
+            least = max(least, float(np.partition(scores[0], len(first) - at_least)[len(first) - at_least]))
         rest = bounds >= least
         rest[first] = False
         by = np.flatnonzero(rest)
@@ -79,7 +81,7 @@ class Choices:
             scores.append(self.scores(query, rows))
             so_far = np.concatenate(scores)
             if len(so_far) >= at_least:
-                least = float(np.partition(so_far, len(so_far) - at_least)[len(so_far) - at_least])
+                least = max(least, float(np.partition(so_far, len(so_far) - at_least)[len(so_far) - at_least]))
             at, step = at + step, 2 * step
         rows, so_far = np.concatenate(kept), np.concatenate(scores)
         return rows[so_far >= least], so_far[so_far >= least]

@@ -2,6 +2,8 @@
 
 Best matches: queries and choices are dealt into blocks; each pair of blocks is scored by one task, so neither side has to fit in one place and
 nothing is broadcast.  A task hands on, for each query, the rows that may be among its best; ties are settled after that.
+Of a registry of many blocks, which are then ranges of lengths, each query first meets one with texts of its own length.  What it finds there bounds its best matches from below: it goes only to
+blocks whose lengths and character counts allow such a score, and there only texts that allow it are scored and handed on.
 Matches above a high threshold: both sides meet on the rarest pairs of characters (see grams); only short texts meet in blocks.  Below INDEX_FROM two texts need share so few
 pairs that nearly all would meet on some key, and blocks are cheaper; results are the same.
 
@@ -18,13 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.names import basic_form
-from ..functions.similarity import Choices, token_sorted
+from ..functions.similarity import BINS, Choices, points_of, ratio, token_sorted
 from ..shared import stored
 from .grams import FOUND, short_size, within
 
 QUERY_BLOCK, CHOICE_BLOCK = 4096, 1 << 14
 LEAST_QUERIES = 32
 INDEX_FROM = 90.0
+ROUNDS_FROM = 8  # blocks of choices from which on there are two rounds
+LONGEST = 4096  # longer texts count as of this length when blocks are made
+MOST_BLOCKS = 1 << 17  # a summary of each, some MB in all, goes to every task
 
 
 def numbered(queries: DataFrame, text: Column) -> DataFrame:
@@ -75,8 +80,90 @@ def scoring(best):
 
 
 def scored(asked: DataFrame, choices: DataFrame, at_least: int) -> DataFrame:
-    """(row, query) and (ord, kind, nth, text) -> (row, ord, kind, nth, score): the best `at_least` of each pair of blocks with ties."""
-    return block_pairs(*laid_out(asked, choices), scoring(lambda held, query: held.best(query, at_least)))
+    """(row, query) and (ord, kind, nth, text) -> (row, ord, kind, nth, score): the best `at_least` of each query with ties, and others."""
+    queries, choices = laid_out(asked, choices)
+    if ROUNDS_FROM * CHOICE_BLOCK > choices.count():
+        return block_pairs(queries, choices, scoring(lambda held, query: held.best(query, at_least)))
+    return in_two_rounds(queries, choices, at_least)[0]
+
+
+def by_length(choices: DataFrame) -> tuple[list[int], list[int]]:
+    """For each length up to LONGEST the first of its blocks, and how many it has: rare lengths share a block with their neighbours, a frequent one has several."""
+    counts = {r["n"]: r["count"] for r in choices.groupBy(F.least(F.length("text"), F.lit(LONGEST)).alias("n")).count().collect()}  # LONGEST rows and one, at most
+    first, ways, block, held = [], [], 0, 0
+    for n in range(LONGEST + 1):
+        rows = counts.get(n, 0)
+        if held and held + rows > CHOICE_BLOCK:
+            block, held = block + 1, 0
+        first.append(block)
+        ways.append(max(1, -(-rows // CHOICE_BLOCK)))
+        block, held = (block + ways[-1], 0) if ways[-1] > 1 else (block, held + rows)
+    return first, ways
+
+
+def summaries(choices: DataFrame) -> list:
+    """(cb, text) -> a row for each block: its shortest and its longest text, and the most characters of each class in one of them."""
+
+    def run(batches):
+        for batch in batches:
+            block, held = batch.column(0).to_numpy(), Choices(batch.column(1).to_pylist())
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0]) if len(order) else order
+            most = np.maximum.reduceat(held.counts[order], starts, axis=0).astype(np.int32) if len(order) else np.empty((0, BINS), np.int32)
+            size = held.sizes[order]
+            low, high = (f.reduceat(size, starts) if len(order) else size for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][starts]), pa.array(low), pa.array(high), pa.ListArray.from_arrays(pa.array(np.arange(len(most) + 1) * BINS, pa.int32()), pa.array(most.ravel()))], names=["cb", "low", "high", "most"])
+
+    rows = choices.select("cb", "text").mapInArrow(run, "cb long, low long, high long, most array<int>")
+    return rows.groupBy("cb").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.array(*(F.max(F.get("most", F.lit(i))) for i in range(BINS))).alias("most")).collect()
+
+
+def in_two_rounds(queries: DataFrame, choices: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame]:
+    """As scored, and the queries with the blocks that each goes to in the second round (row, query, least, cbs)."""
+    first, ways = by_length(choices)
+    nb = first[-1] + ways[-1]
+    if nb > MOST_BLOCKS:
+        return block_pairs(queries, choices, scoring(lambda held, query: held.best(query, at_least))), queries
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    at = lambda values, n: F.get(F.array(*map(F.lit, values)), F.least(n, F.lit(LONGEST))).cast("long")
+    own = lambda text, *key: at(first, F.length(text)) + F.pmod(F.xxhash64(*key), at(ways, F.length(text)))
+    choices = stored(choices.withColumn("cb", own("text", "ord", "kind", "nth")), "blocks")
+    nq = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = lambda rows, *by: rows.repartition(max(spread, min(1 << 16, nb * nq)), *by).groupBy(*by)
+    both = choices.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<long>")))
+    asked = queries.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(nq)).cast("long"))
+    seeds = asked.withColumn("cb", own("query", "row")).withColumn("least", F.lit(-1.0))
+    found = stored(dealt(seeds, "qb", "cb").cogroup(dealt(both, "qb", "cb")).applyInArrow(scoring_from(at_least), FOUND), "found")
+    place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score")))
+    least = found.withColumn("place", place).filter(F.col("place") == at_least).select("row", F.col("score").alias("least"))
+    blocks = sorted(summaries(choices), key=lambda r: r["cb"])
+    number, low, high = (np.array([r[c] for r in blocks], np.int64) for c in ("cb", "low", "high"))
+    most = np.array([r["most"] for r in blocks], np.int64).reshape(len(blocks), BINS)
+
+    def routed(batches):
+        for batch in batches:
+            cbs = []
+            for text, lower, seed in zip(*(batch.column(c).to_pylist() for c in ("query", "least", "cb")), strict=True):
+                common = np.minimum(np.minimum(most, np.bincount(points_of([text])[0] % BINS, minlength=BINS)).sum(axis=1), high)
+                bounds = ratio(common, len(text), np.maximum(low, common))  # the shortest text that may have so much in common
+                cbs.append(number[(bounds >= lower) & (number != seed)].tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "query", "qb", "least")), pa.array(cbs, pa.list_(pa.int64()))], names=["row", "query", "qb", "least", "cbs"])
+
+    known = seeds.drop("least").join(least, "row", "left").withColumn("least", F.coalesce("least", F.lit(-1.0)))
+    routes = stored(known.select("row", "query", "qb", "least", "cb").mapInArrow(routed, "row long, query string, qb long, least double, cbs array<long>"), "routes")
+    second = routes.withColumn("cb", F.explode("cbs")).drop("cbs")
+    rest = dealt(second, "qb", "cb").cogroup(dealt(both, "qb", "cb")).applyInArrow(scoring_from(at_least), FOUND)
+    return found.union(rest), routes
+
+
+def scoring_from(at_least: int):
+    """scoring for queries that know a least score."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = iter(left["least"].to_pylist())
+        return scoring(lambda held, query: held.best(query, at_least, next(known)))(left, right)
+
+    return task
 
 
 def scored_above(asked: DataFrame, choices: DataFrame, threshold: float, index_from: float = INDEX_FROM) -> DataFrame:

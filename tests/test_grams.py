@@ -50,6 +50,31 @@ def test_few_pairs_are_scored(spark):
     assert {i for i in range(200)} == {r.row for r in rows if r.row == r.ord}
 
 
+def test_two_rounds(spark, monkeypatch):
+    """The best of each query as from all blocks, and most pairs of a query and a block are never brought together."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 8))) for _ in range(60)]
+    texts = [" ".join(sorted(rng.choices(words, k=rng.choice([1, 2, 4, 8, 16, 30])))) for _ in range(1500)] + ["", "", "q" * 500]
+    queries = [t[:4] + t[5:] for t in rng.choices(texts, k=50)] + ["", "zz", texts[0], "q" * 490]
+    monkeypatch.setattr(search, "CHOICE_BLOCK", 60)
+    asked = spark.createDataFrame([(i * 3, q) for i, q in enumerate(queries)], "row long, query string")
+    choices = spark.createDataFrame([(i, 0, 0, t) for i, t in enumerate(texts)], "ord long, kind int, nth int, text string")
+    scores = pair_ratios([q for q in queries for _ in texts], [t for _ in queries for t in texts]).reshape(len(queries), -1)
+    found, routes = search.in_two_rounds(asked, choices, 4)
+    got = {}
+    for r in found.collect():
+        assert (r.row, r.ord) not in got
+        got[r.row, r.ord] = r.score
+    for i in range(len(queries)):
+        kth = np.sort(scores[i])[-4]
+        best = {int(j): float(scores[i, j]) for j in np.flatnonzero(scores[i] >= kth)}
+        mine = {o: s for (row, o), s in got.items() if row == 3 * i}
+        assert best.items() <= mine.items() and all(s == scores[i, o] for o, s in mine.items())
+    met = routes.agg(F.sum(F.size("cbs"))).first()[0]
+    assert met < 0.6 * len(queries) * (len(texts) / 60)
+    assert search.scored(asked.limit(0), choices, 4).count() == 0
+
+
 def test_best_of_many():
     rng = random.Random(4)
     held = Choices(["".join(rng.choices("abcdefgh ", k=rng.randint(0, 40))) for _ in range(5000)])
