@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.draws import uniform
 from ..functions.similarity import token_sorted
-from ..operators import builds, datasets, lookup, prompts, resolve, score, search, selector, splits
+from ..operators import builds, datasets, lookup, prompts, ranker, resolve, score, search, selector, splits
 from ..shared import shared_folder, stored
 from ..sources.registry import RAW, entities, registry_rows
 from ..sources.replies import Replies, capture
@@ -200,6 +200,20 @@ def retrieval_examples(spark, sf_dir):
     return out.select("cik", "attempt", F.col("nth").cast("long").alias("nth"), "query", "canonical_name", "entity_type", F.col("c.rank").cast("long").alias("rank"), F.col("c.cik").alias("candidate_cik"), F.col("c.name").alias("candidate_name"), F.round("c.score", 6).alias("score"), "is_former", "difficulty")
 
 
+def ranker_report(spark, sf_dir):
+    """A ranker fitted on the retrieved examples of most companies, and the first candidate, over the examples of the others: accuracy overall, hard and easy."""
+    registry = entities(spark, sf_dir)
+    rows = datasets.retrieval_examples(registry, registry, examples=2)
+    rows = stored(splits.split_entities(rows.withColumn("qid", F.monotonically_increasing_id()), "cik", "ranker", {"test": 0.3}, 50), "examples")
+    test = rows.filter("split = 'test'")
+    out = None
+    for name, select in (("first candidate", ranker.FIRST), ("fitted", ranker.fit(rows.filter("split = 'train'")))):
+        flags = select(test).select("difficulty", score.strict(F.col("cik"), F.col("answer_cik")).alias("match"))
+        one = flags.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), *score.by_bucket(flags, "match"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 def distractor_examples(spark, sf_dir):
     """Examples with drawn candidates, as their prompts and answers."""
     out = datasets.distractor_examples(entities(spark, sf_dir))
@@ -378,6 +392,6 @@ def file_checksum(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     registry_projection, former_name_unnest, former_name_last, registry_union, page_titles, strip_noise, normalize_suffix, normalize_basic, comma_before_suffix, title_case,
     suffix_swap, casing_noise, punctuation_noise, noisy_variants, variants_v3_counts, decontaminate_exact, decontaminate_contains, holdout_antijoin, random_distractors, token_sort,
-    fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, fuzzy_threshold_high, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, candidate_prompt, chat_assembly,
+    fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, fuzzy_threshold_high, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, ranker_report, candidate_prompt, chat_assembly,
     answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, distractor_examples, distractor_examples_repeated, variants_v3, captured_registry, chat_splits, progress_running, progress_by_date, split_rows, split_rows_one_share,
     split_by_entity, split_entities, limit_then_filter, file_checksum, flagship)}
