@@ -99,3 +99,15 @@ def test_decoding_of_any_ids():
     got = bpe.texts_of(pa.array([*rows, None], pa.list_(pa.int32())), bpe.byte_table(BYTE)).to_pylist()
     assert got == [LIB[BYTE].decode(x, skip_special_tokens=False) for x in rows] + [None]
     assert bpe.texts_of(pa.array([[220], expected("é x", BYTE)], pa.list_(pa.int32())), bpe.byte_table(BYTE)).to_pylist() == [" ", "é x"]
+
+
+def test_texts_that_are_cut_into_halves(spark):
+    """Texts over the limit, whose parts other tasks encode: null and repeated ids, unsplit text, white space, other scripts."""
+    texts = ["word and, more words " * 5000, "q" * 70_000 + " z", "\n \t " * 20_000, "名前 テスト " * 9000, "a<|endoftext|> b" * 6000, "short", None, ""]
+    rows = [(i // 2 if i % 3 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for limit in (bpe.LONG_TEXT, 5000):
+        got = sorted((str(r.doc_id), list(r.ids)) for r in bpe.encode(docs, BYTE, long_text=limit).collect())
+        assert got == sorted((str(i), expected(t or "", BYTE)) for i, t in rows)
+    counts = sorted((str(r.doc_id), r.n_tokens) for r in token_count.count_tokens(docs, BYTE).collect())
+    assert counts == sorted((str(i), len(expected(t or "", BYTE))) for i, t in rows)
