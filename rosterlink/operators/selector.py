@@ -1,6 +1,8 @@
 """Selectors: from a query and its candidates to an answer.  A selector takes and returns a DataFrame.
 
-Rows in: qid, query, candidates (rank, cik, name, entity_type, score).  Rows out: the same and answer_name, answer_cik; null where there is none."""
+Rows in: qid, query, candidates (rank, cik, name, entity_type, score).  Rows out: the same and answer_name, answer_cik; null where there is none.
+
+qid tells rows apart and is not null.  A null query and an empty list have no answer; of equal candidates the first counts; an empty table gives an empty result, and a report of zeros."""
 
 from __future__ import annotations
 

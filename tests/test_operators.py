@@ -152,7 +152,8 @@ def test_nulls_two_registries_and_clashes(spark):
     assert sorted((r.hit, r.in_test) for r in datasets.flagged(rows, held).collect()) == [(1, True), (2, False), (3, False), (3, False)]
 
 
-def test_texts_that_hold_items(spark):
+def test_texts_that_hold_items(spark, monkeypatch):
+    monkeypatch.setattr(datasets, "SHORT_ITEMS", 2)  # short items in several blocks
     texts = ["one two three four five", "xone two threey", "a\tb  c d e f", "", None, "short", "say short words", "two", "é ü ö ä ß", "one two three four five"]
     items = ["one two three", "two three", "ne two thre", "b  c d", "b c d", "short", "", None, "t", "ü ö ä", "wo three four fiv", "a\tb  c d e f", "two three four five six"]
     docs = spark.createDataFrame([(i, t, 0, 0) for i, t in enumerate(texts)], "doc_id long, text string, n int, row int")
