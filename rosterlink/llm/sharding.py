@@ -11,11 +11,8 @@ an output column are replaced.  An empty table gives an empty result."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,26 +40,21 @@ def shuffle_to_shards(docs: DataFrame, shards: int, seed: int = 17, id_col: str
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.drop("size", "text_crc32", "shard", "slot")
-    total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0)) + OVERHEAD)).first()[0] or 0
+    size = F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long")) + OVERHEAD
+    total = docs.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    rows, _ = unique_ids(docs.select(F.struct(*docs.columns).alias("record"), F.col(id_col).alias("key"), F.col(text_col).alias("text")), "key", "text")
+    fixed = size.alias("size"), F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0).cast("long")).alias("text_crc32")
+    rows, _ = unique_ids(docs.select(F.struct(*docs.columns, *fixed).alias("record"), F.col(id_col).alias("key"), F.col(text_col).alias("text")), "key", "text")
     dealt = rows.select(F.pmod(F.xxhash64(F.lit(seed), F.col("rid")), F.lit(buckets)).cast("int").alias("bucket"), "rid", "record")
     bases = places(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
-    text_at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("size", LongType()), StructField("text_crc32", LongType()), StructField("shard", IntegerType()), StructField("slot", LongType())])
 
     def shuffled(records: pa.Table, base: pa.Table) -> pa.Table:
         rid = records["rid"].to_numpy()
         order = np.random.default_rng([seed, records["bucket"][0].as_py()]).permutation(np.argsort(rid))  # Fisher-Yates; arrival order is not repeatable
         record = records["record"].combine_chunks().take(pa.array(order))
-        columns = record.flatten()
-        raw = pc.fill_null(columns[text_at], "")
         place = base["base"][0].as_py() + np.arange(len(order))
-        columns += [
-            pa.array(pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64) + OVERHEAD),
-            pa.array([zlib.crc32(x.as_py().encode()) for x in raw], pa.int64()),
-            pa.array((place % shards).astype(np.int32)), pa.array(place // shards)]
-        return pa.Table.from_arrays(columns, names=schema.fieldNames())
+        return pa.Table.from_arrays([*record.flatten(), pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], names=schema.fieldNames())
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     met = dealt.repartition(n, "bucket").groupBy("bucket").cogroup(bases.toDF("own", "base").repartition(n, "own").groupBy("own"))  # records move once
