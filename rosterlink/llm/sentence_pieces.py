@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import bounded_batches
-from .hashing import raw_bytes
+from .hashing import raw_bytes, some_at_a_time
 from .tokens import Generations, gathered
 
-MEMO = 160_000
+MEMO = 80_000
 SPACE = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, OWN, BYTE = 1, 2, 3, 4, 6  # kinds of pieces in the model's file
 BPE = 2
@@ -293,10 +293,12 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            ids, bounds, starts, ends = own.encode(pc.fill_null(batch.column(1), ""))
-            bounds = pa.array(bounds, pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, starts, ends)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "ids", "starts", "ends"])
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in some_at_a_time(raw_bytes(texts)[1]):
+                ids, bounds, starts, ends = own.encode(texts.slice(a, b - a))
+                bounds = pa.array(bounds, pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, starts, ends)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["id", "ids", "starts", "ends"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, starts array<int>, ends array<int>").withColumnRenamed("id", id_col)
