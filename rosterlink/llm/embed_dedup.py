@@ -97,6 +97,9 @@ class Links:
 
     def __init__(self, ids: np.ndarray) -> None:
         self.ids, self.n, self.parent = ids, np.zeros(len(ids), np.int64), np.arange(len(ids))
+        self.by_rank = np.argsort(ids, kind="stable")
+        self.rank = np.empty(len(ids), np.int64)
+        self.rank[self.by_rank] = np.arange(len(ids))
 
     def root(self, i: int) -> int:
         parent = self.parent
@@ -105,18 +108,17 @@ class Links:
         return int(i)
 
     def union(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Joins x[k] with y[k] for all k."""
+        """Joins x[k] with y[k] for all k: each root goes under the smallest root that it is joined with, until no two are apart."""
         while len(x):
             while not np.array_equal(up := self.parent[self.parent], self.parent):
                 self.parent = up
-            a, b = self.parent[x], self.parent[y]
+            a, b = self.rank[self.parent[x]], self.rank[self.parent[y]]
             apart = a != b
             x, y, a, b = x[apart], y[apart], a[apart], b[apart]
-            for i, j in set(zip(a.tolist(), b.tolist(), strict=True)):
-                i, j = self.root(i), self.root(j)
-                if i != j:
-                    low, high = (i, j) if self.ids[i] < self.ids[j] else (j, i)
-                    self.parent[high] = low
+            least = np.arange(len(self.ids))
+            np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+            moved = np.flatnonzero(least < np.arange(len(self.ids)))
+            self.parent[self.by_rank[moved]] = self.by_rank[least[moved]]
 
 
 def dual_traversal(one: CoverTree, two: CoverTree, base: int, same: bool, cosine: float, links: Links) -> None:
@@ -137,12 +139,21 @@ def dual_traversal(one: CoverTree, two: CoverTree, base: int, same: bool, cosine
             x = kids_a[at : at + CHUNK]
             for bt in range(0, len(kids_b), CHUNK):
                 y = kids_b[bt : bt + CHUNK]
-                d = distances(one.unit[one.centre[x]], two.unit[two.centre[y]])
+                alike = one.unit[one.centre[x]] @ two.unit[two.centre[y]].T
+                d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * alike))
                 both = one.radius[x][:, None] + two.radius[y][None, :]
                 alive = d <= both + reach + SLACK
                 if same and a == b:
                     alive &= x[:, None] <= y[None, :]
-                i, j = np.nonzero(alive)
+                single = (one.high[x] - one.low[x] == 1)[:, None] & (two.high[y] - two.low[y] == 1)[None, :]  # nodes of one vector each are their centres
+                if single.any():
+                    i, j = np.nonzero(alive & single & (alike >= cosine) & ((x[:, None] != y[None, :]) | (not same)))
+                    if len(i):
+                        s, t = one.centre[x[i]], two.centre[y[j]] + base
+                        np.add.at(links.n, s, 1)
+                        np.add.at(links.n, t, 1)
+                        links.union(s, t)
+                i, j = np.nonzero(alive & ~single)
                 whole = (d[i, j] + both[i, j] <= reach - SLACK) & (~(x[i] == y[j]) if same and a == b else True)
                 for p, q in zip(x[i[whole]], y[j[whole]], strict=True):
                     s, t = one.order[one.low[p] : one.high[p]], two.order[two.low[q] : two.high[q]] + base
