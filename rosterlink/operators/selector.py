@@ -10,12 +10,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import stored
 from .lookup import cascade
-from .prompts import user_prompt
+from .prompts import templated, user_prompt
 from .resolve import by_id_or_name, parsed
 from .score import same_name, share
 
@@ -37,8 +37,17 @@ def rule_matcher(registry: DataFrame, scorers: tuple[str, ...] = ("token_sort",
     return select
 
 
-def model(load: Callable[[], Callable[[list[str]], list[str]]], pause: float = 0.0) -> Selector:
-    """A text model: load() runs once in each Python worker and gives a function from prompts to replies.  A reply that raises or holds no
+def model_prompt(query: Column, candidates: Column, system: str | None = None, scores: bool = False) -> Column:
+    """What a text model is asked: the user's text alone, or with a system text as chat markup in which its reply follows; with the candidates' scores if asked for."""
+    user = user_prompt(query, candidates, scores)
+    if system is None:
+        return user
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return templated(F.array(message("system", F.lit(system)), message("user", user)))
+
+
+def model(load: Callable[[], Callable[[list[str]], list[str]]], pause: float = 0.0, system: str | None = None, scores: bool = False) -> Selector:
+    """A text model: load() runs once in each Python worker and gives a function from prompts (see model_prompt) to replies.  A reply that raises or holds no
     object is no answer; a worker waits `pause` seconds after each batch of prompts; an id among the candidates wins over the name given, and without one the candidate with the most similar name is taken."""
 
     def replies(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,7 +61,7 @@ def model(load: Callable[[], Callable[[list[str]], list[str]]], pause: float = 0
             yield pd.DataFrame({"qid": part["qid"], "reply": got})
 
     def select(found: DataFrame) -> DataFrame:
-        asked = found.select("qid", user_prompt(F.col("query"), F.col("candidates")).alias("prompt"))
+        asked = found.select("qid", model_prompt(F.col("query"), F.col("candidates"), system, scores).alias("prompt"))
         said = asked.mapInPandas(replies, "qid long, reply string").withColumn("v", parsed(F.col("reply")))
         rows = found.join(said, "qid")
         rows = rows.withColumns({"said_cik": F.try_variant_get("v", "$.cik", "bigint"), "said_name": F.try_variant_get("v", "$.canonical_name", "string")})

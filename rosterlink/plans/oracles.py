@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.names import AND_RULE, COMMA_RULE, JOINERS, LIGHT_WRAPPERS, NOISE_RULES, SUFFIX_RULES, SUFFIXES, WRAPPERS
-from ..operators.prompts import SYSTEM_PLAIN
+from ..operators.prompts import NO_CANDIDATES, SYSTEM_PLAIN, SYSTEM_SCORED, SYSTEM_SHORT
 
 
 def text(x: str) -> str:
@@ -246,6 +246,12 @@ def answer_sql(name: str, kind: str, former: str) -> str:
     return f"""'{{"canonical_name":"' || {name} || '","cik":' || cik || ',"entity_type":"' || coalesce(nullif({kind}, ''), 'unknown') || '","is_former_name_input":' || CASE WHEN {former} THEN 'true' ELSE 'false' END || '}}'"""
 
 
+def turn(role: str, content: str) -> str:
+    return f"('<|im_start|>{role}' || chr(10) || {content} || '<|im_end|>' || chr(10))"
+
+
+USER = """'Company name: "' || query || '"' || chr(10) || chr(10) || 'Candidates:' || chr(10) """
+START = "'<|im_start|>assistant' || chr(10)"
 ONE = "WITH " + ENTITIES
 ONE_KEY = ("cik", "'one'")
 SQL: dict[str, str] = {
@@ -294,6 +300,11 @@ count(*) FILTER (WHERE difficulty = 'easy') AS easy, count(*) FILTER (WHERE hit
     "flagship": f"{ONE}, {ASKED}, {FOUND} SELECT qid, query, c_cik AS found_cik, c_name AS found_name, round(score, 6) AS score, name = c_name AS name_match, cik = c_cik AS cik_match FROM cand WHERE rank = 1",
     "candidate_prompt": f"""{ONE}, {ASKED}, {FOUND} SELECT qid, 'Company name: "' || any_value(query) || '"' || chr(10) || chr(10) || 'Candidates:' || chr(10) || string_agg(rank || '. canonical_name: "' || c_name || '"  cik: ' || c_cik, chr(10) ORDER BY rank) AS prompt,
 string_agg('[' || rank || '] ' || c_name || ' | CIK: ' || c_cik || ' | Type: ' || coalesce(nullif(c_type, ''), 'unknown'), chr(10) ORDER BY rank) AS bracketed FROM cand GROUP BY qid""",
+    "model_prompts": f"""{ONE}, {ASKED}, {FOUND}, said AS (SELECT qid, any_value(query) AS query, string_agg(rank || '. canonical_name: "' || c_name || '"  cik: ' || c_cik || ' (score: ' || round_even(score, 0)::int || ')', chr(10) ORDER BY rank) AS listed FROM cand GROUP BY qid)
+SELECT qid, {turn('system', text(SYSTEM_SCORED))} || {turn('user', USER + "|| listed")} || {START} AS scored, {turn('system', text(SYSTEM_SHORT))} || {turn('user', USER + "|| " + text(NO_CANDIDATES))} || {START} AS without FROM said""",
+    "formatted": """SELECT page_id, lpad(page_id::varchar, 10, '0') AS padded, printf('%.1f%%', (page_id % 7) / 7 * 100) AS share, array_to_string(string_split(replace(html, '>', '>' || chr(10)), chr(10))[1:3], chr(10)) AS head FROM pages""",
+    "input_order": f"{ONE} SELECT cik, name, row_number() OVER (ORDER BY cik) AS place FROM registry",
+    "file_digests": f"{ONE} SELECT cik // 1000 AS range, sha256(string_agg(name || chr(10), '' ORDER BY cik)) AS sha256 FROM registry GROUP BY cik // 1000",
     "resolve_by_id": f"""{ONE}, {ASKED}, {FOUND}, {RESOLVED}, {likest('lower(t.predicted)', 'c.c_name')},
 hit AS (SELECT c.qid, first(c.c_cik ORDER BY c.rank) AS cik, first(c.c_name ORDER BY c.rank) AS name FROM cand c JOIN told t ON c.qid = t.qid AND c.c_cik = t.predicted_cik GROUP BY c.qid),
 near AS (SELECT qid, first(c_cik ORDER BY score DESC, rank) AS cik, first(c_name ORDER BY score DESC, rank) AS name FROM compared WHERE score >= 70 GROUP BY qid)

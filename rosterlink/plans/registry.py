@@ -12,8 +12,10 @@ from ..functions import names
 from ..functions.draws import uniform
 from ..functions.similarity import token_sorted
 from ..operators import builds, datasets, lookup, prompts, ranker, resolve, score, search, selector, splits
+from ..operators.order import placed
 from ..shared import shared_folder, stored
-from ..sources.registry import RAW, entities, registry_rows
+from ..sources import sinks
+from ..sources.registry import RAW, entities, json_lines, registry_rows, with_order
 from ..sources.replies import Replies, capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,6 +262,35 @@ def candidate_prompt(spark, sf_dir):
     return found(spark, sf_dir).select("qid", prompts.user_prompt(F.col("query"), F.col("candidates")).alias("prompt"), prompts.bracketed_lines(F.transform("candidates", lambda c: c.withField("entity_type", names.filled(c["entity_type"])))).alias("bracketed"))
 
 
+def model_prompts(spark, sf_dir):
+    """What a model is asked: candidates with their scores under one system text, and without any candidate under another."""
+    none = F.filter("candidates", lambda c: F.lit(False))
+    return found(spark, sf_dir).select("qid", selector.model_prompt(F.col("query"), F.col("candidates"), prompts.SYSTEM_SCORED, True).alias("scored"), selector.model_prompt(F.col("query"), none, prompts.SYSTEM_SHORT).alias("without"))
+
+
+def formatted(spark, sf_dir):
+    """Padded ids, shares in per cent, and the first three lines of a page."""
+    page = prompts.first_lines(F.regexp_replace("html", ">", ">\n"))
+    return read(spark, sf_dir, "pages").select("page_id", prompts.padded_id(F.col("page_id")).alias("padded"), prompts.percent((F.col("page_id") % 7) / 7).alias("share"), page.alias("head"))
+
+
+def input_order(spark, sf_dir):
+    """The registry written as JSON Lines in several files and read back in order of input: ids and places."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows = entities(spark, sf_dir).select("cik", "name", F.col("entity_type").alias("entityType"))
+    sinks.write_json_lines(rows.repartitionByRange(7, "cik").sortWithinPartitions("cik"), folder)
+    back = with_order(json_lines(spark, folder, RAW).select("cik", "name"))
+    return placed(back, [F.col("ord")]).select("cik", "name", "place")
+
+
+def file_digests(spark, sf_dir):
+    """Names written as lines, a folder for each thousand ids, and the digest of each file."""
+    folder = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    rows = entities(spark, sf_dir).select(F.floor(F.col("cik") / 1000).alias("range"), "cik", "name")
+    rows.repartition("range").sortWithinPartitions("range", "cik").select("range", "name").write.partitionBy("range").text(folder)
+    return sinks.checksums(spark, folder).select(F.regexp_extract("path", "range=([0-9]+)", 1).cast("long").alias("range"), "sha256")
+
+
 def chat_assembly(spark, sf_dir):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("m"))
@@ -392,6 +423,6 @@ def file_checksum(spark, sf_dir):
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     registry_projection, former_name_unnest, former_name_last, registry_union, page_titles, strip_noise, normalize_suffix, normalize_basic, comma_before_suffix, title_case,
     suffix_swap, casing_noise, punctuation_noise, noisy_variants, variants_v3_counts, decontaminate_exact, decontaminate_contains, holdout_antijoin, random_distractors, token_sort,
-    fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, fuzzy_threshold_high, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, ranker_report, candidate_prompt, chat_assembly,
+    fuzzy_topk, fuzzy_topk_all_former, fuzzy_threshold, fuzzy_threshold_high, partial_ratio_top1, exact_lookup, match_cascade, match_cascade_two_scorers, retrieval_examples, ranker_report, candidate_prompt, model_prompts, formatted, input_order, file_digests, chat_assembly,
     answer_json, model_output_parse, resolve_by_id, resolve_by_name, score_rows, accuracy_by_bucket, eval_report, hybrid_report, hybrid_report_two_scorers, distractor_examples, distractor_examples_repeated, variants_v3, captured_registry, chat_splits, progress_running, progress_by_date, split_rows, split_rows_one_share,
     split_by_entity, split_entities, limit_then_filter, file_checksum, flagship)}
