@@ -1,6 +1,6 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
-A label of more than one block's vectors is parted into cells: the top levels of a cover tree over a sample of it (SAMPLE vectors, about) give centres, MOST_CELLS at most, and every vector is
+A label of more than PARTED_FROM blocks' vectors is parted into cells: the top levels of a cover tree over a sample of it (SAMPLE vectors, about) give centres, MOST_CELLS at most, and every vector is
 at home in the cell of its nearest centre.  If it is linked with a vector of another cell, that cell's centre is at most twice the threshold distance farther away than its
 own; so it visits only such cells, and of two cells the vectors of the later one visit the earlier.  All other pairs of cells are never brought together.  Where vectors are
 all about equally far from all centres that is each pair of cells, as many rows as if nothing was parted.
@@ -35,6 +35,7 @@ TOP_RADIUS = 2.0
 SLACK = 1e-7
 CHUNK = 1024
 SAMPLE, MOST_CELLS = 4096, 256
+PARTED_FROM = 4
 
 
 class CoverTree:
@@ -215,7 +216,7 @@ def in_cells(units: DataFrame, cosine: float, block: int, sample: int = SAMPLE,
     """(rid, label, size, unit) -> and home int, visits array<int>: the cell that each vector is at home in, and the earlier ones that it has to visit."""
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
     sizes = units.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows"))
-    large = stored(sizes.filter(F.col("rows") > block).withColumn("parts", F.ceil(F.col("rows") / block).cast("int")), "large")
+    large = stored(sizes.filter(F.col("rows") > PARTED_FROM * block).withColumn("parts", F.ceil(F.col("rows") / block).cast("int")), "large")
     kind = units.schema["label"].dataType.simpleString()
 
     def centres(table: pa.Table) -> pa.Table:
