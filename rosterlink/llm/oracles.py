@@ -75,3 +75,24 @@ kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.w =
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM kept)
 WHERE rank <= {most}"""
+
+
+def spelling(every: int, least: int, twice: int, times: int) -> str:
+    """CRC-32 is made from its polynomial: a table of 256 steps, and one reduction over the bytes of a text."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE steps AS (SELECT list(step ORDER BY i) AS steps FROM (SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS step FROM range(256) r(i))),
+runs AS (SELECT doc_id, translate(run, '{capitals}', '{small}') AS w, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT w, times, hex(encode(concat(doc_id, ':', w))) AS h FROM runs),
+drawn AS (SELECT w, times, xor(list_reduce(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS crc FROM coded, steps),
+counted AS (SELECT CASE WHEN crc % {every} = 0 THEN left(w, crc % length(w)) || substr(w, crc % length(w) + 2) ELSE w END AS word, sum(times)::BIGINT AS n FROM drawn GROUP BY 1),
+words AS MATERIALIZED (SELECT word, n FROM counted WHERE length(word) >= {least} AND n >= {twice}),
+without AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT DISTINCT * FROM (
+  SELECT a.word, b.word AS other, b.n FROM without a JOIN without b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION ALL SELECT a.word, w.word, w.n FROM without a JOIN words w ON a.rest = w.word
+  UNION ALL SELECT w.word, a.word, a.n FROM without a JOIN words w ON a.rest = w.word)),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n FROM near GROUP BY word),
+formed AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= {times} * w.n THEN b.other END AS form, CASE WHEN b.other_n >= {times} * w.n THEN b.other_n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
+led AS (SELECT word, word AS at, form AS next FROM formed UNION ALL SELECT l.word, f.word, f.form FROM led l JOIN formed f ON f.word = l.next)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN led l ON l.word = f.word AND l.next IS NULL"""

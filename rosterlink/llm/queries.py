@@ -127,5 +127,6 @@ SQL: dict[str, str] = {
     "op6_url_filter": oracles.urls(URL_RULES),
     "op7_minhash_near_dedup": oracles.SIMILAR,
     "op9_bm25_top_k": oracles.SEARCH,
+    "op11_spelling_variants": oracles.spelling(31, 7, 2, 10),
     "op13_phrases": oracles.phrases(100, 5, 2000),
 }
