@@ -29,7 +29,7 @@ def tables(spark, tmp_path_factory):
     passage, base = prose(70), prose(60)
     texts = [prose(rng.randint(1, 80)) for _ in range(40)]
     texts += [base, base, base.replace(".", " ."), base + " added", f"{prose(5)} {passage} {prose(6)}", f"{passage}\n{prose(9)}", passage + passage]
-    texts += [None, "", " ", "one", "two words", "<|endoftext|> it's  odd\x01 x", prose(7000), "q" * 3000, "ab" * 150, "名前 テスト " * 30, "Salt and pepper, and salt " * 130]
+    texts += [None, "", " ", "one", "two words", "<|endoftext|> it's  odd\x01 x", prose(7000), "q" * 3000, "ab" * 150, "名前 テスト " * 30, "Salt and pepper, and salt " * 130, "wandern " * 40 + "Wandernn wandernd Überfall überfall " * 3]
     rows = [(i, t, "xx", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, int(i % 2), 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
