@@ -49,10 +49,6 @@ def least_common(total: np.ndarray | int, threshold: float) -> np.ndarray:
     return np.ceil(np.asarray(total) * (threshold / 200.0) - 1e-9).astype(np.int64)
 
 
-def must_share(total: np.ndarray, threshold: float) -> np.ndarray:
-    return 3 * least_common(total, threshold) - total - 1
-
-
 def least_shared(sizes: np.ndarray, threshold: float) -> np.ndarray:
     """What a text of that size must share with any text that it can reach the threshold with, at least."""
     total = sizes + np.ceil(sizes * threshold / (200.0 - threshold) - 1e-9)
