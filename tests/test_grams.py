@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterlink.functions.similarity import Choices, pair_ratios, partial_ratios
-from rosterlink.operators import grams, search
+from rosterlink.functions import similarity
+from rosterlink.functions.similarity import Choices, pair_ratios, partial_ratios, sort_tokens
+from rosterlink.operators import grams, lookup, search
 
 
 def some(rng, letters, n):
@@ -75,6 +76,47 @@ def test_two_rounds(spark, monkeypatch):
     assert search.scored(asked.limit(0), choices, 4).count() == 0
 
 
+@pytest.mark.parametrize("way", ["top", "partial", "above"])
+def test_different_texts_meet_once(spark, monkeypatch, way):
+    """Copies of queries and of names bring no more texts together, and each copy has its own rows in the result."""
+    met, pairs = [], search.block_pairs
+
+    def counted(queries, choices, task):
+        met.append((queries.count(), choices.count()))
+        return pairs(queries, choices, task)
+
+    monkeypatch.setattr(search, "block_pairs", counted)
+    names = ["large ring inc", "large rings inc", "hot bolt llc", "cold plate"]
+    registry = spark.createDataFrame([(i, names[i % 4], ["old gear"] if i % 2 else []) for i in range(40)], "ord long, name string, former_names array<string>")
+    asked = ["large ring inc", "hot bolts llc", "old gear"]
+    queries = spark.createDataFrame([(q, asked[q % 3]) for q in range(9)], "qid long, query string")
+    own = lambda o: [names[o % 4]] + ["old gear"] * (o % 2)
+    score = lambda q, o: max(pair_ratios([sort_tokens(asked[q % 3])] * len(own(o)), [sort_tokens(t) for t in own(o)]))
+    if way == "top":
+        got = [(r.qid, r["rank"], r.ord, r.score) for r in search.top_k(queries, registry, 3).collect()]
+        want = [(q, n + 1, o, -s) for q in range(9) for n, (s, o) in enumerate(sorted((-score(q, o), o) for o in range(40))[:3])]
+    elif way == "above":
+        got = [(r.qid, r.ord, r.score) for r in search.above(queries, registry, 80.0).collect()]
+        want = [(q, o, score(q, o)) for q in range(9) for o in range(40) if score(q, o) >= 80]
+    else:
+        got = [(r.qid, r.ord, r.kind) for r in search.best_partial(queries, lookup.fallback_choices(registry)).collect()]
+        want = [(q, (0, 2, 1)[q % 3], q % 3 // 2) for q in range(9)]
+    assert sorted(got) == sorted(want) and met == [(3, 5)]
+
+
+def test_windows_are_tried_last(monkeypatch):
+    """Rows whose common subsequence with a query rules them out have no window tried."""
+    rng = random.Random(5)
+    held = Choices(["".join(rng.sample("abcdefghijklmnopqrst", 20)) for _ in range(600)])
+    query = "abcdefghijklmnopqrst"  # the same characters as in all of them
+    tried, ratios = [], similarity.partial_ratios
+    monkeypatch.setattr(similarity, "partial_ratios", lambda a, b: tried.append(len(a)) or ratios(a, b))
+    rows, best = held.best_partial(query)
+    every = ratios([query] * 600, held.texts)
+    assert best == every.max() and rows.tolist() == np.flatnonzero(every == best).tolist() and sum(tried) < 300
+    assert held.best_partial(query, best + 1)[0].tolist() == []
+
+
 def test_best_of_many():
     rng = random.Random(4)
     held = Choices(["".join(rng.choices("abcdefgh ", k=rng.randint(0, 40))) for _ in range(5000)])
