@@ -138,3 +138,26 @@ def test_windows_at_once(letters, most):
         patterns, windows, sizes = patterns + [s for s, _ in found], windows + [w for _, w in found], [*sizes, len(found)]
     best = np.maximum.reduceat(pair_ratios(patterns, windows), np.cumsum(sizes) - sizes)
     assert partial_ratios(a, b).tolist() == [s if x and y else 100.0 * (x == y) for s, x, y in zip(best, a, b, strict=True)]
+
+
+@pytest.mark.parametrize("marks", [1024, 0])
+def test_queries_are_scored_together(monkeypatch, marks):
+    """Many queries at once, with texts of several words of bits, find what all pairs one by one give; bounds of both kinds; a row may stand for several."""
+    monkeypatch.setattr(similarity, "MARKS", marks)
+    monkeypatch.setattr(similarity, "FIRST", 8)
+    monkeypatch.setattr(similarity, "TOGETHER", 100)
+    monkeypatch.setattr(similarity, "AT_ONCE", 4000)
+    rng = random.Random(marks)
+    texts = some(rng, "abcd é", 500) + ["", "ab" * 80, "c" * 64, "d" * 65]
+    queries = ["", "xyz", "ab" * 70, "c" * 64, "d" * 129, *some(rng, "abcdx é", 40)]
+    held = Choices(texts, np.array([1 + i % 3 for i in range(len(texts))]))
+    every = pair_ratios([q for q in queries for _ in texts], [t for _ in queries for t in texts]).reshape(len(queries), -1)
+    assert (held.bounds_of(queries) >= every - similarity.SLACK).all()
+    which, rows, scores = held.best_of(queries, 7, np.full(len(queries), -1.0))
+    for i, own in enumerate(every):
+        kth = np.sort(np.repeat(own, held.rows))[-7]
+        mine = which == i
+        assert sorted(rows[mine].tolist()) == np.flatnonzero(own >= kth).tolist() and (scores[mine] == own[rows[mine]]).all()
+    which, rows, scores = held.above(queries, 70.0)
+    assert {(int(i), int(j)) for i, j in zip(which, rows, strict=True)} == {(int(i), int(j)) for i, j in zip(*np.nonzero(every >= 70.0), strict=True)} and len(rows) == (every >= 70.0).sum()
+    assert Choices([]).best_of(queries, 3, np.full(len(queries), -1.0))[0].tolist() == [] and held.above([], 70.0)[0].tolist() == []
