@@ -161,3 +161,13 @@ def test_queries_are_scored_together(monkeypatch, marks):
     which, rows, scores = held.above(queries, 70.0)
     assert {(int(i), int(j)) for i, j in zip(which, rows, strict=True)} == {(int(i), int(j)) for i, j in zip(*np.nonzero(every >= 70.0), strict=True)} and len(rows) == (every >= 70.0).sum()
     assert Choices([]).best_of(queries, 3, np.full(len(queries), -1.0))[0].tolist() == [] and held.above([], 70.0)[0].tolist() == []
+
+
+def test_different_names_get_their_form_once(spark, monkeypatch):
+    """Copies of a registry bring no more texts to the lookup's rewrites; of equal names the last row still wins, of former ones the first."""
+    written, stored = {}, lookup.stored
+    monkeypatch.setattr(lookup, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
+    rows = [(i, ["Hot Bolt, Inc.", "Cold Plate LLC", "Old Ring"][i % 3], [None, "Red Gear Corp.", ""] if i % 2 else []) for i in range(30)] + [(99, None, ["Old Ring"])]
+    table = lookup.lookup_table(spark.createDataFrame(rows, "ord long, name string, former_names array<string>"))
+    assert {r.norm: r.ord for r in table.collect()} == {"hot bolt inc": 27, "cold plate llc": 28, "old ring": 29, "red gear corp": 1}
+    assert written["forms"].count() == 4
