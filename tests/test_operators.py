@@ -318,6 +318,18 @@ def test_all_candidates_are_drawn_equally_often(spark):
     assert len(n) == 12 * 11 and sum(n.values()) == 12 * 300 * 4 and all(70 < v < 150 for v in n.values())  # 109 expected
 
 
+def test_drawn_candidates_are_met_in_one_join(spark):
+    """Examples know their place and take their columns along; the candidates are those that are drawn for examples that don't."""
+    registry = sources.entities(spark, "/root/testdata/sf0.001")
+    found, key = datasets.distractor_examples(registry), ["ord", "branch", "variant"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    want = defaultdict(list)
+    examples = datasets.first_examples(registry, more=("ord",))
+    for r in datasets.distractors(examples, datasets.circle(registry, "distractor"), key, 5, "distractor", own="ord").orderBy("slot").collect():
+        want[r.ord, r.branch, r.variant].append((r.slot, r.candidate.cik))
+    assert {(r.ord, r.branch, r.variant): [(c.slot, c.cik) for c in r.candidates] for r in found.collect()} == want
+
+
 def test_the_corpus_operators_are_not_imported():
     for path in (Path(__file__).parent.parent / "rosterlink").rglob("*.py"):
         if "llm" not in path.parts:
