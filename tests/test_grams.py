@@ -171,3 +171,35 @@ def test_different_names_get_their_form_once(spark, monkeypatch):
     table = lookup.lookup_table(spark.createDataFrame(rows, "ord long, name string, former_names array<string>"))
     assert {r.norm: r.ord for r in table.collect()} == {"hot bolt inc": 27, "cold plate llc": 28, "old ring": 29, "red gear corp": 1}
     assert written["forms"].count() == 4
+
+
+@pytest.mark.parametrize("together", [1, 3, 16])
+def test_texts_with_like_endings_are_scored_along_them(monkeypatch, together):
+    """Where bounds leave most texts to be scored, an ending that many have is gone through once, and the results are those of all pairs one by one."""
+    monkeypatch.setattr(similarity, "FIRST", 8)
+    monkeypatch.setattr(similarity, "AT_ONCE", 4000)
+    monkeypatch.setattr(similarity, "BESIDE", together)
+    rng = random.Random(together)
+    texts = list(dict.fromkeys(a + b for a in some(rng, "abé", 80) for b in ("", " brand corp", " new brand corp", "c" * 70))) + [""]
+    queries = ["", "xyz", "ab brand corp", "c" * 64, "dc" * 65, *some(rng, "abcx é", 40)]
+    held, pairs, scores_of = Choices(texts, np.array([1 + i % 3 for i in range(len(texts))])), [], Choices.scores_of
+    monkeypatch.setattr(Choices, "scores_of", lambda self, asked, which, rows: pairs.append(len(rows)) or scores_of(self, asked, which, rows))
+    assert sum(len(level[0]) for level in held.tree) == len({t[i:] for t in texts for i in range(len(t))})
+    every = pair_ratios([q for q in queries for _ in texts], [t for _ in queries for t in texts]).reshape(len(queries), -1)
+    assert (held.all_scores(queries) == every).all()
+    monkeypatch.setattr(similarity, "STEPS", 1 << 20)
+    which, rows, scores = held.best_of(queries, 7, np.full(len(queries), 20.0))
+    for i, own in enumerate(every):
+        kth = max(20.0, np.sort(np.repeat(own, held.rows))[-7])
+        mine = which == i
+        assert sorted(rows[mine].tolist()) == np.flatnonzero(own >= kth).tolist() and (scores[mine] == own[rows[mine]]).all()
+    which, rows, scores = held.above(queries, 30.0)
+    assert sorted(zip(which.tolist(), rows.tolist(), scores.tolist(), strict=True)) == [(i, j, every[i, j]) for i, j in zip(*(x.tolist() for x in np.nonzero(every >= 30.0)), strict=True)]
+    assert sum(pairs) < every.size / 4
+    monkeypatch.setattr(similarity, "CELLS", 0)
+    assert Choices(texts).tree is None and len(Choices(texts).above(queries, 30.0)[0]) == len(rows)
+
+
+def test_digits_are_not_counted_as_letters():
+    """A bound counts the characters of ASCII one by one."""
+    assert Choices(["11 44 blue", "pp tt blue"]).bounds_of(["11 44 blue"])[0].tolist() == [100.0, 60.0]
