@@ -203,3 +203,24 @@ def test_texts_with_like_endings_are_scored_along_them(monkeypatch, together):
 def test_digits_are_not_counted_as_letters():
     """A bound counts the characters of ASCII one by one."""
     assert Choices(["11 44 blue", "pp tt blue"]).bounds_of(["11 44 blue"])[0].tolist() == [100.0, 60.0]
+
+
+@pytest.mark.parametrize("way", ["top", "former", "above", "cascade"])
+def test_different_names_are_formed_once_for_a_search(spark, monkeypatch, way):
+    """Copies of a registry bring no more texts to the forms that are searched; of the rows that have one, those first in order come back."""
+    written, stored = {}, search.stored
+    monkeypatch.setattr(search, "stored", lambda df, name: written.setdefault(name, stored(df, name)))
+    names = ["Hot Bolt, Inc.", "hot bolt inc", None, "Cold  Plate"]
+    registry = spark.createDataFrame([(i, names[i % 4], [None, "", "Inc Bolt"] if i % 3 == 0 else []) for i in range(48)], "ord long, name string, former_names array<string>")
+    queries = spark.createDataFrame([(1, "bolt hot inc")], "qid long, query string")
+    if way == "top":
+        got = [(r.ord, r.score) for r in search.top_k(queries, registry, 30).orderBy("rank").collect()]
+        assert got[:24] == [(i, 100.0) for i in range(48) if i % 4 < 2] and [o for o, _ in got[24:]] == [i for i in range(48) if i % 3 == 0 and i % 4 > 1][:6] and written["forms"].count() == 4
+    elif way == "former":
+        got = [(r.ord, r.score) for r in search.top_k_all_former(queries, registry, 3).orderBy("rank").collect()]
+        assert got == [(1, 100.0), (5, 100.0), (9, 100.0)] and written["forms"].count() == 4
+    elif way == "above":
+        assert sorted(r.ord for r in search.above(queries, registry, 99.0).collect()) == [i for i in range(48) if i % 4 < 2]
+        assert written["classes"].count() == 7 and all(len(r.forms) <= 2 for r in written["classes"].collect())
+    else:
+        assert [r.ord for r in lookup.cascade(queries, registry, scorers=("token_sort",)).collect()] == [1] and written["forms"].count() == 4
