@@ -224,3 +224,22 @@ def test_different_names_are_formed_once_for_a_search(spark, monkeypatch, way):
         assert written["classes"].count() == 7 and all(len(r.forms) <= 2 for r in written["classes"].collect())
     else:
         assert [r.ord for r in lookup.cascade(queries, registry, scorers=("token_sort",)).collect()] == [1] and written["forms"].count() == 4
+
+
+def test_only_queries_that_leave_much_are_scored_along_the_tree(monkeypatch):
+    """Of the queries of one batch those whose bounds leave few texts are scored pair by pair, and the results are those of all pairs."""
+    monkeypatch.setattr(similarity, "STEPS", 60)
+    rng = random.Random(8)
+    texts = list(dict.fromkeys("".join(rng.sample("abcdefghij", 10)) + " brand corp" for _ in range(900))) + [f"{k} klmnopq" * 2 for k in range(100, 140)]
+    hard = ["jihgfedcba brand corp", "acegibdfhj brand corp", "bdfhjacegi brand corp"]
+    queries = [*texts[-20:], "klmnopq", *hard]
+    held, through, all_scores = Choices(texts), [], Choices.all_scores
+    monkeypatch.setattr(Choices, "all_scores", lambda self, asked: through.extend(asked) or all_scores(self, asked))
+    assert held.clipped.dtype == np.uint8
+    every = pair_ratios([q for q in queries for _ in texts], [t for _ in queries for t in texts]).reshape(len(queries), -1)
+    which, rows, scores = held.best_of(queries, 6, np.full(len(queries), -1.0))
+    want = [(i, j, own[j]) for i, own in enumerate(every) for j in np.flatnonzero(own >= np.sort(own)[-6])]
+    assert sorted(zip(which.tolist(), rows.tolist(), scores.tolist(), strict=True)) == want and through == hard
+    through.clear()
+    which, rows, scores = held.above(queries, 60.0)
+    assert sorted(zip(which.tolist(), rows.tolist(), scores.tolist(), strict=True)) == [(i, j, every[i, j]) for i, j in zip(*np.nonzero(every >= 60.0), strict=True)] and through == hard
